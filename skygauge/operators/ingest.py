@@ -93,7 +93,8 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
 
 def explode_items(parsed_payloads: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One row per item with its place in the payload (`ord`), which later "first" picks need."""
-    return parsed_payloads.select(*keep, F.posexplode("items").alias("ord", "item"))
+    # The outer form keeps Catalyst from copying the whole parsing expression into a pre-filter.
+    return parsed_payloads.select(*keep, F.posexplode_outer("items").alias("ord", "item")).where("ord is not null")
 
 
 # -- forecast items -------------------------------------------------------------------------------

@@ -177,43 +177,51 @@ def rank_pair(q: float, n: Column) -> tuple[Column, Column]:
     return F.floor(position), F.ceil(position)
 
 
+MAX_BLOCK = 32
+
+
 def contains_matches(areas: DataFrame, area_id: str, area: str, names: DataFrame, name: str) -> DataFrame:
-    """Pairs (area_id, name) where the area text contains the name, as an equi-join.
+    """Pairs (area_id, name) where the area text contains the name, without pairing all with all.
 
-    Names are grouped by length class 2^j .. 2^(j+1)-1 and keyed by their first 2^j characters; each
-    area text yields its own pieces of these lengths, so only pieces that equal a name's key meet,
-    and the full name is checked inside the piece. The whole text is searched; nothing is paired
-    that does not already agree on at least half of the name.
+    A text is cut once into aligned blocks of q characters, and a name of at least 2q - 1 characters
+    offers its q-grams at the offsets 0 .. q-1: wherever the name stands, one whole block of the text
+    lies on one of them. Blocks and q-grams meet in an equi-join, and only the pairs found there are
+    checked against the whole text. q is the largest power of two the name allows, up to MAX_BLOCK, so
+    a text yields about its own length in blocks for each q in use (at most six).
     """
     keyed = (
         names.select(F.col(name).alias("_name"))
         .where(F.length("_name") > 0)
         .distinct()
-        .withColumn("_class", F.floor(F.log2(F.length("_name") + F.lit(0.5))).cast("int"))
-        .withColumn("_key", F.expr("substring(_name, 1, cast(shiftleft(1, _class) as int))"))
+        .withColumn("_half", F.greatest(F.lit(1), F.floor((F.length("_name") + 1) / 2)))
+        .withColumn("_q", F.lit(1))
+    )
+    size = 2
+    while size <= MAX_BLOCK:
+        keyed = keyed.withColumn("_q", F.when(F.col("_half") >= size, F.lit(size)).otherwise(F.col("_q")))
+        size *= 2
+    keyed = keyed.select(
+        "_name",
+        "_q",
+        F.explode(
+            F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_q")), lambda d: F.substring(F.col("_name"), d, F.col("_q"))))
+        ).alias("_key"),
     )
-    classes = [r[0] for r in keyed.select("_class").distinct().collect()]  # at most log2(longest name)
-    chars = areas.select(area_id, F.split(F.col(area), "").alias("_chars"))
-    pieces = None
-    for j in classes:
-        width, reach = 1 << j, (1 << (j + 1)) - 1
-        cut = chars.where(F.size("_chars") >= width).select(
+    blocks = None
+    for (q,) in keyed.select("_q").distinct().collect():  # six values at most
+        cut = areas.select(
             area_id,
-            F.lit(j).alias("_class"),
-            F.explode(
-                F.expr(
-                    f"array_distinct(transform(sequence(1, size(_chars) - {width - 1}),"
-                    f" i -> concat_ws('', slice(_chars, i, {reach}))))"
-                )
-            ).alias("_piece"),
+            F.lit(q).alias("_q"),
+            F.explode_outer(F.array_distinct(F.regexp_extract_all(F.col(area), F.lit(f"(?s).{{{q}}}"), F.lit(0)))).alias("_key"),
         )
-        pieces = cut if pieces is None else pieces.unionByName(cut)
-    if pieces is None:
+        blocks = cut if blocks is None else blocks.unionByName(cut)
+    if blocks is None:
         return areas.select(area_id, F.lit(None).cast("string").alias(name)).limit(0)
-    pieces = pieces.withColumn("_key", F.expr("substring(_piece, 1, cast(shiftleft(1, _class) as int))"))
+    likely = blocks.join(keyed, ["_q", "_key"]).select(area_id, "_name").distinct()
     return (
-        pieces.join(keyed, ["_class", "_key"])
-        .where(F.col("_piece").startswith(F.col("_name")))
+        areas.select(area_id, F.col(area).alias("_area"))
+        .join(likely, area_id)
+        .where(F.contains("_area", "_name"))
         .select(area_id, F.col("_name").alias(name))
         .distinct()
     )

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from skygauge.plans import message_queries  # noqa: F401
+from skygauge.plans import ingest_queries, message_queries  # noqa: F401
 from skygauge.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
