@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ _ZONED = r"(Z|[+-]\d\d:?\d\d)$"
 
 def safe_float(text: Column, default: float | None = None) -> Column:
     """Text to double; null, empty, the marker `-` and unreadable text become `default`."""
-    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    bare = F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
     number = F.when(bare.rlike(_NUMBER), F.replace(bare, F.lit("_"), F.lit(""))).when(
         bare.rlike(_SPECIAL), bare
     )
@@ -70,6 +70,15 @@ def display_value(value: Column, unit: str = "", is_text: bool = False) -> Colum
     )
 
 
+def evaluate_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns through a one-row generator.
+
+    Catalyst copies a projected expression into every filter it pushes down and may copy it into later
+    projections. A generator is not looked through, so a costly parse runs once per row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 # -- time -----------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skygauge import fixed
-from skygauge.functions.scalars import safe_float, utc_suffix
+from skygauge.functions.scalars import evaluate_once, safe_float, utc_suffix
 
 NUMERIC_FIELDS = (
     "oak_pollen",
@@ -30,8 +30,8 @@ EMPTY, NOT_JSON, NOT_OBJECT = "empty value", "invalid json", "not an object"
 BAD_VERSION, MISSING_KEYS, BAD_TIME = "unsupported schema_version: ", "missing required keys: ", "bad timestamp"
 
 
-def _get(path: str, kind: str = "string") -> Column:
-    return F.try_variant_get("_doc", f"$.{path}", kind)
+def _text(path: str) -> Column:
+    return F.try_variant_get("_doc", f"$.{path}", "string")
 
 
 def _kind(path: str) -> Column:
@@ -50,57 +50,89 @@ def _alone(text: Column) -> Column:
     return F.coalesce((F.size(keys) == 2) & (F.element_at(keys, 2) == digest), F.lit(False))
 
 
-def _falsy(key: str) -> Column:
+def _falsy(kind: Column, text: Column, body: Column) -> Column:
     """Absent, null, false, zero, or an empty string, list or object."""
-    kind, text = _kind(key), _get(key)
-    number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (text.try_cast("double") == 0)
+    number = kind.rlike(_NUMERIC_KIND) & (text.try_cast("double") == 0)
     return F.coalesce(
         kind.isNull()
         | (kind == "VOID")
         | ((kind == "BOOLEAN") & (text == "false"))
         | ((kind == "STRING") & (text == ""))
         | number
-        | kind.isin("ARRAY<VOID>", "OBJECT<>") & F.to_json(F.try_variant_get("_doc", f"$.{key}", "variant")).isin("[]", "{}"),
+        | body.isin("[]", "{}"),
         F.lit(False),
     )
 
 
+_NUMERIC_KIND = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
+
+
 def validate(records: DataFrame) -> DataFrame:
     """`records(topic, partition, offset, key, value BINARY)` plus `text`, `reason` and message fields.
 
     `reason` is null for a valid message. Numbers follow the missing-value rule: absent or unreadable
-    stays null. Everything is one narrow projection; the value is parsed once.
+    stays null. Narrow throughout; the value is parsed once and each field read once.
     """
-    text = F.make_valid_utf8(F.col("value").cast("string"))
-    parsed = records.withColumn("text", text).withColumn(
-        "_doc", F.when(F.is_valid_utf8(F.col("value").cast("string")), F.try_parse_json("text"))
+    raw_text = F.col("value").cast("string")
+    parsed = evaluate_once(
+        records,
+        {
+            "text": F.make_valid_utf8(raw_text),
+            "_doc": F.when(F.is_valid_utf8(raw_text), F.try_parse_json(F.make_valid_utf8(raw_text))),
+        },
     )
-    version, version_kind = _get("schema_version"), _kind("schema_version")
+    checked = ("schema_version", *fixed.REQUIRED_KEYS)
+    read = evaluate_once(
+        parsed,
+        {
+            "_doc_kind": F.schema_of_variant("_doc"),
+            "_alone": _alone(F.col("text")),
+            **{f"_kind_{k}": _kind(k) for k in checked},
+            **{f"_text_{n}": _text(n) for n in (*checked, *NUMERIC_FIELDS, *TEXT_FIELDS)},
+            **{
+                f"_body_{k}": F.to_json(F.try_variant_get("_doc", f"$.{k}", "variant")) for k in fixed.REQUIRED_KEYS
+            },
+            "data_warnings": F.try_variant_get("_doc", "$.data_warnings", "map<string,string>"),
+        },
+    ).drop("_doc")
+    version, version_kind = F.col("_text_schema_version"), F.col("_kind_schema_version")
     version_ok = (
         version_kind.isNull()
         | (version_kind == "VOID")
         | ((version_kind == "BOOLEAN") & (version == "true"))
-        | (version_kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (version.try_cast("double") == fixed.SCHEMA_VERSION))
+        | (version_kind.rlike(_NUMERIC_KIND) & (version.try_cast("double") == fixed.SCHEMA_VERSION))
+    )
+    lacking = F.array_compact(
+        F.array(
+            *[
+                F.when(_falsy(F.col(f"_kind_{k}"), F.col(f"_text_{k}"), F.col(f"_body_{k}")), F.lit(k))
+                for k in fixed.REQUIRED_KEYS
+            ]
+        )
     )
-    lacking = F.array_compact(F.array(*[F.when(_falsy(k), F.lit(k)) for k in fixed.REQUIRED_KEYS]))
     reason = (
         F.when(F.col("value").isNull(), F.lit(EMPTY))
-        .when(F.col("_doc").isNull() | ~_alone(F.col("text")), F.lit(NOT_JSON))
-        .when(~F.schema_of_variant("_doc").startswith("OBJECT"), F.lit(NOT_OBJECT))
-        .when(~F.coalesce(version_ok, F.lit(False)), F.concat(F.lit(BAD_VERSION), version))
+        .when(F.col("_doc_kind").isNull() | ~F.col("_alone"), F.lit(NOT_JSON))
+        .when(~F.col("_doc_kind").startswith("OBJECT"), F.lit(NOT_OBJECT))
+        .when(~F.coalesce(version_ok, F.lit(False)), F.concat(F.lit(BAD_VERSION), F.coalesce(version, version_kind)))
         .when(F.size(lacking) > 0, F.concat(F.lit(MISSING_KEYS), F.array_join(lacking, ", ")))
-        .when(_kind("timestamp") != "STRING", F.lit(BAD_TIME))
+        .when(F.col("_kind_timestamp") != "STRING", F.lit(BAD_TIME))
     )
-    out = parsed.withColumn("reason", reason)
     fields = {
-        "event_id": _get("event_id"),
-        "region": _get("region"),
-        "timestamp": utc_suffix(_get("timestamp")),
-        **{n: safe_float(_get(n)) for n in NUMERIC_FIELDS},
-        **{n: _get(n) for n in TEXT_FIELDS},
-        "data_warnings": _get("data_warnings", "map<string,string>"),
+        "event_id": F.col("_text_event_id"),
+        "region": F.col("_text_region"),
+        "timestamp": utc_suffix(F.col("_text_timestamp")),
+        **{n: safe_float(F.col(f"_text_{n}")) for n in NUMERIC_FIELDS},
+        **{n: F.col(f"_text_{n}") for n in TEXT_FIELDS},
     }
-    return out.withColumns({n: F.when(F.col("reason").isNull(), c) for n, c in fields.items()}).drop("_doc")
+    out = evaluate_once(read, {"reason": reason})
+    return out.select(
+        *records.columns,
+        "text",
+        "reason",
+        "data_warnings",
+        *[F.when(F.col("reason").isNull(), c).alias(n) for n, c in fields.items()],
+    )
 
 
 def valid_messages(validated: DataFrame) -> DataFrame:
