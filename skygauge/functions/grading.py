@@ -1,46 +1,44 @@
 """Grading rules: bands, action groups, severity, signatures and missing values.
 
 Grades live in columns `<index>_grade` holding a code of `fixed.GRADE_LABELS`. All rules compile to
-CASE expressions, so grading a message table is one narrow, code-generated stage.
+CASE expressions, so grading a message table is one narrow, code-generated stage. The builders return
+SQL text (see `functions.text`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skygauge import fixed
+from skygauge.functions.text import any_of, listed, number, present, quote
 
 GRADE, ADVICE, ICON = 1, 2, 3
 _UNKNOWN = (None, "UNKNOWN", fixed.UNKNOWN_ADVICE, fixed.UNKNOWN_ICON)
 Band = tuple[float, str, str, str]
 
 
-def band_value(value: Column, bands: Sequence[Band], field: int = GRADE) -> Column:
-    """Pick a field of the first band whose bound is not below the value.
+def band_value(value: str, bands: Sequence[Band], field: int = GRADE) -> str:
+    """Field of the first band whose bound is not below the value.
 
     Null is UNKNOWN. A value above every bound, or NaN, falls to the last band.
     """
-    out = F.when(value.isNull(), F.lit(_UNKNOWN[field]))
-    for band in bands[:-1]:
-        out = out.when(value <= float(band[0]), F.lit(band[field]))
-    return out.otherwise(F.lit(bands[-1][field]))
+    whens = " ".join(f"when {value} <= {number(b[0])} then {quote(b[field])}" for b in bands[:-1])
+    return f"case when {value} is null then {quote(_UNKNOWN[field])} {whens} else {quote(bands[-1][field])} end"
 
 
-def notice_value(value: Column, field: int = GRADE) -> Column:
+def notice_value(value: str, field: int = GRADE) -> str:
     """Special notice: unknown, confirmed none, or a signal."""
-    unknown = value.isNull() | value.isin("", fixed.NOTICE_UNKNOWN)
     return (
-        F.when(unknown, F.lit(_UNKNOWN[field]))
-        .when(value == fixed.NOTICE_NONE, F.lit(fixed.NOTICE_GOOD[field - 1]))
-        .otherwise(F.lit(fixed.NOTICE_BAD[field - 1]))
+        f"case when {value} is null or {value} in ('', {quote(fixed.NOTICE_UNKNOWN)}) then {quote(_UNKNOWN[field])}"
+        f" when {value} = {quote(fixed.NOTICE_NONE)} then {quote(fixed.NOTICE_GOOD[field - 1])}"
+        f" else {quote(fixed.NOTICE_BAD[field - 1])} end"
     )
 
 
-def index_value(index: str, value: Column, field: int = GRADE) -> Column:
+def index_value(index: str, value: str, field: int = GRADE) -> str:
     if index == "other_special_notice":
         return notice_value(value, field)
     return band_value(value, fixed.BANDS[index], field)
@@ -50,60 +48,54 @@ def with_grades(messages: DataFrame, advice: bool = False, icon: bool = False) -
     """Add `<index>_grade` (and advice, icon) for the nine indices; `yellow_dust` becomes `dust`."""
     wanted = [("grade", GRADE)] + [("advice", ADVICE)] * advice + [("icon", ICON)] * icon
     out = messages.withColumnRenamed("yellow_dust", "dust")
-    return out.withColumns(
-        {f"{i}_{name}": index_value(i, F.col(i), field) for i in fixed.INDICES for name, field in wanted}
+    return out.selectExpr(
+        "*", *[f"{index_value(i, i, field)} as {i}_{name}" for i in fixed.INDICES for name, field in wanted]
     )
 
 
-def grade_col(index: str) -> Column:
-    return F.col(f"{index}_grade")
+def label(code: str) -> str:
+    """Grade code to its label; an absent code reads as unknown."""
+    known = {c: t for c, t in fixed.GRADE_LABELS.items() if c != "UNKNOWN"}
+    whens = " ".join(f"when {quote(c)} then {quote(t)}" for c, t in known.items())
+    return f"case {code} {whens} else {quote(fixed.GRADE_LABELS['UNKNOWN'])} end"
 
 
-def label(code: Column) -> Column:
-    """Grade code to its label; an absent code reads as unknown."""
-    out = None
-    for name, text in fixed.GRADE_LABELS.items():
-        out = F.when(code == name, F.lit(text)) if out is None else out.when(code == name, F.lit(text))
-    return out.otherwise(F.lit(fixed.GRADE_LABELS["UNKNOWN"]))
+def label_of(index: str) -> str:
+    return label(f"{index}_grade")
 
 
 def grades_long(graded: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per message and index: keys, index, value (numeric only), grade."""
-    entries = [
-        F.struct(
-            F.lit(i).alias("index_name"),
-            (F.lit(None).cast("double") if i == "other_special_notice" else F.col(i)).alias("value"),
-            grade_col(i).alias("grade"),
-        )
+    entries = listed(
+        f"struct({quote(i)} as index_name,"
+        f" {'cast(null as double)' if i == 'other_special_notice' else i} as value, {i}_grade as grade)"
         for i in fixed.INDICES
-    ]
-    return graded.select(*keys, F.inline(F.array(*entries)))
+    )
+    return graded.selectExpr(*keys, f"inline(array({entries}))")
 
 
 # -- action groups --------------------------------------------------------------------------------
 
 
-def _at_least_bad(code: Column) -> Column:
-    return F.coalesce(code.isin("BAD", "VERY_BAD"), F.lit(False))
+def _in(index: str, *codes: str) -> str:
+    return f"coalesce({index}_grade in ({listed(map(quote, codes))}), false)"
 
 
-def _is(code: Column, name: str) -> Column:
-    return F.coalesce(code == name, F.lit(False))
+def _bad(index: str) -> str:
+    return _in(index, "BAD", "VERY_BAD")
 
 
-def action_flags(grade: Callable[[str], Column] = grade_col) -> dict[str, Column]:
+def action_flags() -> dict[str, str]:
     """The eight group conditions in activation order."""
-    pm10, pm25, dust, feels = (grade(i) for i in ("pm10", "pm25", "dust", "feels_like_temp"))
-    dusty = F.coalesce(dust.isin("NORMAL", "BAD", "VERY_BAD"), F.lit(False))
     return {
-        fixed.MASK: _at_least_bad(pm10) | _at_least_bad(pm25) | dusty,
-        fixed.STAY_IN: _is(pm10, "VERY_BAD") | _is(dust, "VERY_BAD"),
-        fixed.SUNSCREEN: _at_least_bad(grade("uv_index")),
-        fixed.ALLERGY: _at_least_bad(grade("oak_pollen")) | _at_least_bad(grade("pine_pollen")),
-        fixed.UMBRELLA: _at_least_bad(grade("precipitation_probability")),
-        fixed.NOTICE: _at_least_bad(grade("other_special_notice")),
-        fixed.WARMTH: _is(feels, "VERY_BAD"),
-        fixed.HYDRATION: _at_least_bad(feels),
+        fixed.MASK: any_of([_bad("pm10"), _bad("pm25"), _in("dust", "NORMAL", "BAD", "VERY_BAD")]),
+        fixed.STAY_IN: any_of([_in("pm10", "VERY_BAD"), _in("dust", "VERY_BAD")]),
+        fixed.SUNSCREEN: _bad("uv_index"),
+        fixed.ALLERGY: any_of([_bad("oak_pollen"), _bad("pine_pollen")]),
+        fixed.UMBRELLA: _bad("precipitation_probability"),
+        fixed.NOTICE: _bad("other_special_notice"),
+        fixed.WARMTH: _in("feels_like_temp", "VERY_BAD"),
+        fixed.HYDRATION: _bad("feels_like_temp"),
     }
 
 
@@ -119,87 +111,71 @@ _REASON_INDICES = {
 }
 
 
-def _group(name: str, reasons: Column) -> Column:
-    return F.struct(
-        F.lit(name).alias("code"), F.lit(fixed.GROUP_ACTIONS[name]).alias("action"), reasons.alias("reasons")
-    )
+def _group(name: str, reasons: str) -> str:
+    return f"named_struct('code', {quote(name)}, 'action', {quote(fixed.GROUP_ACTIONS[name])}, 'reasons', {reasons})"
 
 
-def any_unknown(grade: Callable[[str], Column] = grade_col) -> Column:
-    return reduce(Column.__or__, [_is(grade(i), "UNKNOWN") for i in fixed.INDICES])
+def any_unknown() -> str:
+    return any_of(_in(i, "UNKNOWN") for i in fixed.INDICES)
 
 
-def missing_names(grade: Callable[[str], Column] = grade_col) -> Column:
+def missing_names() -> str:
     """Sorted names of the indices graded UNKNOWN."""
-    names = [F.when(_is(grade(i), "UNKNOWN"), F.lit(i)) for i in sorted(fixed.INDICES)]
-    return F.array_compact(F.array(*names))
+    return present(f"if({_in(i, 'UNKNOWN')}, {quote(i)}, null)" for i in sorted(fixed.INDICES))
 
 
-def missing_count(grade: Callable[[str], Column] = grade_col) -> Column:
-    return reduce(Column.__add__, [_is(grade(i), "UNKNOWN").cast("int") for i in fixed.INDICES])
+def missing_count() -> str:
+    return " + ".join(f"if({_in(i, 'UNKNOWN')}, 1, 0)" for i in fixed.INDICES)
 
 
-def action_groups(grade: Callable[[str], Column] = grade_col) -> Column:
+def action_groups() -> str:
     """Ordered ARRAY<STRUCT<code, action, reasons>>; a fallback group when none is active."""
 
-    def reasons(name: str) -> Column:
-        return F.array(
-            *[
-                F.concat(F.lit(fixed.REASON_LABELS[i] + ": "), label(grade(i)))
-                for i in _REASON_INDICES[name]
-            ]
-        )
-
-    flags = action_flags(grade)
-    active = F.array_compact(F.array(*[F.when(flag, _group(n, reasons(n))) for n, flag in flags.items()]))
-    lacking = F.concat(F.lit(fixed.INSUFFICIENT_REASON), F.array_join(missing_names(grade), ", "))
-    fallback = F.when(any_unknown(grade), _group(fixed.INSUFFICIENT, F.array(lacking))).otherwise(
-        _group(fixed.ALL_NORMAL, F.array(F.lit(fixed.ALL_NORMAL_REASON)))
+    def reasons(name: str) -> str:
+        texts = (f"concat({quote(fixed.REASON_LABELS[i] + ': ')}, {label_of(i)})" for i in _REASON_INDICES[name])
+        return f"array({listed(texts)})"
+
+    flags = action_flags()
+    active = present(f"if({flag}, {_group(n, reasons(n))}, null)" for n, flag in flags.items())
+    lacking = f"array(concat({quote(fixed.INSUFFICIENT_REASON)}, array_join({missing_names()}, ', ')))"
+    normal = f"array({quote(fixed.ALL_NORMAL_REASON)})"
+    return (
+        f"case when {any_of(flags.values())} then {active}"
+        f" when {any_unknown()} then array({_group(fixed.INSUFFICIENT, lacking)})"
+        f" else array({_group(fixed.ALL_NORMAL, normal)}) end"
     )
-    nothing = ~reduce(Column.__or__, flags.values())
-    return F.when(nothing, F.array(fallback)).otherwise(active)
 
 
-def severity(grade: Callable[[str], Column] = grade_col) -> Column:
+def severity() -> str:
     """CRITICAL / HIGH / MEDIUM / LOW straight from grades, without building the groups."""
-    f = action_flags(grade)
-    nothing = ~reduce(Column.__or__, f.values())
+    f = action_flags()
     return (
-        F.when(f[fixed.STAY_IN], F.lit("CRITICAL"))
-        .when(f[fixed.MASK] | f[fixed.NOTICE], F.lit("HIGH"))
-        .when(nothing & ~any_unknown(grade), F.lit("LOW"))
-        .otherwise(F.lit("MEDIUM"))
+        f"case when {f[fixed.STAY_IN]} then 'CRITICAL' when {f[fixed.MASK]} or {f[fixed.NOTICE]} then 'HIGH'"
+        f" when {any_of(f.values())} or {any_unknown()} then 'MEDIUM' else 'LOW' end"
     )
 
 
-def severity_of_groups(names: Column) -> Column:
+def severity_of_groups(names: str) -> str:
     """Severity of an ARRAY<STRING> of group names, as stored in the history."""
 
-    def has(name: str) -> Column:
-        return F.array_contains(names, name)
+    def has(*groups: str) -> str:
+        return any_of(f"array_contains({names}, {quote(g)})" for g in groups)
 
-    ladder = [fixed.SUNSCREEN, fixed.WARMTH, fixed.ALLERGY, fixed.UMBRELLA]
     return (
-        F.when(has(fixed.STAY_IN), F.lit("CRITICAL"))
-        .when(has(fixed.MASK) | has(fixed.NOTICE), F.lit("HIGH"))
-        .when(reduce(Column.__or__, map(has, ladder)), F.lit("MEDIUM"))
-        .when(has(fixed.ALL_NORMAL), F.lit("LOW"))
-        .otherwise(F.lit("MEDIUM"))
+        f"case when {has(fixed.STAY_IN)} then 'CRITICAL' when {has(fixed.MASK, fixed.NOTICE)} then 'HIGH'"
+        f" when {has(fixed.SUNSCREEN, fixed.WARMTH, fixed.ALLERGY, fixed.UMBRELLA)} then 'MEDIUM'"
+        f" when {has(fixed.ALL_NORMAL)} then 'LOW' else 'MEDIUM' end"
     )
 
 
-def signature(indices: Sequence[str] = fixed.INDICES, grade: Callable[[str], Column] = grade_col) -> Column:
+def signature(indices: Sequence[str] = fixed.INDICES) -> str:
     """`index=label` joined by `|` in code-point order: changes with grades, not with values."""
-    return F.concat_ws("|", *[F.concat(F.lit(f"{i}="), label(grade(i))) for i in sorted(indices)])
+    return f"concat_ws('|', {listed(f'concat({quote(i + chr(61))}, {label_of(i)})' for i in sorted(indices))})"
 
 
-def core_missing(grade: Callable[[str], Column] = grade_col) -> Column:
+def core_missing() -> str:
     """Both particulate indices are unknown or absent: nothing to base an alert on."""
-
-    def lacking(index: str) -> Column:
-        return F.coalesce(grade(index) == "UNKNOWN", F.lit(True))
-
-    return lacking("pm10") & lacking("pm25")
+    return "(coalesce(pm10_grade, 'UNKNOWN') = 'UNKNOWN' and coalesce(pm25_grade, 'UNKNOWN') = 'UNKNOWN')"
 
 
 # -- user-supplied rule tables --------------------------------------------------------------------
@@ -226,19 +202,12 @@ def grade_by_table(readings: DataFrame, bands: DataFrame) -> DataFrame:
     )
     if bands.limit(_INLINE_BANDS + 1).count() <= _INLINE_BANDS:
         folded = F.broadcast(folded)
-    unknown = F.struct(
-        F.lit(None).cast("double").alias("upper"),
-        F.lit("UNKNOWN").alias("grade"),
-        F.lit(fixed.UNKNOWN_ADVICE).alias("advice"),
-        F.lit(fixed.UNKNOWN_ICON).alias("icon"),
-    )
-    fits = F.filter("_bands", lambda b: F.col("value") <= b["upper"])
-    hit = F.when(F.col("value").isNull() | F.col("_bands").isNull(), unknown).otherwise(
-        F.coalesce(F.get(fits, 0), F.element_at("_bands", -1))
-    )
+    hit = f"""case when value is null or _bands is null
+        then named_struct('upper', cast(null as double), 'grade', 'UNKNOWN',
+                          'advice', {quote(fixed.UNKNOWN_ADVICE)}, 'icon', {quote(fixed.UNKNOWN_ICON)})
+        else coalesce(get(filter(_bands, b -> value <= b.upper), 0), element_at(_bands, -1)) end as _hit"""
     return (
         readings.join(folded, "index_name", "left")
-        .withColumn("_hit", hit)
-        .withColumns({c: F.col(f"_hit.{c}") for c in ("grade", "advice", "icon")})
-        .drop("_bands", "_hit")
+        .selectExpr(*readings.columns, hit)
+        .select(*readings.columns, "_hit.grade", "_hit.advice", "_hit.icon")
     )

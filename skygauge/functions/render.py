@@ -2,264 +2,213 @@
 
 Input rows are graded messages with advice columns (`with_grades(.., advice=True)`), the
 `action_groups` array, `region`, `timestamp` (ISO text), `forecast_type`, `min_temperature`,
-`max_temperature` and the `data_warnings` map.
+`max_temperature` and the `data_warnings` map. `prepare` adds the display value and label of each index
+once; the text builders return SQL over the prepared rows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from skygauge import fixed
-from skygauge.functions.grading import grade_col, label
+from skygauge.functions.grading import label_of
 from skygauge.functions.scalars import display_value
+from skygauge.functions.text import listed, present, quote
 
 _NOTICE = "other_special_notice"
+_TEMPERATURES = ("min_temperature", "max_temperature")
 
 
-def shown(index: str) -> Column:
-    unit = next(u for i, _, u in fixed.DISPLAY_ROWS if i == index)
-    return display_value(F.col(index), unit, is_text=index == _NOTICE)
+def prepare(alerts: DataFrame) -> DataFrame:
+    """Add `<index>_shown` and `<index>_label`, and shown temperatures where the columns exist."""
+    shown = [f"{display_value(i, unit, i == _NOTICE)} as {i}_shown" for i, _, unit in fixed.DISPLAY_ROWS]
+    labels = [f"{label_of(i)} as {i}_label" for i in fixed.INDICES]
+    degrees = [f"{display_value(t, '℃')} as {t}_shown" for t in _TEMPERATURES if t in alerts.columns]
+    return alerts.selectExpr("*", *shown, *labels, *degrees)
 
 
-def _row(index: str, name: str) -> Column:
-    return F.struct(
-        F.lit(index).alias("index_name"),
-        F.lit(name).alias("label"),
-        shown(index).alias("value"),
-        label(grade_col(index)).alias("grade"),
-        F.col(f"{index}_advice").alias("advice"),
-    )
-
+def display_array() -> str:
+    """Nine ordered rows: index, label, value with unit, grade, advice."""
+    return f"""array({listed(
+        f"struct({quote(i)} as index_name, {quote(name)} as label, {i}_shown as value, {i}_label as grade, {i}_advice as advice)"
+        for i, name, _ in fixed.DISPLAY_ROWS
+    )})"""
 
-def display_array() -> Column:
-    return F.array(*[_row(i, name) for i, name, _ in fixed.DISPLAY_ROWS])
 
+def display_rows(prepared: DataFrame, keys: list[str]) -> DataFrame:
+    """Nine rows per alert: position, index, label, value with unit, grade, advice."""
+    return prepared.selectExpr(*keys, f"posexplode({display_array()}) as (position, _r)").select(*keys, "position", "_r.*")
 
-def display_rows(alerts: DataFrame, keys: list[str]) -> DataFrame:
-    """Nine ordered rows per alert: position, index, label, value with unit, grade, advice."""
-    return alerts.select(*keys, F.posexplode(display_array()).alias("position", "_r")).select(*keys, "position", "_r.*")
 
+def title() -> str:
+    whens = " ".join(f"when {quote(k)} then {quote(t)}" for k, t in fixed.TITLES.items())
+    return f"case forecast_type {whens} else {quote(fixed.TITLE_DEFAULT)} end"
 
-def title() -> Column:
-    out = None
-    for kind, text in fixed.TITLES.items():
-        hit = F.col("forecast_type") == kind
-        out = F.when(hit, F.lit(text)) if out is None else out.when(hit, F.lit(text))
-    return out.otherwise(F.lit(fixed.TITLE_DEFAULT))
 
-
-def top_risks() -> Column:
+def top_risks() -> str:
     """First three rows graded bad or worse, else the first three normal ones, in display order."""
 
-    def line(index: str, name: str) -> Column:
-        return F.concat(F.lit(f"- {name} "), shown(index), F.lit(": "), label(grade_col(index)))
+    def lines(*codes: str) -> str:
+        wanted = listed(map(quote, codes))
+        hits = (
+            f"if({i}_grade in ({wanted}), concat({quote(f'- {n} ')}, {i}_shown, ': ', {i}_label), null)"
+            for i, n, _ in fixed.DISPLAY_ROWS
+        )
+        return f"slice({present(hits)}, 1, 3)"
 
-    def lines(*codes: str) -> Column:
-        hits = [F.when(grade_col(i).isin(*codes), line(i, n)) for i, n, _ in fixed.DISPLAY_ROWS]
-        return F.slice(F.array_compact(F.array(*hits)), 1, 3)
+    def some(*codes: str) -> str:
+        return " or ".join(f"coalesce({i}_grade in ({listed(map(quote, codes))}), false)" for i in fixed.INDICES)
 
-    bad, normal = lines("BAD", "VERY_BAD"), lines("NORMAL")
     return (
-        F.when(F.size(bad) > 0, bad)
-        .when(F.size(normal) > 0, normal)
-        .otherwise(F.array(F.lit(fixed.TEXT_MOSTLY_GOOD)))
+        f"case when {some('BAD', 'VERY_BAD')} then {lines('BAD', 'VERY_BAD')}"
+        f" when {some('NORMAL')} then {lines('NORMAL')} else array({quote(fixed.TEXT_MOSTLY_GOOD)}) end"
     )
 
 
-def _is_normal() -> Column:
-    return F.exists("action_groups", lambda g: g["code"] == fixed.ALL_NORMAL)
+def _has_group(code: str) -> str:
+    return f"array_contains(action_groups.code, {quote(code)})"
 
 
-def _has_group(code: str) -> Column:
-    return F.exists("action_groups", lambda g: g["code"] == code)
+_IS_NORMAL = _has_group(fixed.ALL_NORMAL)
 
 
-def _temperatures(words: tuple[str, str]) -> Column:
-    low, high = F.col("min_temperature"), F.col("max_temperature")
-    text = F.concat(F.lit(words[0]), display_value(low, "℃"), F.lit(words[1]), display_value(high, "℃"))
-    return F.when(low.isNotNull() | high.isNotNull(), text)
+def _temperatures(words: tuple[str, str]) -> str:
+    return (
+        "case when min_temperature is not null or max_temperature is not null then"
+        f" concat({quote(words[0])}, min_temperature_shown, {quote(words[1])}, max_temperature_shown) end"
+    )
 
 
-def short_text() -> Column:
+def short_text() -> str:
     """Compact text: title with time, two actions, top risks and a summary, at most 1000 characters."""
-    stamp = F.col("timestamp")
-    time = F.when(F.length(stamp) >= 16, F.substring(stamp, 12, 5)).otherwise(F.lit(fixed.TEXT_TIME_UNKNOWN))
-    actions = F.when(_is_normal(), F.array(F.lit("- " + fixed.TEXT_NO_ACTION))).otherwise(
-        F.transform(F.slice("action_groups", 1, 2), lambda g: F.concat(F.lit("- "), g["action"]))
-    )
-    text = F.concat_ws(
-        "\n",
-        F.concat(F.lit("["), F.col("region"), F.lit(" "), title(), F.lit("] "), time),
-        F.lit(""),
-        F.lit(fixed.TEXT_ACTIONS),
+    time = f"if(length(timestamp) >= 16, substring(timestamp, 12, 5), {quote(fixed.TEXT_TIME_UNKNOWN)})"
+    actions = (
+        f"if({_IS_NORMAL}, array({quote('- ' + fixed.TEXT_NO_ACTION)}),"
+        " transform(slice(action_groups, 1, 2), g -> concat('- ', g.action)))"
+    )
+    lines = [
+        f"concat('[', region, ' ', {title()}, '] ', {time})",
+        "''",
+        quote(fixed.TEXT_ACTIONS),
         actions,
-        F.lit(""),
-        F.lit(fixed.TEXT_RISKS),
+        "''",
+        quote(fixed.TEXT_RISKS),
         top_risks(),
-        F.lit(""),
-        F.lit(fixed.TEXT_REST),
+        "''",
+        quote(fixed.TEXT_REST),
         _temperatures(fixed.SHORT_TEMPERATURES),
-        F.concat(F.lit("미세먼지 "), label(grade_col("pm10")), F.lit(", 초미세먼지 "), label(grade_col("pm25"))),
-        F.concat(
-            F.lit("황사 "), label(grade_col("dust")),
-            F.lit(", 강수확률 "), shown("precipitation_probability"),
-            F.lit(", 자외선 "), shown("uv_index"),
-        ),
-        F.concat(F.lit("특보 "), shown(_NOTICE)),
-    )
-    return F.substring(text, 1, fixed.SHORT_TEXT_LIMIT)
+        "concat('미세먼지 ', pm10_label, ', 초미세먼지 ', pm25_label)",
+        "concat('황사 ', dust_label, ', 강수확률 ', precipitation_probability_shown, ', 자외선 ', uv_index_shown)",
+        f"concat('특보 ', {_NOTICE}_shown)",
+    ]
+    return f"substring(concat_ws('\\n', {listed(lines)}), 1, {fixed.SHORT_TEXT_LIMIT})"
 
 
-def alert_color() -> Column:
+def alert_color() -> str:
     return (
-        F.when(_has_group(fixed.STAY_IN), F.lit(fixed.COLOR_DANGER))
-        .when(_has_group(fixed.MASK), F.lit(fixed.COLOR_CAUTION))
-        .otherwise(F.lit(fixed.COLOR_CALM))
+        f"case when {_has_group(fixed.STAY_IN)} then {quote(fixed.COLOR_DANGER)}"
+        f" when {_has_group(fixed.MASK)} then {quote(fixed.COLOR_CAUTION)} else {quote(fixed.COLOR_CALM)} end"
     )
 
 
-def webhook_fields() -> Column:
+def webhook_fields() -> str:
     """Fields of the indices that have a value."""
-    entries = [
-        F.when(
-            F.col(i).isNotNull(),
-            F.struct(
-                F.lit(name).alias("title"),
-                F.concat(F.col(i).cast("string"), F.lit(" ("), label(grade_col(i)), F.lit(")")).alias("value"),
-                F.lit(True).alias("short"),
-            ),
-        )
+    return present(
+        f"if({i} is not null, named_struct('title', {quote(name)}, 'value',"
+        f" concat(cast({i} as string), ' (', {i}_label, ')'), 'short', true), null)"
         for i, name in fixed.WEBHOOK_FIELDS
-    ]
-    return F.array_compact(F.array(*entries))
+    )
 
 
-def action_text() -> Column:
-    listed = F.array_join(
-        F.transform("action_groups", lambda g: F.concat(F.lit("• "), g["code"], F.lit(": "), g["action"])), "\n"
-    )
-    return F.when(_is_normal(), F.lit(fixed.WEBHOOK_ALL_NORMAL)).otherwise(listed)
-
-
-def webhook_payload() -> Column:
-    """JSON for a chat webhook: colour, fields and actions."""
-    region, stamp = F.col("region"), F.col("timestamp")
-    head = F.struct(
-        F.concat(region, F.lit(fixed.WEBHOOK_TITLE)).alias("fallback"),
-        alert_color().alias("color"),
-        F.concat(F.lit("🌍 "), region, F.lit(fixed.WEBHOOK_TITLE)).alias("title"),
-        stamp.alias("text"),
-        webhook_fields().alias("fields"),
-        F.lit(fixed.WEBHOOK_FOOTER).alias("footer"),
-        F.unix_seconds(F.try_to_timestamp(stamp)).alias("ts"),
-    )
-    tail = F.struct(
-        alert_color().alias("color"),
-        F.lit(fixed.WEBHOOK_ACTIONS).alias("title"),
-        action_text().alias("text"),
-        F.array(F.lit("text")).alias("mrkdwn_in"),
-    )
-    body = F.struct(
-        F.lit(fixed.WEBHOOK_NAME).alias("username"),
-        F.lit(fixed.WEBHOOK_ICON).alias("icon_emoji"),
-        F.to_json(head).alias("_head"),
-        F.to_json(tail).alias("_tail"),
+def action_text() -> str:
+    lines = "array_join(transform(action_groups, g -> concat('• ', g.code, ': ', g.action)), '\\n')"
+    return f"if({_IS_NORMAL}, {quote(fixed.WEBHOOK_ALL_NORMAL)}, {lines})"
+
+
+def webhook_payload() -> str:
+    """JSON for a chat webhook: colour, fields and actions.
+
+    The two attachments differ in shape, so the list is joined from their JSON texts.
+    """
+    head = (
+        f"named_struct('fallback', concat(region, {quote(fixed.WEBHOOK_TITLE)}), 'color', {alert_color()},"
+        f" 'title', concat('🌍 ', region, {quote(fixed.WEBHOOK_TITLE)}), 'text', timestamp, 'fields', {webhook_fields()},"
+        f" 'footer', {quote(fixed.WEBHOOK_FOOTER)}, 'ts', unix_seconds(try_to_timestamp(timestamp)))"
     )
-    # The two attachments differ in shape, so the list is joined from their JSON texts.
-    return F.concat(
-        F.lit('{"username":"'), body["username"], F.lit('","icon_emoji":"'), body["icon_emoji"],
-        F.lit('","attachments":['), body["_head"], F.lit(","), body["_tail"], F.lit("]}"),
+    tail = (
+        f"named_struct('color', {alert_color()}, 'title', {quote(fixed.WEBHOOK_ACTIONS)}, 'text', {action_text()},"
+        " 'mrkdwn_in', array('text'))"
     )
+    opening = f'{{"username":"{fixed.WEBHOOK_NAME}","icon_emoji":"{fixed.WEBHOOK_ICON}","attachments":['
+    return f"concat({quote(opening)}, to_json({head}), ',', to_json({tail}), ']}}')"
 
 
-def subject() -> Column:
-    return F.concat(F.lit("["), title(), F.lit("] "), F.col("region"), F.lit(fixed.SUBJECT_SUFFIX))
+def subject() -> str:
+    return f"concat('[', {title()}, '] ', region, {quote(fixed.SUBJECT_SUFFIX)})"
 
 
-def _warning_entries() -> Column:
-    return F.coalesce(F.map_entries("data_warnings"), F.array().cast("array<struct<key:string,value:string>>"))
+_NOTES = "coalesce(map_entries(data_warnings), cast(array() as array<struct<key:string,value:string>>))"
 
 
-def long_text() -> Column:
+def long_text() -> str:
     """Plain mail body."""
-    actions = F.when(_is_normal(), F.array(F.lit("- " + fixed.LONG_ALL_NORMAL))).otherwise(
-        F.transform(
-            "action_groups",
-            lambda g: F.concat(F.lit("- "), g["code"], F.lit(": "), g["action"], F.lit(" ("), F.array_join(g["reasons"], ", "), F.lit(")")),
-        )
-    )
-    details = F.transform(
-        display_array(),
-        lambda r: F.concat(F.lit("- "), r["label"], F.lit(": "), r["value"], F.lit(" / "), r["grade"], F.lit(" / "), r["advice"]),
+    actions = (
+        f"if({_IS_NORMAL}, array({quote('- ' + fixed.LONG_ALL_NORMAL)}), transform(action_groups,"
+        " g -> concat('- ', g.code, ': ', g.action, ' (', array_join(g.reasons, ', '), ')')))"
     )
+    details = f"transform({display_array()}, r -> concat('- ', r.label, ': ', r.value, ' / ', r.grade, ' / ', r.advice))"
     temperatures = _temperatures(fixed.LONG_TEMPERATURES)
-    notes = F.transform(_warning_entries(), lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), e["value"]))
-    return F.concat_ws(
-        "\n",
-        F.concat(F.col("region"), F.lit(" "), title()),
-        F.concat(F.lit(fixed.LONG_COLLECTED_AT), F.col("timestamp")),
-        F.lit(""),
-        F.lit(fixed.LONG_ACTIONS),
+    notes = f"transform({_NOTES}, e -> concat('- ', e.key, ': ', e.value))"
+    lines = [
+        f"concat(region, ' ', {title()})",
+        f"concat({quote(fixed.LONG_COLLECTED_AT)}, timestamp)",
+        "''",
+        quote(fixed.LONG_ACTIONS),
         actions,
-        F.lit(""),
-        F.when(temperatures.isNotNull(), F.array(temperatures, F.lit(""))),
-        F.lit(fixed.LONG_DETAILS),
+        "''",
+        f"if({temperatures} is null, null, array({temperatures}, ''))",
+        quote(fixed.LONG_DETAILS),
         details,
-        F.when(F.size(notes) > 0, F.concat(F.array(F.lit(""), F.lit(fixed.LONG_NOTES)), notes)),
-    )
+        f"if(size(data_warnings) > 0, concat(array('', {quote(fixed.LONG_NOTES)}), {notes}), null)",
+    ]
+    return f"concat_ws('\\n', {listed(lines)})"
 
 
-def _escape(text: Column) -> Column:
+def _escape(text: str) -> str:
     pairs = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
-    return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, text)
+    return reduce(lambda t, p: f"replace({t}, {quote(p[0])}, {quote(p[1])})", pairs, text)
 
 
-def long_html() -> Column:
+def long_html() -> str:
     """HTML mail body; every inserted value is escaped."""
 
-    def tag(name: str, *parts: Column) -> Column:
-        return F.concat(F.lit(f"<{name}>"), *parts, F.lit(f"</{name}>"))
+    def tag(name: str, *parts: str) -> str:
+        return f"concat('<{name}>', {listed(parts)}, '</{name}>')"
 
-    rows = F.array_join(
-        F.transform(
-            display_array(),
-            lambda r: tag("tr", tag("th", r["label"]), *[tag("td", _escape(r[c])) for c in ("value", "grade", "advice")]),
-        ),
-        "\n",
-    )
-    actions = F.when(_is_normal(), F.lit(f"<li>{fixed.LONG_ALL_NORMAL}</li>")).otherwise(
-        F.array_join(
-            F.transform(
-                "action_groups",
-                lambda g: tag(
-                    "li",
-                    tag("strong", _escape(g["code"])), F.lit(": "), _escape(g["action"]),
-                    F.lit("<br>"), tag("small", _escape(F.array_join(g["reasons"], ", "))),
-                ),
-            ),
-            "",
-        )
-    )
-    notes = _warning_entries()
-    note_list = F.array_join(
-        F.transform(notes, lambda e: tag("li", tag("strong", _escape(e["key"])), F.lit(": "), _escape(e["value"]))), ""
+    cells = [tag("td", _escape(f"r.{c}")) for c in ("value", "grade", "advice")]
+    rows = f"array_join(transform({display_array()}, r -> {tag('tr', tag('th', 'r.label'), *cells)}), '\\n')"
+    reasons = _escape("array_join(g.reasons, ', ')")
+    item = tag("li", tag("strong", _escape("g.code")), "': '", _escape("g.action"), "'<br>'", tag("small", reasons))
+    actions = (
+        f"if({_IS_NORMAL}, {quote(f'<li>{fixed.LONG_ALL_NORMAL}</li>')},"
+        f" array_join(transform(action_groups, g -> {item}), ''))"
     )
-    temperatures = _temperatures(fixed.LONG_TEMPERATURES)
+    note = tag("li", tag("strong", _escape("e.key")), "': '", _escape("e.value"))
+    notes = f"array_join(transform({_NOTES}, e -> {note}), '')"
     header = "".join(f"<th>{h}</th>" for h in fixed.LONG_HEADERS)
-    return F.concat_ws(
-        "\n",
-        F.lit("<html><body>"),
-        tag("h2", _escape(F.col("region")), F.lit(" "), title()),
-        tag("p", F.lit(fixed.LONG_COLLECTED_AT), _escape(F.col("timestamp"))),
-        F.lit(f"<h3>{fixed.LONG_ACTIONS}</h3>"),
+    lines = [
+        "'<html><body>'",
+        tag("h2", _escape("region"), "' '", title()),
+        tag("p", quote(fixed.LONG_COLLECTED_AT), _escape("timestamp")),
+        quote(f"<h3>{fixed.LONG_ACTIONS}</h3>"),
         tag("ul", actions),
-        F.when(temperatures.isNotNull(), tag("p", tag("strong", temperatures))),
-        F.lit(f'<h3>{fixed.LONG_DETAILS}</h3><table border="1"><tr>{header}</tr>'),
+        tag("p", tag("strong", _temperatures(fixed.LONG_TEMPERATURES))),
+        quote(f'<h3>{fixed.LONG_DETAILS}</h3><table border="1"><tr>{header}</tr>'),
         rows,
-        F.lit("</table>"),
-        F.when(F.size(notes) > 0, F.concat(F.lit(f"<h3>{fixed.LONG_NOTES}</h3>"), tag("ul", note_list))),
-        F.lit("</body></html>"),
-    )
+        "'</table>'",
+        f"if(size(data_warnings) > 0, concat({quote(f'<h3>{fixed.LONG_NOTES}</h3>')}, {tag('ul', notes)}), null)",
+        "'</body></html>'",
+    ]
+    return f"concat_ws('\\n', {listed(lines)})"

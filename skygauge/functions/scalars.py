@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skygauge import fixed
+from skygauge.functions.text import listed, number, quote
 
 # What Python's float() reads: digits with single underscores, a point, an exponent, inf and nan.
 # Spark's own cast is wider (`1.5d`) and narrower (`1_000`), so text is matched before casting.
@@ -19,72 +20,74 @@ _SPECIAL = r"(?i)^[+-]?(?:inf|infinity|nan)$"
 _ZONED = r"(Z|[+-]\d\d:?\d\d)$"
 
 
-def safe_float(text: Column, default: float | None = None) -> Column:
-    """Text to double; null, empty, the marker `-` and unreadable text become `default`."""
-    bare = F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
-    number = F.when(bare.rlike(_NUMBER), F.replace(bare, F.lit("_"), F.lit(""))).when(
-        bare.rlike(_SPECIAL), bare
+def safe_float(text: str, default: float | None = None) -> str:
+    """SQL: text to double; null, empty, the marker `-` and unreadable text become `default`."""
+    bare = f"btrim({text}, ' \\t\\n\\r\\u000b\\u000c')"
+    value = (
+        f"try_cast(case when {bare} rlike {quote(_NUMBER)} then replace({bare}, '_', '')"
+        f" when {bare} rlike {quote(_SPECIAL)} then {bare} end as double)"
     )
-    value = number.try_cast("double")
-    return value if default is None else F.coalesce(value, F.lit(float(default)))
+    return value if default is None else f"coalesce({value}, {number(default)})"
 
 
-def round_1dp(value: Column) -> Column:
-    """Round to one decimal on the exact binary value, ties to even.
+def round_1dp(value: str) -> str:
+    """SQL: round to one decimal on the exact binary value, ties to even.
 
     20x = 16x + 4x with both products exact, so `err` tells on which side of a decimal tie the
     double really lies. Spark's `round`/`bround` work on the shortest decimal text instead.
     """
-    big, small = value * F.lit(16.0), value * F.lit(4.0)
-    total = big + small
-    err = small - (total - big)
-    low = F.floor(total / 2)
-    part = total / 2 - low
-    up = (part > 0.5) | ((part == 0.5) & ((err > 0) | ((err == 0) & (F.pmod(low, F.lit(2)) == 1))))
-    tenths = (low + up.cast("bigint")).cast("double") / F.lit(10.0)
-    return F.when(F.isnan(value) | (F.abs(value) > 1e15), value).otherwise(tenths)
+    big, small = f"(({value}) * 16.0D)", f"(({value}) * 4.0D)"
+    total = f"({big} + {small})"
+    err = f"({small} - ({total} - {big}))"
+    low = f"floor({total} / 2)"
+    part = f"({total} / 2 - {low})"
+    up = f"({part} > 0.5D or ({part} = 0.5D and ({err} > 0 or ({err} = 0 and pmod({low}, 2) = 1))))"
+    return (
+        f"case when isnan({value}) or abs({value}) > 1e15D then {value}"
+        f" else cast({low} + if({up}, 1, 0) as double) / 10.0D end"
+    )
 
 
-def mean_1dp(total: Column, scale: int, count: Column) -> Column:
-    """Mean of `count` values given their exact integer sum in 1/scale units, one decimal.
+def mean_1dp(total: str, scale: int, count: str) -> str:
+    """SQL: mean of `count` values given their exact sum in 1/scale units, one decimal.
 
     One correctly rounded division of integers: the result does not depend on the order in which
     partitions were summed.
     """
-    return F.when(count > 0, round_1dp(total.cast("double") / (count * F.lit(scale)).cast("double")))
+    mean = f"(cast({total} as double) / cast({count} * {scale} as double))"
+    return f"case when {count} > 0 then {round_1dp(mean)} end"
 
 
-def scaled_units(value: Column, scale: int) -> Column:
-    """Value in whole 1/scale units, as a decimal so that sums are exact and cannot overflow."""
-    return F.round(value * F.lit(float(scale)), 0).cast("decimal(20,0)")
+def scaled_units(value: str, scale: int) -> str:
+    """SQL: value in whole 1/scale units, as a decimal so that sums are exact and cannot overflow."""
+    return f"cast(round(({value}) * {number(scale)}, 0) as decimal(20,0))"
 
 
-def display_value(value: Column, unit: str = "", is_text: bool = False) -> Column:
-    """Value for people: unknown when absent, numbers with at most one decimal, unit appended."""
+def display_value(value: str, unit: str = "", is_text: bool = False) -> str:
+    """SQL: value for people: unknown when absent, at most one decimal, unit appended."""
     if is_text:
-        shown = F.when((value != "") & (value != "None"), value)
+        shown = f"nullif(nullif({value}, ''), 'None')"
     else:
-        shown = F.regexp_replace(F.format_string("%.1f", round_1dp(value)), r"\.0$", "")
-    return F.when(value.isNull() | shown.isNull(), F.lit(fixed.NOTICE_UNKNOWN)).otherwise(
-        F.concat(shown, F.lit(unit))
-    )
+        shown = f"concat(regexp_replace(format_string('%.1f', {round_1dp(value)}), {quote(chr(92) + '.0$')}, ''), {quote(unit)})"
+    return f"case when {value} is null then {quote(fixed.NOTICE_UNKNOWN)} else coalesce({shown}, {quote(fixed.NOTICE_UNKNOWN)}) end"
 
 
-def evaluate_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
-    """Add columns through a one-row generator.
+def evaluate_once(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Add SQL columns through a one-row generator.
 
     Catalyst copies a projected expression into every filter it pushes down and may copy it into later
     projections. A generator is not looked through, so a costly parse runs once per row.
     """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    made = listed(f"{c} as {n}" for n, c in columns.items())
+    return df.selectExpr("*", f"inline(array(struct({made})))")
 
 
 # -- time -----------------------------------------------------------------------------------------
 
 
-def utc_suffix(timestamp: Column) -> Column:
-    """A trailing `Z` written as `+00:00`."""
-    return F.regexp_replace(timestamp, r"Z$", "+00:00")
+def utc_suffix(timestamp: str) -> str:
+    """SQL: a trailing `Z` written as `+00:00`."""
+    return f"regexp_replace({timestamp}, 'Z$', '+00:00')"
 
 
 def zoned_instant(text: Column) -> Column:

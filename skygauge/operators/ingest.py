@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skygauge import fixed
 from skygauge.functions.scalars import mean_1dp, safe_float, scaled_units
+from skygauge.functions.text import listed, quote
 from skygauge.operators.ordered import contains_matches
 
 ITEM = "map<string,string>"
@@ -100,26 +101,22 @@ def explode_items(parsed_payloads: DataFrame, keep: Sequence[str]) -> DataFrame:
 # -- forecast items -------------------------------------------------------------------------------
 
 
-def _hours(item: Column) -> Column:
-    """ARRAY<STRUCT<hour, value>> of the readable `hN` entries."""
-    entries = F.filter(
-        F.map_entries(item),
-        lambda e: e["key"].rlike(r"^h\d+$") & safe_float(e["value"]).isNotNull(),
-    )
-    return F.transform(
-        entries,
-        lambda e: F.struct(F.substring(e["key"], 2, 9).cast("int").alias("hour"), safe_float(e["value"]).alias("value")),
+def _hours(item: str) -> str:
+    """SQL: ARRAY<STRUCT<hour, value>> of the readable `hN` entries."""
+    hour_key = quote(r"^h\d+$")
+    return (
+        f"transform(filter(map_entries({item}), e -> e.key rlike {hour_key} and {safe_float('e.value')} is not null),"
+        f" e -> named_struct('hour', cast(substring(e.key, 2) as int), 'value', {safe_float('e.value')}))"
     )
 
 
-def forecast_value(item: Column, missing_as_zero: bool = False) -> Column:
-    """First readable value: the days in order, then the hours ascending.
+def forecast_value(item: str, missing_as_zero: bool = False) -> str:
+    """SQL: first readable value of an item map: the days in order, then the hours ascending.
 
     An item with no readable value is missing; `missing_as_zero` gives 0 instead.
     """
-    days = [safe_float(item[k]) for k in fixed.DAY_KEYS]
-    out = F.coalesce(*days, F.array_min(_hours(item))["value"])
-    return F.coalesce(out, F.lit(0.0)) if missing_as_zero else out
+    days = listed(safe_float(f"{item}[{quote(k)}]") for k in fixed.DAY_KEYS)
+    return f"coalesce({days}, array_min({_hours(item)}).value{', 0.0D' if missing_as_zero else ''})"
 
 
 def hourly_rows(items: DataFrame, keep: Sequence[str], base: str) -> DataFrame:
@@ -128,7 +125,7 @@ def hourly_rows(items: DataFrame, keep: Sequence[str], base: str) -> DataFrame:
     return (
         items.withColumn("_base", start)
         .where("_base is not null")
-        .select(*keep, "_base", F.inline(_hours(F.col("item"))))
+        .select(*keep, "_base", F.expr(f"inline({_hours('item')})"))
         .withColumn("at", F.col("_base") + F.make_dt_interval(hours=F.col("hour")))
         .drop("_base")
     )
@@ -165,19 +162,20 @@ def observed_else_forecast(rows: DataFrame, keys: Sequence[str], order: str) ->
         )
         for k in ("observed", "forecast")
     }
-    return rows.groupBy(*keys).agg(
-        safe_float(F.coalesce(first["observed"], first["forecast"])["v"]).alias("current_temperature")
-    )
+    value = F.coalesce(first["observed"], first["forecast"])["v"]
+    return rows.groupBy(*keys).agg(value.alias("_v")).selectExpr(*keys, f"{safe_float('_v')} as current_temperature")
 
 
-def _signal_text(lightning: Column, wind: Column, rain: Column, prefix: str = "") -> Column:
-    found = F.concat_ws(
-        ", ",
-        F.when(lightning > 0, F.lit(prefix + fixed.SIGNAL_LIGHTNING)),
-        F.when(wind >= 9, F.lit(prefix + fixed.SIGNAL_WIND)),
-        F.when(rain, F.lit(prefix + fixed.SIGNAL_RAIN)),
+def _signal_text(lightning: str, wind: str, rain: str, prefix: str = "") -> str:
+    found = listed(
+        f"if({cond}, {quote(prefix + text)}, null)"
+        for cond, text in (
+            (f"{lightning} > 0", fixed.SIGNAL_LIGHTNING),
+            (f"{wind} >= 9", fixed.SIGNAL_WIND),
+            (rain, fixed.SIGNAL_RAIN),
+        )
     )
-    return F.coalesce(F.nullif(found, F.lit("")), F.lit(fixed.NOTICE_NONE))
+    return f"coalesce(nullif(concat_ws(', ', {found}), ''), {quote(fixed.NOTICE_NONE)})"
 
 
 def notice_signals(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -185,23 +183,34 @@ def notice_signals(rows: DataFrame, keys: Sequence[str], order: str) -> DataFram
 
     `rows(keys, order, category, fcst_value)`, a key without items has one row with null category.
     """
-
-    def first(category: str) -> Column:
-        return F.min_by(F.struct("fcst_value"), F.when(F.col("category") == category, F.col(order)))["fcst_value"]
-
+    # Wrapped in a struct, a first value that is null stays the first value.
+    first = [
+        F.expr(f"min_by(struct(fcst_value), {order}) filter (where category = '{c}').fcst_value as {c.lower()}")
+        for c in ("LGT", "WSD", "PTY", "SKY")
+    ]
+    text = _signal_text("lgt", "wsd", "pty not in ('0', '', 'None')")
     return (
         rows.groupBy(*keys)
-        .agg(*[first(c).alias(c.lower()) for c in ("LGT", "WSD", "PTY", "SKY")], F.count("category").alias("_n"))
-        .withColumn("lgt", F.coalesce(safe_float(F.col("lgt")), F.lit(0.0)))
-        .withColumn("wsd", F.coalesce(safe_float(F.col("wsd")), F.lit(0.0)))
-        .withColumn("pty", F.coalesce("pty", F.lit("0")))
-        .withColumn(
-            "notice",
-            F.when(F.col("_n") == 0, F.lit(fixed.NOTICE_UNKNOWN)).otherwise(
-                _signal_text(F.col("lgt"), F.col("wsd"), ~F.col("pty").isin("0", "", "None"))
-            ),
+        .agg(*first, F.count("category").alias("_n"))
+        .selectExpr(
+            *keys,
+            f"{safe_float('lgt', 0)} as lgt",
+            f"{safe_float('wsd', 0)} as wsd",
+            "coalesce(pty, '0') as pty",
+            "sky",
+            "_n",
+        )
+        .selectExpr(
+            *keys, "lgt", "wsd", "pty", "sky", f"if(_n = 0, {quote(fixed.NOTICE_UNKNOWN)}, {text}) as notice"
         )
-        .drop("_n")
+    )
+
+
+def _today(rows: DataFrame, now_key: str, include_elapsed: bool) -> DataFrame:
+    """Today's rows with the number read once (`_v`) and whether they are still ahead (`_ahead`)."""
+    ahead = "true" if include_elapsed else f"fcst_key >= {now_key}"
+    return rows.where(f"fcst_date = substring({now_key}, 1, 8)").selectExpr(
+        "*", f"{safe_float('fcst_value')} as _v", f"{ahead} as _ahead"
     )
 
 
@@ -212,45 +221,33 @@ def daily_summary(rows: DataFrame, keys: Sequence[str], now_key: str, include_el
     all of today's when none remain or `include_elapsed`. Both readings are computed in the same
     single aggregate and the right one is chosen afterwards, so no window or second pass is needed.
     """
-    today = rows.where(F.col("fcst_date") == F.substring(now_key, 1, 8)).withColumn("_v", safe_float(F.col("fcst_value")))
-    ahead = F.lit(True) if include_elapsed else F.col("fcst_key") >= F.col(now_key)
-
-    def both(name: str, agg, expr: Column, cond: Column) -> list[Column]:
-        return [agg(F.when(cond, expr)).alias(f"{name}_all"), agg(F.when(cond & ahead, expr)).alias(f"{name}_left")]
-
-    def category(c: str) -> Column:
-        return F.col("category") == c
-
     measures = {
-        "pop_max": (F.max, F.col("_v"), category("POP")),
-        "pop_min": (F.min, F.col("_v"), category("POP")),
-        "tmp_max": (F.max, F.col("_v"), category("TMP")),
-        "tmp_min": (F.min, F.col("_v"), category("TMP")),
-        "wsd_max": (F.max, F.col("_v"), category("WSD")),
-        "lgt_max": (F.max, F.col("_v"), category("LGT")),
+        "pop_max": ("max(_v)", "category = 'POP'"),
+        "pop_min": ("min(_v)", "category = 'POP'"),
+        "tmp_max": ("max(_v)", "category = 'TMP'"),
+        "tmp_min": ("min(_v)", "category = 'TMP'"),
+        "wsd_max": ("max(_v)", "category = 'WSD'"),
+        "lgt_max": ("max(_v)", "category = 'LGT'"),
         # a handful of codes, whatever the number of rows
-        "pty": (F.collect_set, F.coalesce("fcst_value", F.lit("None")), category("PTY")),
-        "start": (F.min, F.col("fcst_key"), F.lit(True)),
-        "end": (F.max, F.col("fcst_key"), F.lit(True)),
+        "pty": ("collect_set(coalesce(fcst_value, 'None'))", "category = 'PTY'"),
+        "start": ("min(fcst_key)", "true"),
+        "end": ("max(fcst_key)", "true"),
     }
-    grouped = today.groupBy(*keys).agg(
-        F.max(ahead).alias("_any"), *[c for n, (a, e, w) in measures.items() for c in both(n, a, e, w)]
-    )
-    out = grouped.select(
-        *keys, *[F.when(F.col("_any"), F.col(f"{n}_left")).otherwise(F.col(f"{n}_all")).alias(n) for n in measures]
+    both = [
+        F.expr(f"{agg} filter (where {cond}{extra}) as {name}_{which}")
+        for name, (agg, cond) in measures.items()
+        for which, extra in (("all", ""), ("left", " and _ahead"))
+    ]
+    grouped = _today(rows, now_key, include_elapsed).groupBy(*keys).agg(F.max("_ahead").alias("_any"), *both)
+    chosen = grouped.selectExpr(*keys, *[f"if(_any, {n}_left, {n}_all) as {n}" for n in measures])
+    filled = chosen.withColumns(
+        {"wsd_max": F.expr("coalesce(wsd_max, 0.0D)"), "lgt_max": F.expr("coalesce(lgt_max, 0.0D)"), "pty": F.array_sort("pty")}
     )
-    pty = F.array_sort("pty")
-    rainy = F.exists(pty, lambda v: ~v.isin("0", "", "None"))
-    return out.withColumns(
-        {
-            "wsd_max": F.coalesce("wsd_max", F.lit(0.0)),
-            "lgt_max": F.coalesce("lgt_max", F.lit(0.0)),
-            "pty": pty,
-            "notice": _signal_text(
-                F.coalesce("lgt_max", F.lit(0.0)), F.coalesce("wsd_max", F.lit(0.0)), rainy, fixed.TODAY_PREFIX
-            ),
-            "period": F.lit("today_full" if include_elapsed else "today_remaining"),
-        }
+    rainy = "exists(pty, v -> v not in ('0', '', 'None'))"
+    return filled.selectExpr(
+        "*",
+        f"{_signal_text('lgt_max', 'wsd_max', rainy, fixed.TODAY_PREFIX)} as notice",
+        f"'{'today_full' if include_elapsed else 'today_remaining'}' as period",
     )
 
 
@@ -259,13 +256,12 @@ def daily_values(rows: DataFrame, keys: Sequence[str], now_key: str, order: str,
 
     Kept as rows rather than arrays, so a key with very many forecasts is never gathered.
     """
-    today = rows.where(F.col("fcst_date") == F.substring(now_key, 1, 8)).withColumn("_v", safe_float(F.col("fcst_value")))
-    ahead = F.lit(True) if include_elapsed else F.col("fcst_key") >= F.col(now_key)
-    left = today.groupBy(*keys).agg(F.max(ahead).alias("_any"))
+    today = _today(rows, now_key, include_elapsed)
+    left = today.groupBy(*keys).agg(F.max("_ahead").alias("_any"))
     return (
-        today.where(F.col("category").isin("POP", "TMP") & F.col("_v").isNotNull())
+        today.where("category in ('POP', 'TMP') and _v is not null")
         .join(left, list(keys))
-        .where(ahead | ~F.col("_any"))
+        .where("_ahead or not _any")
         .select(*keys, "category", order, F.col("_v").alias("value"))
     )
 
@@ -275,14 +271,12 @@ def daily_values(rows: DataFrame, keys: Sequence[str], now_key: str, order: str,
 
 def station_mean(rows: DataFrame, keys: Sequence[str], pollutants: Sequence[str] = fixed.POLLUTANTS, scale: int = 1_000_000) -> DataFrame:
     """Mean per pollutant over stations that report it; `station_count` counts all stations."""
-    values = {p: safe_float(F.col(p)) for p in pollutants}
-    grouped = rows.groupBy(*keys).agg(
-        F.count("*").alias("station_count"),
-        *[F.sum(scaled_units(v, scale)).alias(f"_s_{p}") for p, v in values.items()],
-        *[F.count(v).alias(f"_n_{p}") for p, v in values.items()],
-    )
-    return grouped.select(
-        *keys, "station_count", *[mean_1dp(F.col(f"_s_{p}"), scale, F.col(f"_n_{p}")).alias(p) for p in pollutants]
+    read = rows.selectExpr(*keys, *[f"{safe_float(p)} as {p}" for p in pollutants])
+    sums = [F.expr(f"sum({scaled_units(p, scale)}) as _s_{p}") for p in pollutants]
+    counts = [F.count(p).alias(f"_n_{p}") for p in pollutants]
+    grouped = read.groupBy(*keys).agg(F.count("*").alias("station_count"), *sums, *counts)
+    return grouped.selectExpr(
+        *keys, "station_count", *[f"{mean_1dp(f'_s_{p}', scale, f'_n_{p}')} as {p}" for p in pollutants]
     )
 
 

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skygauge import fixed
 from skygauge.functions.scalars import event_id
+from skygauge.functions.text import present, quote
 
 KEYS = ["region", "slot"]
 
@@ -47,19 +48,19 @@ FEED_COLUMNS = {
 
 def stack_feeds(spine: DataFrame, feeds: Mapping[str, DataFrame]) -> DataFrame:
     """One row per spine key: every feed's columns plus `has_<feed>`."""
-    stacked = spine.select(*KEYS, F.lit(None).cast("string").alias("_feed"))
-    for name, df in feeds.items():
-        cols = [F.col(c) for c in FEED_COLUMNS[name] if c in df.columns]
-        stacked = stacked.unionByName(df.select(*KEYS, F.lit(name).alias("_feed"), *cols), allowMissingColumns=True)
     wanted = {c: t for cols in FEED_COLUMNS.values() for c, t in cols.items()}
-    for c, t in wanted.items():
-        if c not in stacked.columns:
-            stacked = stacked.withColumn(c, F.lit(None).cast(t))
+
+    def widened(df: DataFrame, feed: str) -> DataFrame:
+        own = set(df.columns) & set(FEED_COLUMNS.get(feed, ()))
+        cols = [c if c in own else f"cast(null as {t}) as {c}" for c, t in wanted.items()]
+        return df.selectExpr(*KEYS, f"{quote(feed)} as _feed", *cols)
+
+    stacked = reduce(DataFrame.unionByName, [widened(df, n) for n, df in feeds.items()], widened(spine, "spine"))
     return (
         stacked.groupBy(*KEYS)
         .agg(
-            F.max(F.col("_feed").isNull()).alias("_wanted"),
-            *[F.max(F.coalesce(F.col("_feed") == n, F.lit(False))).alias(f"has_{n}") for n in FEED_COLUMNS],
+            F.expr("max(_feed = 'spine') as _wanted"),
+            *[F.expr(f"max(_feed = '{n}') as has_{n}") for n in FEED_COLUMNS],
             # one row per feed and key, so max is just "the value"
             *[F.max(c).alias(c) for c in wanted],
         )
@@ -68,124 +69,113 @@ def stack_feeds(spine: DataFrame, feeds: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def _warnings(entries: Mapping[str, Column]) -> Column:
-    """MAP of the sources that are absent or replaced, in the given order."""
-    found = [F.when(text.isNotNull(), F.struct(F.lit(k).alias("key"), text.alias("value"))) for k, text in entries.items()]
-    return F.map_from_entries(F.array_compact(F.array(*found)))
+def _warnings(entries: Mapping[str, str]) -> str:
+    """SQL: MAP of the sources that are absent or replaced, in the given order; entry texts may be null."""
+    found = present(f"if({t} is null, null, struct({quote(k)} as key, {t} as value))" for k, t in entries.items())
+    return f"map_from_entries({found})"
 
 
-def _common_warnings(feels: Column, replaced_text: str) -> dict[str, Column]:
-    denied = F.col("has_dust") & F.coalesce(F.col("dust_status") == "unavailable", F.lit(False))
-    lacking = F.when(feels.isNull(), F.lit(fixed.WARN_LIVING)).otherwise(F.lit(replaced_text))
+def _common_warnings(feels: str, replaced: str) -> dict[str, str]:
     return {
-        "air_quality": F.when(~F.col("has_air"), F.coalesce("air_error", F.lit(fixed.WARN_AIR))),
-        "yellow_dust": F.when(denied, F.col("dust_message")).when(~F.col("has_dust"), F.lit(fixed.WARN_DUST)),
-        "living_index": F.when(~F.col("has_living"), lacking),
+        "air_quality": f"if(has_air, null, coalesce(air_error, {quote(fixed.WARN_AIR)}))",
+        "yellow_dust": f"case when not has_dust then {quote(fixed.WARN_DUST)} when dust_status = 'unavailable' then dust_message end",
+        "living_index": f"if(has_living, null, if({feels} is null, {quote(fixed.WARN_LIVING)}, {quote(replaced)}))",
     }
 
 
-def _uv_warning() -> Column:
-    return F.when(~F.col("has_uv"), F.lit(fixed.WARN_UV))
-
-
-_PASSED = (
-    "oak_pollen",
-    "pine_pollen",
-    "pm10",
-    "pm25",
-    "yellow_dust",
-    "yellow_dust_advisory",
-    "yellow_dust_source",
-    "uv_index",
-)
-
-
-def _no(kind: str) -> Column:
-    return F.lit(None).cast(kind)
+_UV_WARNING = f"if(has_uv, null, {quote(fixed.WARN_UV)})"
+_TODAY_WARNING = f"if(has_today, null, {quote(fixed.WARN_TODAY)})"
+_TODAY_DATE = "coalesce(today_date, date_format(slot, 'yyyyMMdd'))"
+_PASSED = {
+    c: c
+    for c in (
+        "oak_pollen",
+        "pine_pollen",
+        "pm10",
+        "pm25",
+        "yellow_dust",
+        "yellow_dust_advisory",
+        "yellow_dust_source",
+        "uv_index",
+    )
+}
 
 
-def current_columns() -> dict[str, Column]:
+def current_columns() -> dict[str, str]:
     """Current conditions: observed temperature, else the living index, with a source label."""
-    observed = F.col("current_temperature")
-    feels = F.coalesce(observed, F.col("living_temp"))
-    source = F.when(
-        observed.isNotNull(), F.coalesce("temperature_source", F.lit("ultra_short_temperature"))
-    ).otherwise(F.lit("living_weather_index"))
+    feels = "coalesce(current_temperature, living_temp)"
+    source = (
+        "if(current_temperature is not null, coalesce(temperature_source, 'ultra_short_temperature'),"
+        " 'living_weather_index')"
+    )
     warnings = {
         **_common_warnings(feels, fixed.WARN_LIVING_CURRENT),
-        "temperature": F.when(~F.col("has_temp") & F.col("has_living"), F.lit(fixed.WARN_TEMPERATURE)),
-        "uv_index": _uv_warning(),
+        "temperature": f"if(not has_temp and has_living, {quote(fixed.WARN_TEMPERATURE)}, null)",
+        "uv_index": _UV_WARNING,
     }
     return {
-        **{c: F.col(c) for c in _PASSED},
+        **_PASSED,
         "feels_like_temp": feels,
         "feels_like_temp_source": source,
-        "other_special_notice": F.col("other_special_notice"),
-        "other_special_notice_source": F.col("other_special_notice_source"),
-        "precipitation_probability": F.col("precipitation_probability"),
-        "forecast_type": F.lit("current_conditions"),
-        "forecast_period": F.lit("current"),
-        "forecast_date": _no("string"),
-        "min_temperature": _no("double"),
-        "max_temperature": _no("double"),
+        "other_special_notice": "other_special_notice",
+        "other_special_notice_source": "other_special_notice_source",
+        "precipitation_probability": "precipitation_probability",
+        "forecast_type": "'current_conditions'",
+        "forecast_period": "'current'",
+        "forecast_date": "cast(null as string)",
+        "min_temperature": "cast(null as double)",
+        "max_temperature": "cast(null as double)",
         "data_warnings": _warnings(warnings),
     }
 
 
-def daily_columns() -> dict[str, Column]:
+def daily_columns() -> dict[str, str]:
     """Whole day: hourly living maximum, else the living value, else today's maximum temperature."""
-    living = F.coalesce("living_max", "living_temp")
-    feels = F.coalesce(living, F.col("today_max"))
+    living = "coalesce(living_max, living_temp)"
+    feels = f"coalesce({living}, today_max)"
     warnings = {
         **_common_warnings(feels, fixed.WARN_LIVING_DAILY),
-        "uv_index": _uv_warning(),
-        "today_forecast": F.when(~F.col("has_today"), F.lit(fixed.WARN_TODAY)),
+        "uv_index": _UV_WARNING,
+        "today_forecast": _TODAY_WARNING,
     }
     return {
-        **{c: F.col(c) for c in _PASSED},
+        **_PASSED,
         "feels_like_temp": feels,
-        "feels_like_temp_source": F.when(living.isNotNull(), F.lit("living_weather_index_today_max")).otherwise(
-            F.lit("today_max_forecast_temperature")
-        ),
-        "other_special_notice": F.when(F.col("has_today"), F.col("today_notice")).otherwise(F.lit(fixed.NOTICE_UNKNOWN)),
-        "other_special_notice_source": F.col("today_source"),
-        "precipitation_probability": F.col("today_pop"),
-        "forecast_type": F.lit("daily_full_forecast"),
-        "forecast_period": F.coalesce("today_period", F.lit("today_remaining")),
-        "forecast_date": _today_date(),
-        "min_temperature": F.col("today_min"),
-        "max_temperature": F.col("today_max"),
+        "feels_like_temp_source": f"if({living} is not null, 'living_weather_index_today_max', 'today_max_forecast_temperature')",
+        "other_special_notice": f"if(has_today, today_notice, {quote(fixed.NOTICE_UNKNOWN)})",
+        "other_special_notice_source": "today_source",
+        "precipitation_probability": "today_pop",
+        "forecast_type": "'daily_full_forecast'",
+        "forecast_period": "coalesce(today_period, 'today_remaining')",
+        "forecast_date": _TODAY_DATE,
+        "min_temperature": "today_min",
+        "max_temperature": "today_max",
         "data_warnings": _warnings(warnings),
     }
 
 
-def morning_columns() -> dict[str, Column]:
+def morning_columns() -> dict[str, str]:
     """Current conditions with rain and temperatures taken from today's summary.
 
     Replaced, not coalesced: an absent summary leaves them missing.
     """
     base = current_columns()
-    absent = F.map_from_arrays(F.array(F.lit("today_forecast")), F.array(F.lit(fixed.WARN_TODAY)))
+    absent = f"map('today_forecast', {quote(fixed.WARN_TODAY)})"
+    warnings = base["data_warnings"]
     return {
         **base,
-        "precipitation_probability": F.col("today_pop"),
-        "forecast_type": F.lit("morning_mixed"),
-        "forecast_period": F.lit("today_full_with_current_conditions"),
-        "forecast_date": _today_date(),
-        "min_temperature": F.col("today_min"),
-        "max_temperature": F.col("today_max"),
-        "data_warnings": F.when(F.col("has_today"), base["data_warnings"]).otherwise(
-            F.map_concat(base["data_warnings"], absent)
-        ),
+        "precipitation_probability": "today_pop",
+        "forecast_type": "'morning_mixed'",
+        "forecast_period": "'today_full_with_current_conditions'",
+        "forecast_date": _TODAY_DATE,
+        "min_temperature": "today_min",
+        "max_temperature": "today_max",
+        "data_warnings": f"if(has_today, {warnings}, map_concat({warnings}, {absent}))",
     }
 
 
-def _today_date() -> Column:
-    return F.coalesce("today_date", F.date_format("slot", "yyyyMMdd"))
-
-
-def _project(stacked: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
-    return stacked.select(*KEYS, *[c.alias(n) for n, c in columns.items()])
+def _project(stacked: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    return stacked.selectExpr(*KEYS, *[f"{c} as {n}" for n, c in columns.items()])
 
 
 def merge_current(stacked: DataFrame) -> DataFrame:
@@ -205,38 +195,38 @@ def slot_dispatch(stacked: DataFrame) -> DataFrame:
 
     Chosen column by column in one projection, so the feeds are read and merged once.
     """
-    hour = F.hour("slot")
     daily, morning, current = daily_columns(), morning_columns(), current_columns()
-    return _project(
-        stacked, {n: F.when(hour == 0, daily[n]).when(hour == 6, morning[n]).otherwise(current[n]) for n in current}
-    )
+
+    def pick(name: str) -> str:
+        if daily[name] == morning[name] == current[name]:
+            return current[name]
+        return f"case hour(slot) when 0 then {daily[name]} when 6 then {morning[name]} else {current[name]} end"
+
+    return _project(stacked, {n: pick(n) for n in current})
 
 
 # -- contract and publishing ----------------------------------------------------------------------
 
 
-def _has(index: str) -> Column:
-    value = F.col(index)
+def _has(index: str) -> str:
     if index == "other_special_notice":
-        return F.coalesce(~value.isin("", fixed.NOTICE_UNKNOWN), F.lit(False))
-    return value.isNotNull()
+        return f"coalesce({index} not in ('', {quote(fixed.NOTICE_UNKNOWN)}), false)"
+    return f"{index} is not null"
 
 
-def collected_count() -> Column:
-    """How many of the nine indices have a value."""
-    return reduce(Column.__add__, [_has(i).cast("int") for i in fixed.CONTRACT_INDICES])
+def collected_count() -> str:
+    """SQL: how many of the nine indices have a value."""
+    return " + ".join(f"if({_has(i)}, 1, 0)" for i in fixed.CONTRACT_INDICES)
 
 
-def missing_contract_indices() -> Column:
-    """Names of the missing indices in contract order."""
-    return F.array_compact(F.array(*[F.when(~_has(i), F.lit(i)) for i in fixed.CONTRACT_INDICES]))
+def missing_contract_indices() -> str:
+    """SQL: names of the missing indices in contract order."""
+    return present(f"if({_has(i)}, null, {quote(i)})" for i in fixed.CONTRACT_INDICES)
 
 
 def completeness(messages: DataFrame, minimum: int = 1) -> DataFrame:
-    count = collected_count()
-    return messages.withColumns(
-        {"collected": count, "missing": missing_contract_indices(), "publishable": count >= minimum}
-    )
+    counted = messages.selectExpr("*", f"{collected_count()} as collected", f"{missing_contract_indices()} as missing")
+    return counted.withColumn("publishable", F.col("collected") >= minimum)
 
 
 def publish_gate(messages: DataFrame, minimum: int = 1) -> tuple[DataFrame, DataFrame]:

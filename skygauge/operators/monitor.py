@@ -29,27 +29,27 @@ def perf_summary(metrics: DataFrame, now: Column, since: str) -> DataFrame:
     """One row for the window: count, throughput, percentiles of both measures, rates."""
     days = lookback_days(since)
     window = metrics.where(F.col("processed_at") >= now - lookback_interval(since))
-    n = F.col("n")
     base = window.agg(
         F.count("*").alias("n"),
         F.count(F.when(F.col("indexed"), True)).alias("_indexed"),
         F.count(F.when(F.col("missing_count") > 0, True)).alias("_missing"),
     ).select(
-        n,
-        round_1dp(n / F.lit(days)).alias("throughput_per_day") if days else F.lit(None).cast("double").alias("throughput_per_day"),
-        F.bround(F.try_divide(F.col("_indexed"), n), 4).alias("index_success_rate"),
-        F.bround(F.try_divide(F.col("_missing"), n), 4).alias("missing_rate"),
+        "n",
+        F.expr(round_1dp(f"try_divide(n, {days}D)")).alias("throughput_per_day"),
+        F.bround(F.try_divide(F.col("_indexed"), F.col("n")), 4).alias("index_success_rate"),
+        F.bround(F.try_divide(F.col("_missing"), F.col("n")), 4).alias("missing_rate"),
     )
     long = window.select(
         F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in _MEASURES]))
     )
     ranks = {p: rank_pair(q, F.col("n")) for p, q in _POINTS.items()}
     ordered = exact_quantiles(long, ["measure"], "value", ranks)
-    wide = ordered.agg(
+    points = ordered.select("measure", *[interpolated(F.col(p), F.col("n"), q).alias(p) for p, q in _POINTS.items()])
+    wide = points.agg(
         *[
-            F.max(F.when(F.col("measure") == m, round_1dp(interpolated(F.col(p), F.col("n"), q)))).alias(f"{short}_{p}")
+            F.expr(f"max(case when measure = '{m}' then {round_1dp(p)} end) as {short}_{p}")
             for m, short in _MEASURES.items()
-            for p, q in _POINTS.items()
+            for p in _POINTS
         ]
     )
     return _joined_one_row(base, wide)
@@ -129,8 +129,8 @@ def api_call_stats(calls: DataFrame) -> DataFrame:
     return out.select(
         "api",
         "n",
-        round_1dp((F.col("mid.lo") + F.col("mid.hi")) / 2).alias("p50"),
-        round_1dp(F.col("top.lo")).alias("p95"),
+        F.expr(round_1dp("(mid.lo + mid.hi) / 2")).alias("p50"),
+        F.expr(round_1dp("top.lo")).alias("p95"),
     )
 
 

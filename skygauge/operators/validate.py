@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skygauge import fixed
 from skygauge.functions.scalars import evaluate_once, safe_float, utc_suffix
+from skygauge.functions.text import present, quote
 
 NUMERIC_FIELDS = (
     "oak_pollen",
@@ -30,41 +31,31 @@ EMPTY, NOT_JSON, NOT_OBJECT = "empty value", "invalid json", "not an object"
 BAD_VERSION, MISSING_KEYS, BAD_TIME = "unsupported schema_version: ", "missing required keys: ", "bad timestamp"
 
 
-def _text(path: str) -> Column:
-    return F.try_variant_get("_doc", f"$.{path}", "string")
+def _variant(name: str, kind: str) -> str:
+    return f"try_variant_get(_doc, '$.{name}', '{kind}')"
 
 
-def _kind(path: str) -> Column:
-    """Variant type of a field; null when the field is absent."""
-    return F.schema_of_variant(F.try_variant_get("_doc", f"$.{path}", "variant"))
-
-
-def _alone(text: Column) -> Column:
+def _alone(text: str) -> str:
     """The text is one JSON value with nothing after it.
 
     The variant parser stops at the end of the first value. Wrapped as the first member of an object
     whose last key is the text's own digest, any trailing text either breaks the JSON or hides that key.
     """
-    digest = F.md5(text)
-    keys = F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit(',"'), digest, F.lit('":0}')))
-    return F.coalesce((F.size(keys) == 2) & (F.element_at(keys, 2) == digest), F.lit(False))
+    keys = f"json_object_keys(concat('{{\"v\":', {text}, ',\"', md5({text}), '\":0}}'))"
+    return f"coalesce(size({keys}) = 2 and element_at({keys}, 2) = md5({text}), false)"
 
 
-def _falsy(kind: Column, text: Column, body: Column) -> Column:
-    """Absent, null, false, zero, or an empty string, list or object."""
-    number = kind.rlike(_NUMERIC_KIND) & (text.try_cast("double") == 0)
-    return F.coalesce(
-        kind.isNull()
-        | (kind == "VOID")
-        | ((kind == "BOOLEAN") & (text == "false"))
-        | ((kind == "STRING") & (text == ""))
-        | number
-        | body.isin("[]", "{}"),
-        F.lit(False),
-    )
+_NUMERIC = "rlike '^(BIGINT|DECIMAL|DOUBLE|FLOAT)'"
 
 
-_NUMERIC_KIND = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
+def _falsy(key: str) -> str:
+    """Absent, null, false, zero, or an empty string, list or object."""
+    kind, text = f"_kind_{key}", f"_text_{key}"
+    return (
+        f"coalesce({kind} is null or {kind} = 'VOID' or ({kind} = 'BOOLEAN' and {text} = 'false')"
+        f" or ({kind} = 'STRING' and {text} = '') or ({kind} {_NUMERIC} and try_cast({text} as double) = 0)"
+        f" or _body_{key} in ('[]', '{{}}'), false)"
+    )
 
 
 def validate(records: DataFrame) -> DataFrame:
@@ -73,65 +64,52 @@ def validate(records: DataFrame) -> DataFrame:
     `reason` is null for a valid message. Numbers follow the missing-value rule: absent or unreadable
     stays null. Narrow throughout; the value is parsed once and each field read once.
     """
-    raw_text = F.col("value").cast("string")
+    raw_text = "cast(value as string)"
     parsed = evaluate_once(
         records,
         {
-            "text": F.make_valid_utf8(raw_text),
-            "_doc": F.when(F.is_valid_utf8(raw_text), F.try_parse_json(F.make_valid_utf8(raw_text))),
+            "text": f"make_valid_utf8({raw_text})",
+            "_doc": f"if(is_valid_utf8({raw_text}), try_parse_json(make_valid_utf8({raw_text})), null)",
         },
     )
     checked = ("schema_version", *fixed.REQUIRED_KEYS)
     read = evaluate_once(
         parsed,
         {
-            "_doc_kind": F.schema_of_variant("_doc"),
-            "_alone": _alone(F.col("text")),
-            **{f"_kind_{k}": _kind(k) for k in checked},
-            **{f"_text_{n}": _text(n) for n in (*checked, *NUMERIC_FIELDS, *TEXT_FIELDS)},
-            **{
-                f"_body_{k}": F.to_json(F.try_variant_get("_doc", f"$.{k}", "variant")) for k in fixed.REQUIRED_KEYS
-            },
-            "data_warnings": F.try_variant_get("_doc", "$.data_warnings", "map<string,string>"),
+            "_doc_kind": "schema_of_variant(_doc)",
+            "_alone": _alone("text"),
+            # the variant type of a field; null when the field is absent
+            **{f"_kind_{k}": f"schema_of_variant({_variant(k, 'variant')})" for k in checked},
+            **{f"_text_{n}": _variant(n, "string") for n in (*checked, *NUMERIC_FIELDS, *TEXT_FIELDS)},
+            **{f"_body_{k}": f"to_json({_variant(k, 'variant')})" for k in fixed.REQUIRED_KEYS},
+            "data_warnings": _variant("data_warnings", "map<string,string>"),
         },
     ).drop("_doc")
-    version, version_kind = F.col("_text_schema_version"), F.col("_kind_schema_version")
+    version, version_kind = "_text_schema_version", "_kind_schema_version"
     version_ok = (
-        version_kind.isNull()
-        | (version_kind == "VOID")
-        | ((version_kind == "BOOLEAN") & (version == "true"))
-        | (version_kind.rlike(_NUMERIC_KIND) & (version.try_cast("double") == fixed.SCHEMA_VERSION))
-    )
-    lacking = F.array_compact(
-        F.array(
-            *[
-                F.when(_falsy(F.col(f"_kind_{k}"), F.col(f"_text_{k}"), F.col(f"_body_{k}")), F.lit(k))
-                for k in fixed.REQUIRED_KEYS
-            ]
-        )
-    )
-    reason = (
-        F.when(F.col("value").isNull(), F.lit(EMPTY))
-        .when(F.col("_doc_kind").isNull() | ~F.col("_alone"), F.lit(NOT_JSON))
-        .when(~F.col("_doc_kind").startswith("OBJECT"), F.lit(NOT_OBJECT))
-        .when(~F.coalesce(version_ok, F.lit(False)), F.concat(F.lit(BAD_VERSION), F.coalesce(version, version_kind)))
-        .when(F.size(lacking) > 0, F.concat(F.lit(MISSING_KEYS), F.array_join(lacking, ", ")))
-        .when(F.col("_kind_timestamp") != "STRING", F.lit(BAD_TIME))
+        f"({version_kind} is null or {version_kind} = 'VOID' or ({version_kind} = 'BOOLEAN' and {version} = 'true')"
+        f" or ({version_kind} {_NUMERIC} and try_cast({version} as double) = {fixed.SCHEMA_VERSION}))"
     )
+    lacking = present(f"if({_falsy(k)}, '{k}', null)" for k in fixed.REQUIRED_KEYS)
+    reason = f"""case when value is null then {quote(EMPTY)}
+        when _doc_kind is null or not _alone then {quote(NOT_JSON)}
+        when not startswith(_doc_kind, 'OBJECT') then {quote(NOT_OBJECT)}
+        when not coalesce({version_ok}, false) then concat({quote(BAD_VERSION)}, coalesce({version}, {version_kind}))
+        when size({lacking}) > 0 then concat({quote(MISSING_KEYS)}, array_join({lacking}, ', '))
+        when _kind_timestamp <> 'STRING' then {quote(BAD_TIME)} end"""
     fields = {
-        "event_id": F.col("_text_event_id"),
-        "region": F.col("_text_region"),
-        "timestamp": utc_suffix(F.col("_text_timestamp")),
-        **{n: safe_float(F.col(f"_text_{n}")) for n in NUMERIC_FIELDS},
-        **{n: F.col(f"_text_{n}") for n in TEXT_FIELDS},
+        "event_id": "_text_event_id",
+        "region": "_text_region",
+        "timestamp": utc_suffix("_text_timestamp"),
+        **{n: safe_float(f"_text_{n}") for n in NUMERIC_FIELDS},
+        **{n: f"_text_{n}" for n in TEXT_FIELDS},
     }
-    out = evaluate_once(read, {"reason": reason})
-    return out.select(
-        *records.columns,
+    return evaluate_once(read, {"reason": reason}).selectExpr(
+        *[f"`{c}`" for c in records.columns],
         "text",
         "reason",
         "data_warnings",
-        *[F.when(F.col("reason").isNull(), c).alias(n) for n, c in fields.items()],
+        *[f"if(reason is null, {c}, null) as {n}" for n, c in fields.items()],
     )
 
 

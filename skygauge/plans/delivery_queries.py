@@ -130,7 +130,7 @@ _GATE_OUT = "event_id, sig AS signature, send, reason, recorded"
     SELECT *, previous IS NULL OR previous <> signature AS changed FROM p""",
 )
 def signature_changes_query(spark, sf_dir):
-    rows = views.graded(spark, sf_dir).select("event_id", "region", F.col("msg_offset").alias("offset"), signature().alias("signature"))
+    rows = views.graded(spark, sf_dir).select("event_id", "region", F.col("msg_offset").alias("offset"), F.expr(signature()).alias("signature"))
     return signature_changes(rows).select("event_id", "signature", "previous", "changed")
 
 
@@ -187,7 +187,7 @@ def state_upsert(spark, sf_dir):
 def state_lookup(spark, sf_dir):
     known = views.events(spark, sf_dir).select("region")
     unknown = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("region"))
-    history = views.graded(spark, sf_dir).where("region < 'R10'").select("region", "timestamp", signature().alias("grade_signature"))
+    history = views.graded(spark, sf_dir).where("region < 'R10'").select("region", "timestamp", F.expr(signature()).alias("grade_signature"))
     out = delivery.state_lookup(known.unionByName(unknown), _state(spark, sf_dir).where("region >= 'R05'"), history)
     return out.select("region", "signature", "source")
 

@@ -37,7 +37,7 @@ def _marked(text_type: str) -> str:
 )
 def safe_float_query(spark, sf_dir):
     t = views.events(spark, sf_dir).withColumn("v", F.format_string("%.2f", "value"))
-    return t.select("event_id", safe_float(F.expr(_marked("string"))).alias("number"))
+    return t.withColumn("t", F.expr(_marked("string"))).select("event_id", F.expr(safe_float("t")).alias("number"))
 
 
 def _slot_sql(column: str, hours, delay: int) -> str:
@@ -117,8 +117,8 @@ def _items(payloads):
         "event_id",
         "ord",
         F.col("item")["stationName"].alias("station"),
-        safe_float(F.col("item")["pm10Value"]).alias("pm10"),
-        safe_float(F.col("item")["pm25Value"]).alias("pm25"),
+        F.expr(safe_float("item['pm10Value']")).alias("pm10"),
+        F.expr(safe_float("item['pm25Value']")).alias("pm25"),
     )
 
 
@@ -160,7 +160,7 @@ _DAY_ITEM = {
 def forecast_first_value(spark, sf_dir):
     e = views.events(spark, sf_dir).withColumn("v", F.format_string("%.2f", "value"))
     item = F.create_map(*[c for name, text in _DAY_ITEM.items() for c in (F.lit(name), F.expr(text))])
-    return e.select("event_id", ingest.forecast_value(item).alias("value"))
+    return e.select("event_id", item.alias("item")).selectExpr("event_id", f"{ingest.forecast_value('item')} as value")
 
 
 @query(

@@ -11,7 +11,6 @@ from skygauge.functions.grading import (
     band_table,
     core_missing,
     grade_by_table,
-    grade_col,
     grades_long,
     missing_count,
     missing_names,
@@ -90,7 +89,7 @@ def grade_range_join(spark, sf_dir):
       {sql.groups(lambda c, a, r: f"'{a}'")} AS actions, {sql.groups(lambda c, a, r: r)} AS reasons FROM graded""",
 )
 def action_groups_query(spark, sf_dir):
-    g = views.graded(spark, sf_dir).select("event_id", action_groups().alias("g"))
+    g = views.graded(spark, sf_dir).select("event_id", F.expr(action_groups()).alias("g"))
     return g.select(
         "event_id",
         F.array_join("g.code", "|").alias("groups"),
@@ -107,7 +106,7 @@ def action_groups_query(spark, sf_dir):
 def action_group_counts(spark, sf_dir):
     return (
         views.graded(spark, sf_dir)
-        .select(F.explode(action_groups()["code"]).alias("group_name"))
+        .select(F.explode(F.expr(action_groups())["code"]).alias("group_name"))
         .groupBy("group_name")
         .agg(F.count("*").alias("n"))
     )
@@ -118,9 +117,8 @@ def action_group_counts(spark, sf_dir):
     f"WITH {sql.GRADED} SELECT event_id, {sql.SEVERITY} AS severity, {sql.SEVERITY} AS severity_from_groups FROM graded",
 )
 def severity_query(spark, sf_dir):
-    return views.graded(spark, sf_dir).select(
-        "event_id", severity().alias("severity"), severity_of_groups(action_groups()["code"]).alias("severity_from_groups")
-    )
+    coded = views.graded(spark, sf_dir).selectExpr("event_id", f"{severity()} as severity", f"{action_groups()} as g")
+    return coded.selectExpr("event_id", "severity", f"{severity_of_groups('g.code')} as severity_from_groups")
 
 
 @query(
@@ -128,17 +126,17 @@ def severity_query(spark, sf_dir):
     f"WITH {sql.GRADED} SELECT region, {sql.SEVERITY} AS severity, count(*) AS n FROM graded GROUP BY 1, 2",
 )
 def severity_history(spark, sf_dir):
-    return views.graded(spark, sf_dir).groupBy("region", severity().alias("severity")).agg(F.count("*").alias("n"))
+    return views.graded(spark, sf_dir).groupBy("region", F.expr(severity()).alias("severity")).agg(F.count("*").alias("n"))
 
 
 @query("grade_signature", f"WITH {sql.GRADED} SELECT event_id, {sql.SIGNATURE} AS signature FROM graded")
 def grade_signature(spark, sf_dir):
-    return views.graded(spark, sf_dir).select("event_id", signature().alias("signature"))
+    return views.graded(spark, sf_dir).select("event_id", F.expr(signature()).alias("signature"))
 
 
 @query("core_missing", f"WITH {sql.MSG} SELECT event_id, {sql.CORE} AS core_missing FROM msg")
 def core_missing_query(spark, sf_dir):
-    return views.graded(spark, sf_dir).select("event_id", core_missing().alias("core_missing"))
+    return views.graded(spark, sf_dir).select("event_id", F.expr(core_missing()).alias("core_missing"))
 
 
 @query(
@@ -147,7 +145,7 @@ def core_missing_query(spark, sf_dir):
 )
 def missing_indices(spark, sf_dir):
     return views.graded(spark, sf_dir).select(
-        "event_id", F.array_join(missing_names(), "|").alias("missing"), missing_count().alias("missing_count")
+        "event_id", F.array_join(F.expr(missing_names()), "|").alias("missing"), F.expr(missing_count()).alias("missing_count")
     )
 
 
@@ -158,7 +156,7 @@ def missing_indices(spark, sf_dir):
 def missing_by_index(spark, sf_dir):
     return (
         views.graded(spark, sf_dir)
-        .select(F.explode(missing_names()).alias("index_name"))
+        .select(F.explode(F.expr(missing_names())).alias("index_name"))
         .groupBy("index_name")
         .agg(F.count("*").alias("n"))
     )
@@ -221,7 +219,7 @@ def history_months(spark, sf_dir):
     return (
         views.graded(spark, sf_dir)
         .groupBy(month_key(F.col("timestamp")).alias("month"))
-        .agg(F.count("*").alias("n"), F.count(F.when(severity() == "CRITICAL", True)).alias("critical"))
+        .agg(F.count("*").alias("n"), F.count(F.when(F.expr(severity()) == "CRITICAL", True)).alias("critical"))
     )
 
 
@@ -239,9 +237,9 @@ def _shown(index: str) -> str:
 
 def _alerts(spark, sf_dir):
     hour = F.hour("slot")
-    return (
+    alerts = (
         views.graded(spark, sf_dir, advice=True)
-        .withColumn("action_groups", action_groups())
+        .withColumn("action_groups", F.expr(action_groups()))
         .withColumn("forecast_type", F.when(hour == 0, "daily_full_forecast").when(hour == 6, "morning_mixed").when(hour == 12, "current_conditions").otherwise("other"))
         .withColumn("min_temperature", F.when(hour == 0, F.col("feels_like_temp") - 2))
         .withColumn("max_temperature", F.when(hour == 0, F.col("feels_like_temp") + 5))
@@ -250,6 +248,7 @@ def _alerts(spark, sf_dir):
             F.when(F.col("pm10").isNull(), F.create_map(F.lit("air_quality"), F.lit("<denied> & more"))),
         )
     )
+    return render.prepare(alerts)
 
 
 @query(
@@ -282,7 +281,8 @@ _RISKS = (
 
 @query("top_risks", f"WITH {sql.GRADED} SELECT event_id, array_to_string({_RISKS}, '|') AS risks FROM graded")
 def top_risks(spark, sf_dir):
-    return views.graded(spark, sf_dir).select("event_id", F.array_join(render.top_risks(), "|").alias("risks"))
+    prepared = render.prepare(views.graded(spark, sf_dir))
+    return prepared.selectExpr("event_id", f"array_join({render.top_risks()}, '|') as risks")
 
 
 _TITLE_SQL = (
@@ -311,7 +311,7 @@ def _degrees(expr: str) -> str:
     FROM a""",
 )
 def short_text(spark, sf_dir):
-    return _alerts(spark, sf_dir).select("event_id", render.short_text().alias("text"))
+    return _alerts(spark, sf_dir).select("event_id", F.expr(render.short_text()).alias("text"))
 
 
 @query(
@@ -326,7 +326,7 @@ def short_text(spark, sf_dir):
     FROM a""",
 )
 def webhook_payload(spark, sf_dir):
-    p = _alerts(spark, sf_dir).select("event_id", render.webhook_payload().alias("p"))
+    p = _alerts(spark, sf_dir).select("event_id", F.expr(render.webhook_payload()).alias("p"))
 
     def at(path: str):
         return F.get_json_object("p", f"$.attachments{path}")
@@ -344,6 +344,6 @@ def webhook_payload(spark, sf_dir):
 
 @query("long_text")
 def long_text(spark, sf_dir):
-    return _alerts(spark, sf_dir).select(
-        "event_id", render.subject().alias("subject"), render.long_text().alias("text"), render.long_html().alias("html")
+    return _alerts(spark, sf_dir).selectExpr(
+        "event_id", f"{render.subject()} as subject", f"{render.long_text()} as text", f"{render.long_html()} as html"
     )

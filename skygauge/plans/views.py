@@ -120,8 +120,7 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def coarse_signature() -> Column:
-    return F.when(F.col("pm10").isNull(), F.lit("U")).when(F.col("pm10") <= 80, F.lit("L")).otherwise(F.lit("H"))
+COARSE_SIGNATURE = "case when pm10 is null then 'U' when pm10 <= 80 then 'L' else 'H' end"
 
 
 def gate_rows(spark: SparkSession, sf_dir: str, coarse: bool = True) -> DataFrame:
@@ -131,8 +130,8 @@ def gate_rows(spark: SparkSession, sf_dir: str, coarse: bool = True) -> DataFram
         "region",
         F.col("msg_offset").alias("offset"),
         F.col("ts").alias("clock"),
-        (coarse_signature() if coarse else signature()).alias("signature"),
-        core_missing().alias("core_missing"),
+        F.expr(COARSE_SIGNATURE if coarse else signature()).alias("signature"),
+        F.expr(core_missing()).alias("core_missing"),
         (F.col("msg_offset") % 5 != 0).alias("delivered"),
         F.lit(True).alias("enabled"),
         "event_id",
@@ -172,8 +171,8 @@ def decided_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "timestamp",
         "ts",
         "slot",
-        missing_names().alias("missing"),
-        severity().alias("severity"),
+        F.expr(missing_names()).alias("missing"),
+        F.expr(severity()).alias("severity"),
     )
     return decisions(spark, sf_dir).join(details, "event_id")
 

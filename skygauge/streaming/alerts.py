@@ -72,16 +72,17 @@ class AlertStream:
                 decided.unpersist()
 
     def _graded(self, messages: DataFrame) -> DataFrame:
-        g = with_grades(messages)
-        return g.withColumns(
-            {
-                "signature": signature(),
-                "core_missing": core_missing(),
-                "action_groups": F.transform(action_groups(), lambda a: a["code"]),
-                "severity": severity(),
-                "missing": missing_names(),
-                "clock": self.clock(),
-            }
+        return (
+            with_grades(messages)
+            .selectExpr(
+                "*",
+                f"{signature()} as signature",
+                f"{core_missing()} as core_missing",
+                f"{action_groups()}.code as action_groups",
+                f"{severity()} as severity",
+                f"{missing_names()} as missing",
+            )
+            .withColumn("clock", self.clock())
         )
 
     def _decide(self, graded: DataFrame, state: DataFrame) -> DataFrame:
