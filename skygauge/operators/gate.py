@@ -55,33 +55,78 @@ def send_gate(
     )
     if state is not None:
         live = live.unionByName(_seed_rows(state, live), allowMissingColumns=True)
-    live = with_chunk(live, "offset", chunk_rows)
+    classified = cut_lineage(_classify(with_chunk(live, "offset", chunk_rows), silence))
+    if not silence:
+        return _finish(classified.withColumn("_beat", F.lit(False)), extra)
+    heartbeats = _heartbeats(classified.where("_open"), silence, chunk_rows, fold_rows)
+    return _finish(classified.join(heartbeats, ["region", "offset"], "left"), extra)
+
+
+_BEFORE = "over (partition by region, _chunk order by offset rows between unbounded preceding and 1 preceding)"
+_CHUNKS_BEFORE = "over (partition by region order by _chunk rows between unbounded preceding and 1 preceding)"
+
+
+def _classify(rows: DataFrame, silence: int) -> DataFrame:
+    """Settle everything but the chains: `_changed`, and `_open` with its `_run` and `_anchor_at`.
 
-    seen = carry(live, ["region"], "offset", {"_psig": ("last", F.col("_mark"))}, chunk_rows)
-    changed = ~F.col("core_missing") & ~F.col("_seed") & (
-        F.col("_psig").isNull() | (F.col("_psig") != F.col("signature"))
+    One exchange on (region, chunk). In a chunk all rows after its first marking row are settled
+    locally; only that first one (`_tent`) can become an anchor or not depending on what earlier chunks
+    carry in, and that is decided on the summary with one row per chunk.
+    """
+    scanned = (
+        rows.selectExpr("*", f"last(_mark, true) {_BEFORE} as _local")
+        .selectExpr(
+            "*",
+            "(_seed and _at is not null) or"
+            " (not _seed and not core_missing and delivered and _local is not null and _local <> signature) as _anchor",
+            "not _seed and not core_missing and delivered and _local is null as _tent",
+        )
+        .selectExpr(
+            "*",
+            *[
+                f"last(if({flag}, {value}, null), true) {_BEFORE} as {name}"
+                for flag, value, name in (
+                    ("_anchor", "offset", "_a_off"),
+                    ("_anchor", "_at", "_a_at"),
+                    ("_tent", "offset", "_t_off"),
+                    ("_tent", "_at", "_t_at"),
+                )
+            ],
+        )
     )
-    seen = seen.withColumn("_changed", changed)
-    if not silence:
-        return _finish(seen, F.lit(False), extra)
-
-    anchor = (F.col("_changed") & F.col("delivered")) | (F.col("_seed") & F.col("_at").isNotNull())
-    runs = carry(
-        seen, ["region"], "offset",
-        {
-            "_run": ("last", F.when(anchor, F.col("offset"))),
-            "_anchor_at": ("last", F.when(anchor, F.col("_at"))),
-        },
-        chunk_rows,
+    chunks = (
+        scanned.groupBy("region", "_chunk")
+        .agg(
+            F.expr("max_by(_mark, offset) filter (where _mark is not null) as mark"),
+            F.expr("max(offset) filter (where _anchor) as a_off"),
+            F.expr("max_by(_at, offset) filter (where _anchor) as a_at"),
+            F.expr("max(offset) filter (where _tent) as t_off"),
+            F.expr("max_by(_at, offset) filter (where _tent) as t_at"),
+            F.expr("max_by(signature, offset) filter (where _tent) as t_sig"),
+        )
+        .selectExpr("*", f"last(mark, true) {_CHUNKS_BEFORE} as _sig_in")
+        .selectExpr("*", "t_off is not null and (_sig_in is null or _sig_in <> t_sig) as _t_real")
+        .selectExpr("*", "coalesce(a_off, if(_t_real, t_off, null)) as o", "coalesce(a_at, if(_t_real, t_at, null)) as t")
+        .selectExpr(
+            "region", "_chunk", "_sig_in", "_t_real",
+            f"last(o, true) {_CHUNKS_BEFORE} as _off_in", f"last(t, true) {_CHUNKS_BEFORE} as _at_in",
+        )
     )
-    # A row already `silence` past its anchor, with an unchanged signature, depends on the chain.
-    open_row = (
-        ~F.col("_seed") & ~F.col("core_missing") & ~F.col("_changed")
-        & (F.col("_at") - F.col("_anchor_at") >= silence)
+    kept = [c for c in rows.columns if c != "_mark"]
+    return (
+        scanned.join(chunks, ["region", "_chunk"], "left")
+        .selectExpr(
+            *kept,
+            "coalesce(_local, _sig_in) as _psig",
+            "coalesce(_a_off, if(_t_real, _t_off, null), _off_in) as _run",
+            "coalesce(_a_at, if(_t_real, _t_at, null), _at_in) as _anchor_at",
+        )
+        .where("not _seed")
+        .selectExpr("*", "not core_missing and (_psig is null or _psig <> signature) as _changed")
+        # A row already `silence` past its anchor, with an unchanged signature, depends on the chain.
+        .selectExpr("*", f"coalesce(not core_missing and not _changed and _at - _anchor_at >= {silence}, false) as _open")
+        .drop("_seed", "_psig")
     )
-    heartbeats = _heartbeats(runs.where(open_row), silence, chunk_rows, fold_rows)
-    out = seen.join(heartbeats, ["region", "offset"], "left")
-    return _finish(out, F.coalesce(F.col("_beat"), F.lit(False)), extra)
 
 
 def _seed_rows(state: DataFrame, live: DataFrame) -> DataFrame:
@@ -98,19 +143,15 @@ def _seed_rows(state: DataFrame, live: DataFrame) -> DataFrame:
     )
 
 
-def _finish(rows: DataFrame, beat: Column, extra: list[str]) -> DataFrame:
-    send = F.col("_changed") | beat
+def _finish(rows: DataFrame, extra: list[str]) -> DataFrame:
+    decided = rows.withColumn("send", F.col("_changed") | F.coalesce(F.col("_beat"), F.lit(False)))
     reason = (
-        F.when(F.col("core_missing"), F.lit("core_missing"))
-        .when(F.col("_changed"), F.lit("change"))
-        .when(beat, F.lit("heartbeat"))
-        .otherwise(F.lit("suppressed"))
+        "case when core_missing then 'core_missing' when _changed then 'change'"
+        " when send then 'heartbeat' else 'suppressed' end as reason"
     )
-    return rows.where(~F.col("_seed")).select(
-        "region", "offset", "clock", "signature", "core_missing", "delivered", "enabled", *extra,
-        send.alias("send"),
-        reason.alias("reason"),
-        recorded(send, F.col("enabled"), F.col("delivered")).alias("recorded"),
+    return decided.selectExpr(
+        "region", "offset", "clock", "signature", "core_missing", "delivered", "enabled", *extra, "send", reason,
+        "not send or not enabled or delivered as recorded",
     )
 
 
@@ -121,45 +162,42 @@ def recorded(attempted: Column, enabled: Column, delivered: Column) -> Column:
 
 def _heartbeats(open_rows: DataFrame, silence: int, chunk_rows: int, fold_rows: int) -> DataFrame:
     """`(region, offset, _beat)` for the open rows that are sent."""
-    narrow = cut_lineage(open_rows.select(*RUN, "offset", "_at", "_anchor_at", "delivered"))
+    narrow = open_rows.select(*RUN, "offset", "_at", "_anchor_at", "delivered")
     sizes = narrow.groupBy(*RUN).agg(F.count("*").alias("_n"))
-    long_runs = sizes.where(F.col("_n") > fold_rows).select(*RUN)
-    tagged = narrow.join(long_runs.withColumn("_long", F.lit(True)), RUN, "left")
-    chain = _fold_chain(tagged.where("_long is null"), silence)
-    if not long_runs.isEmpty():
-        chain = chain.unionByName(_doubling_chain(tagged.where("_long"), silence, chunk_rows))
-    marked = narrow.join(chain, [*RUN, "offset"], "left").withColumn(
-        "_link", F.when(F.col("_picked"), F.col("_at"))
+    if (sizes.agg(F.max("_n")).head()[0] or 0) <= fold_rows:
+        return _fold_runs(narrow, silence)
+    tagged = narrow.join(sizes.where(F.col("_n") > fold_rows).select(*RUN, F.lit(True).alias("_long")), RUN, "left")
+    tagged = cut_lineage(tagged)
+    short = _fold_runs(tagged.where("_long is null"), silence)
+    return short.unionByName(_follow_runs(tagged.where("_long").drop("_long"), silence, chunk_rows))
+
+
+def _fold_runs(rows: DataFrame, silence: int) -> DataFrame:
+    """Runs of bounded length: one ordered fold per run in the JVM, run by run in parallel."""
+    ordered = rows.groupBy(*RUN).agg(
+        F.min("_anchor_at").alias("_start"),
+        F.sort_array(F.collect_list(F.struct("offset", "_at", "delivered"))).alias("_rows"),
     )
-    scanned = carry(with_chunk(marked, "offset", chunk_rows), RUN, "offset", {"_last": ("last", F.col("_link"))}, chunk_rows)
-    due = F.col("_at") - F.coalesce(F.col("_last"), F.col("_anchor_at")) >= silence
+    fold = f"""aggregate(_rows,
+        named_struct('at', _start, 'sent', cast(array() as array<bigint>)),
+        (s, r) -> if(r._at - s.at >= {silence}L,
+                     named_struct('at', if(r.delivered, r._at, s.at), 'sent', array_append(s.sent, r.offset)), s),
+        s -> s.sent)"""
+    return ordered.selectExpr("region", f"explode({fold}) as offset", "true as _beat")
+
+
+def _follow_runs(rows: DataFrame, silence: int, chunk_rows: int) -> DataFrame:
+    """Runs of any length: find the chain by doubling, then look up the last link before each row."""
+    chain = _doubling_chain(rows, silence, chunk_rows)
+    marked = rows.join(chain, [*RUN, "offset"], "left").withColumn("_link", F.when(F.col("_picked"), F.col("_at")))
+    scanned = carry(marked, RUN, "offset", {"_last": ("last", F.col("_link"))}, chunk_rows)
+    due = F.col("_at") - F.coalesce("_last", "_anchor_at") >= silence
     return scanned.where(due).select("region", "offset", F.lit(True).alias("_beat"))
 
 
-def _fold_chain(rows: DataFrame, silence: int) -> DataFrame:
-    """Chain of runs of bounded length: one ordered fold per run, run by run in parallel."""
-    folded = (
-        rows.where("delivered")
-        .groupBy(*RUN)
-        .agg(F.min("_anchor_at").alias("_start"), F.sort_array(F.collect_list(F.struct("offset", "_at"))).alias("_rows"))
-        .select(
-            *RUN,
-            F.expr(
-                f"""aggregate(_rows,
-                      named_struct('at', _start, 'picked', cast(array() as array<bigint>)),
-                      (s, r) -> if(r._at - s.at >= {silence}L,
-                                   named_struct('at', r._at, 'picked', array_append(s.picked, r.offset)), s),
-                      s -> s.picked)"""
-            ).alias("_offsets"),
-        )
-    )
-    return folded.select(*RUN, F.explode("_offsets").alias("offset"), F.lit(True).alias("_picked"))
-
-
 def _doubling_chain(rows: DataFrame, silence: int, chunk_rows: int) -> DataFrame:
     """Chain of runs of any length in about log2(chain length) rounds of joins."""
-    delivered = with_chunk(rows.where("delivered").drop("_long"), "offset", chunk_rows)
-    peaks = carry(delivered, RUN, "offset", {"_peak": ("max", F.col("_at"))}, chunk_rows)
+    peaks = carry(rows.where("delivered"), RUN, "offset", {"_peak": ("max", F.col("_at"))}, chunk_rows)
     # Only a row later than all before it can be the first to pass a limit.
     records = cut_lineage(
         peaks.where(F.col("_peak").isNull() | (F.col("_at") > F.col("_peak"))).select(*RUN, "offset", "_at", "_anchor_at")
@@ -169,10 +207,10 @@ def _doubling_chain(rows: DataFrame, silence: int, chunk_rows: int) -> DataFrame
     lookups = nodes.unionByName(starts).select(*RUN, (F.col("at") + silence).alias("at"), F.col("at").alias("tag"))
     hops = next_at_least(nodes, lookups, RUN, max(1, silence // 1024))
     step = cut_lineage(hops.where("hit is not null").select(*RUN, F.col("tag").alias("at"), F.col("hit").alias("to")))
-    reached, fresh = starts, None
+    reached = starts
     while True:
         fresh = reached.join(step, [*RUN, "at"]).select(*RUN, F.col("to").alias("at"))
-        reached, fresh = cut_lineage(reached.unionByName(fresh)), fresh
+        reached = cut_lineage(reached.unionByName(fresh))
         onward = step.select(*RUN, F.col("at").alias("to"), F.col("to").alias("_to2"))
         step = cut_lineage(step.join(onward, [*RUN, "to"]).select(*RUN, "at", F.col("_to2").alias("to")))
         if step.isEmpty():
