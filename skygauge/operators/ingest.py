@@ -70,7 +70,7 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
     out = payloads.withColumn("_doc", parsed(F.col("payload"))).withColumn(
         "_xml",
         F.when(
-            F.col("_doc").isNull() & F.ltrim("payload").startswith("<"),
+            F.col("_doc").isNull() & F.ltrim("payload", F.lit(" \t\n\r")).startswith("<"),
             F.from_xml("payload", XML_SCHEMA, {"mode": "PERMISSIVE"}),
         ),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skygauge import fixed
 from skygauge.functions.scalars import evaluate_once, safe_float, utc_suffix
-from skygauge.functions.text import present, quote
+from skygauge.functions.text import listed, quote
 
 NUMERIC_FIELDS = (
     "oak_pollen",
@@ -31,30 +31,26 @@ EMPTY, NOT_JSON, NOT_OBJECT = "empty value", "invalid json", "not an object"
 BAD_VERSION, MISSING_KEYS, BAD_TIME = "unsupported schema_version: ", "missing required keys: ", "bad timestamp"
 
 
-def _variant(name: str, kind: str) -> str:
-    return f"try_variant_get(_doc, '$.{name}', '{kind}')"
-
-
-def _alone(text: str) -> str:
-    """The text is one JSON value with nothing after it.
-
-    The variant parser stops at the end of the first value. Wrapped as the first member of an object
-    whose last key is the text's own digest, any trailing text either breaks the JSON or hides that key.
-    """
-    keys = f"json_object_keys(concat('{{\"v\":', {text}, ',\"', md5({text}), '\":0}}'))"
-    return f"coalesce(size({keys}) = 2 and element_at({keys}, 2) = md5({text}), false)"
+_BARE = r"ltrim(' \t\n\r', text)"
+_CHECKED = ("schema_version", *fixed.REQUIRED_KEYS)
+# Checked fields keep their JSON type; the others are read as text, so no type can spoil a record.
+_FIELDS = ", ".join(
+    [f"`{n}`: variant" for n in _CHECKED] + [f"`{n}`: string" for n in (*NUMERIC_FIELDS, *TEXT_FIELDS, "data_warnings", "_end")]
+)
+_READ_SCHEMA = f"array<struct<{_FIELDS}>>"
 
 
-_NUMERIC = "rlike '^(BIGINT|DECIMAL|DOUBLE|FLOAT)'"
+def _is_number(kind: str) -> str:
+    return f"({kind} in ('BIGINT', 'DOUBLE', 'FLOAT') or startswith({kind}, 'DECIMAL'))"
 
 
 def _falsy(key: str) -> str:
     """Absent, null, false, zero, or an empty string, list or object."""
     kind, text = f"_kind_{key}", f"_text_{key}"
     return (
-        f"coalesce({kind} is null or {kind} = 'VOID' or ({kind} = 'BOOLEAN' and {text} = 'false')"
-        f" or ({kind} = 'STRING' and {text} = '') or ({kind} {_NUMERIC} and try_cast({text} as double) = 0)"
-        f" or _body_{key} in ('[]', '{{}}'), false)"
+        f"case when {kind} is null or {kind} = 'VOID' then true when {kind} = 'STRING' then {text} = ''"
+        f" when {kind} = 'BOOLEAN' then {text} = 'false' when {_is_number(kind)} then try_cast({text} as double) = 0"
+        f" else {kind} = 'OBJECT<>' or coalesce(_list_{key} = '[]', false) end"
     )
 
 
@@ -62,53 +58,73 @@ def validate(records: DataFrame) -> DataFrame:
     """`records(topic, partition, offset, key, value BINARY)` plus `text`, `reason` and message fields.
 
     `reason` is null for a valid message. Numbers follow the missing-value rule: absent or unreadable
-    stays null. Narrow throughout; the value is parsed once and each field read once.
+    stays null. Narrow throughout, and each step is evaluated once per row.
+
+    A JSON reader stops at the end of the first value. To see that nothing follows the message, it is
+    read as the first element of a two-element array whose second element holds the text's own digest:
+    anything after the message breaks the array, lengthens it or hides the digest.
     """
     raw_text = "cast(value as string)"
-    parsed = evaluate_once(
+    named = evaluate_once(
         records,
+        {"text": f"make_valid_utf8({raw_text})", "_utf8": f"is_valid_utf8({raw_text})", "_digest": "md5(value)"},
+    )
+    read = evaluate_once(
+        named,
         {
-            "text": f"make_valid_utf8({raw_text})",
-            "_doc": f"if(is_valid_utf8({raw_text}), try_parse_json(make_valid_utf8({raw_text})), null)",
+            "_pair": f"""if(startswith({_BARE}, '{{'), from_json(concat('[', text, ',{{"_end":"', _digest, '"}}]'),
+                {quote(_READ_SCHEMA)}, map('allowSingleQuotes', 'false')), null)"""
         },
     )
-    checked = ("schema_version", *fixed.REQUIRED_KEYS)
-    read = evaluate_once(
-        parsed,
+    typed = evaluate_once(
+        read,
         {
-            "_doc_kind": "schema_of_variant(_doc)",
-            "_alone": _alone("text"),
-            # the variant type of a field; null when the field is absent
-            **{f"_kind_{k}": f"schema_of_variant({_variant(k, 'variant')})" for k in checked},
-            **{f"_text_{n}": _variant(n, "string") for n in (*checked, *NUMERIC_FIELDS, *TEXT_FIELDS)},
-            **{f"_body_{k}": f"to_json({_variant(k, 'variant')})" for k in fixed.REQUIRED_KEYS},
-            "data_warnings": _variant("data_warnings", "map<string,string>"),
+            "_whole": "coalesce(size(_pair) = 2 and element_at(_pair, -1)._end = _digest, false)",
+            **{f"_kind_{k}": f"schema_of_variant(_pair[0].{k})" for k in _CHECKED},
+            **{f"_text_{k}": f"try_variant_get(_pair[0].{k}, '$', 'string')" for k in _CHECKED},
+            **{
+                f"_list_{k}": f"if(schema_of_variant(_pair[0].{k}) = 'ARRAY<VOID>', to_json(_pair[0].{k}), null)"
+                for k in fixed.REQUIRED_KEYS
+            },
+            # flat from here on: nested fields are not read across another generator
+            **{f"_raw_{n}": f"_pair[0].{n}" for n in (*TEXT_FIELDS, "data_warnings")},
+            "_numbers_text": f"array({listed(f'_pair[0].{n}' for n in NUMERIC_FIELDS)})",
         },
-    ).drop("_doc")
-    version, version_kind = "_text_schema_version", "_kind_schema_version"
+    ).drop("_pair")
+    version, kind = "_text_schema_version", "_kind_schema_version"
     version_ok = (
-        f"({version_kind} is null or {version_kind} = 'VOID' or ({version_kind} = 'BOOLEAN' and {version} = 'true')"
-        f" or ({version_kind} {_NUMERIC} and try_cast({version} as double) = {fixed.SCHEMA_VERSION}))"
+        f"case when {kind} is null or {kind} = 'VOID' then true when {kind} = 'BOOLEAN' then {version} = 'true'"
+        f" when {_is_number(kind)} then coalesce(try_cast({version} as double) = {fixed.SCHEMA_VERSION}, false) else false end"
+    )
+    judged = evaluate_once(
+        typed,
+        {
+            "_version_ok": version_ok,
+            "_lacking": f"concat_ws(', ', {listed(f'if({_falsy(k)}, {quote(k)}, null)' for k in fixed.REQUIRED_KEYS)})",
+            "_numbers": f"transform(_numbers_text, x -> {safe_float('x')})",
+        },
     )
-    lacking = present(f"if({_falsy(k)}, '{k}', null)" for k in fixed.REQUIRED_KEYS)
+    # Anything not starting as an object is rare; only then is the text checked as JSON of another kind.
+    other_json = """coalesce(size(json_object_keys(concat('{"v":', text, ',"', _digest, '":0}'))) = 2, false)"""
     reason = f"""case when value is null then {quote(EMPTY)}
-        when _doc_kind is null or not _alone then {quote(NOT_JSON)}
-        when not startswith(_doc_kind, 'OBJECT') then {quote(NOT_OBJECT)}
-        when not coalesce({version_ok}, false) then concat({quote(BAD_VERSION)}, coalesce({version}, {version_kind}))
-        when size({lacking}) > 0 then concat({quote(MISSING_KEYS)}, array_join({lacking}, ', '))
+        when not _utf8 then {quote(NOT_JSON)}
+        when not startswith({_BARE}, '{{') then if({other_json}, {quote(NOT_OBJECT)}, {quote(NOT_JSON)})
+        when not _whole then {quote(NOT_JSON)}
+        when not _version_ok then concat({quote(BAD_VERSION)}, coalesce({version}, {kind}))
+        when _lacking <> '' then concat({quote(MISSING_KEYS)}, _lacking)
         when _kind_timestamp <> 'STRING' then {quote(BAD_TIME)} end"""
     fields = {
         "event_id": "_text_event_id",
         "region": "_text_region",
         "timestamp": utc_suffix("_text_timestamp"),
-        **{n: safe_float(f"_text_{n}") for n in NUMERIC_FIELDS},
-        **{n: f"_text_{n}" for n in TEXT_FIELDS},
+        **{n: f"_numbers[{i}]" for i, n in enumerate(NUMERIC_FIELDS)},
+        **{n: f"_raw_{n}" for n in TEXT_FIELDS},
+        "data_warnings": "from_json(_raw_data_warnings, 'map<string,string>')",
     }
-    return evaluate_once(read, {"reason": reason}).selectExpr(
+    return evaluate_once(judged, {"reason": reason}).selectExpr(
         *[f"`{c}`" for c in records.columns],
         "text",
         "reason",
-        "data_warnings",
         *[f"if(reason is null, {c}, null) as {n}" for n, c in fields.items()],
     )
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skygauge import fixed
-from skygauge.functions.grading import signature
-from skygauge.functions.scalars import month_key
+from skygauge.functions.grading import core_missing, severity, signature, with_grades
+from skygauge.functions.scalars import month_key, zoned_instant
 from skygauge.operators import delivery, validate
 from skygauge.operators.gate import send_gate, signature_changes
 from skygauge.operators.monitor import suppressed_ratio
@@ -145,6 +145,37 @@ def send_gate_full(spark, sf_dir):
     return send_gate(rows).select("event_id", "signature", "send", "reason", "recorded")
 
 
+_CHAIN_SIGNATURE = ("pm10", "pm25")
+_CHAIN_SIGNATURE_SQL = " || '|' || ".join(f"'{i}=' || {sql.labelled(i)}" for i in _CHAIN_SIGNATURE)
+_CHAIN_ROWS = (
+    f"SELECT region, msg_offset AS o, ts AS clock, {_CHAIN_SIGNATURE_SQL} AS sig, {sql.CORE} AS core,"
+    f" msg_offset % 5 <> 0 AS ok, true AS enabled, event_id, {sql.SEVERITY} AS severity FROM graded"
+)
+
+
+@query(
+    "alert_chain",
+    f"""WITH RECURSIVE {sql.EVENT_MSG}, {sql.graded("emsg")}, {sql.gate(_CHAIN_ROWS, 3600)}
+    SELECT event_id, region, sig AS signature, severity, send, reason, recorded FROM gate""",
+)
+def alert_chain(spark, sf_dir):
+    """Raw records to decisions, one message per event: validate, grade, gate."""
+    messages = validate.valid_messages(validate.validate(views.event_records(spark, sf_dir)))
+    rows = with_grades(messages).select(
+        "region",
+        "offset",
+        zoned_instant(F.col("timestamp")).alias("clock"),
+        F.expr(signature(_CHAIN_SIGNATURE)).alias("signature"),
+        F.expr(core_missing()).alias("core_missing"),
+        (F.col("offset") % 5 != 0).alias("delivered"),
+        F.lit(True).alias("enabled"),
+        "event_id",
+        F.expr(severity()).alias("severity"),
+    )
+    out = send_gate(rows, 3600)
+    return out.select("event_id", "region", "signature", "severity", "send", "reason", "recorded")
+
+
 _ORDER_SILENCE = 90 * 86400
 
 

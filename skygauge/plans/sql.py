@@ -48,12 +48,24 @@ def band_case(index: str, column: str, field: int = 1) -> str:
     return f"CASE WHEN {column} IS NULL THEN '{unknown}' {whens} ELSE '{bands[-1][field]}' END"
 
 
-GRADED = (
-    MSG
-    + ", graded AS (SELECT *, "
-    + ", ".join(f"{_case(i, 1)} AS {i}_grade, {_case(i, 2)} AS {i}_advice" for i in fixed.INDICES)
-    + " FROM msg)"
-)
+def graded(messages: str) -> str:
+    cases = ", ".join(f"{_case(i, 1)} AS {i}_grade, {_case(i, 2)} AS {i}_advice" for i in fixed.INDICES)
+    return f"graded AS (SELECT *, {cases} FROM {messages})"
+
+
+GRADED = f"{MSG}, {graded('msg')}"
+
+# One message per event, as the raw records of `views.event_records` carry it.
+EVENT_MSG = f"""{EV}, emsg AS (
+  SELECT 'E' || event_id AS event_id, event_id AS msg_offset, region, ts,
+    CASE WHEN event_type = 'click' THEN value WHEN k % 2 = 0 THEN k::DOUBLE END AS pm10,
+    CASE WHEN event_type = 'view' THEN value / 2 WHEN k % 3 = 0 THEN (k / 2)::DOUBLE END AS pm25,
+    CASE WHEN event_type = 'error' THEN value * 2 END AS dust,
+    CASE WHEN event_type = 'signup' THEN value / 2 - 10 END AS feels_like_temp,
+    CASE WHEN event_type = 'purchase' THEN value END AS precipitation_probability,
+    (k % 13)::DOUBLE AS uv_index, (k % 5)::DOUBLE AS oak_pollen, (k % 4)::DOUBLE AS pine_pollen,
+    CASE WHEN k % 7 = 0 THEN '강풍 가능' WHEN k % 7 < 4 THEN '없음' ELSE '정보없음' END AS other_special_notice
+  FROM ev WHERE event_id % 41 <> 0)"""
 
 
 def label(code: str) -> str:

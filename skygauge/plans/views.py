@@ -120,6 +120,27 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One topic record per event, a JSON message of its own; some are broken."""
+    body = f"""to_json(named_struct(
+        'schema_version', {fixed.SCHEMA_VERSION}, 'event_id', concat('E', event_id), 'region', region,
+        'timestamp', concat(date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), '+09:00'),
+        'pm10', case when event_type = 'click' then value when k % 2 = 0 then cast(k as double) end,
+        'pm25', case when event_type = 'view' then value / 2 when k % 3 = 0 then k / 2.0D end,
+        'yellow_dust', if(event_type = 'error', value * 2, null),
+        'feels_like_temp', if(event_type = 'signup', value / 2 - 10, null),
+        'precipitation_probability', if(event_type = 'purchase', value, null),
+        'uv_index', k % 13, 'oak_pollen', k % 5, 'pine_pollen', cast(k % 4 as string),
+        'other_special_notice', case when k % 7 = 0 then '강풍 가능' when k % 7 < 4 then '없음' else '정보없음' end))"""
+    return events(spark, sf_dir).selectExpr(
+        "'observations' as topic",
+        "cast(user_id % 17 % 4 as int) as partition",
+        "event_id as offset",
+        "cast(region as binary) as key",
+        f"cast(if(event_id % 41 = 0, '{{broken json', {body}) as binary) as value",
+    )
+
+
 COARSE_SIGNATURE = "case when pm10 is null then 'U' when pm10 <= 80 then 'L' else 'H' end"
 
 
