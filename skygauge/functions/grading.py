@@ -186,8 +186,10 @@ _INLINE_BANDS = 2_000
 
 def band_table(spark) -> DataFrame:
     """The built-in bands as an editable table."""
-    rows = [(i, float(b[0]), *b[1:]) for i, bands in fixed.BANDS.items() for b in bands]
-    return spark.createDataFrame(rows, BAND_TABLE_SCHEMA)
+    rows = (
+        f"({quote(i)}, {number(b[0])}, {listed(map(quote, b[1:]))})" for i, bands in fixed.BANDS.items() for b in bands
+    )
+    return spark.sql(f"select * from values {listed(rows)} as t(index_name, upper, grade, advice, icon)")
 
 
 def grade_by_table(readings: DataFrame, bands: DataFrame) -> DataFrame:

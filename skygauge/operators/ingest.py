@@ -140,30 +140,36 @@ def asof_backward(rows: DataFrame, keys: Sequence[str], at: str, value: str, now
 
 
 def asof_forward(rows: DataFrame, keys: Sequence[str], key: str, value: str, order: str, now_key: Column) -> DataFrame:
-    """First row in input order whose time key is not before `now_key`, else the first row."""
+    """First row in input order whose time key is not before `now_key`, else the first row.
+
+    `key` and `now_key` are digit keys of one width (`yyyyMMddHHmm`), `value` a number, `order` an
+    integer. All picks are numbers, which keeps the aggregate a hash aggregate.
+    """
     coming = F.when(F.col(key) >= now_key, F.col(order))
-    row = F.struct(F.col(key).alias("picked_key"), F.col(value).alias("picked"))
-    return (
-        rows.groupBy(*keys)
-        .agg(F.coalesce(F.min_by(row, coming), F.min_by(row, F.col(order))).alias("_r"))
-        .select(*keys, F.col("_r.picked_key").alias(key), F.col("_r.picked").alias(value))
+    key_number = F.col(key).try_cast("bigint")
+
+    def pick(column: Column) -> Column:
+        none_ahead = F.count(coming) == 0
+        return F.when(none_ahead, F.min_by(column, F.col(order))).otherwise(F.min_by(column, coming))
+
+    return rows.groupBy(*keys).agg(
+        pick(key_number).cast("string").alias(key), pick(F.col(value)).alias(value)
     )
 
 
 def observed_else_forecast(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Current temperature: the first T1H observation, else the first T1H forecast.
 
-    `rows(keys, order, kind 'observed'|'forecast', category, obsr_value, fcst_value)`, text values.
+    `rows(keys, order, kind 'observed'|'forecast', category, obsr_value, fcst_value)`, text values. An
+    unreadable first observation stays missing; it does not fall through to the forecast.
     """
-    first = {
-        k: F.min_by(
-            F.struct(F.coalesce("obsr_value", "fcst_value").alias("v")),
-            F.when((F.col("kind") == k) & (F.col("category") == "T1H"), F.col(order)),
-        )
-        for k in ("observed", "forecast")
-    }
-    value = F.coalesce(first["observed"], first["forecast"])["v"]
-    return rows.groupBy(*keys).agg(value.alias("_v")).selectExpr(*keys, f"{safe_float('_v')} as current_temperature")
+    read = rows.selectExpr(
+        *keys, order, "if(category = 'T1H', kind, null) as _kind", f"{safe_float('coalesce(obsr_value, fcst_value)')} as _v"
+    )
+    first = {k: f"min_by(_v, {order}) filter (where _kind = '{k}')" for k in ("observed", "forecast")}
+    return read.groupBy(*keys).agg(
+        F.expr(f"if(count_if(_kind = 'observed') > 0, {first['observed']}, {first['forecast']}) as current_temperature")
+    )
 
 
 def _signal_text(lightning: str, wind: str, rain: str, prefix: str = "") -> str:

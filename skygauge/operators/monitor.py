@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +14,11 @@ from skygauge.operators.gate import send_gate
 from skygauge.operators.ordered import exact_quantiles, interpolated, rank_pair
 
 
-def _joined_one_row(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Two one-row results side by side."""
-    one = F.lit(1)
-    return left.withColumn("_k", one).join(F.broadcast(right.withColumn("_k", one)), "_k").drop("_k")
+def one_row(*results: DataFrame) -> DataFrame:
+    """One-row results side by side: stacked and folded, so no join of any kind is needed."""
+    names = [c for r in results for c in r.columns]
+    stacked = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), results)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
 
 
 # -- performance report ---------------------------------------------------------------------------
@@ -52,7 +54,7 @@ def perf_summary(metrics: DataFrame, now: Column, since: str) -> DataFrame:
             for p in _POINTS
         ]
     )
-    return _joined_one_row(base, wide)
+    return one_row(base, wide)
 
 
 def partition_lag(committed: DataFrame, ends: DataFrame) -> DataFrame:
@@ -241,8 +243,7 @@ def alarm_snapshot(metrics: DataFrame, history: DataFrame, lag: DataFrame, statu
         ).alias("event_ids"),
     )
     top = lag.agg(F.max("lag").alias("max_lag"))
-    out = _joined_one_row(_joined_one_row(recent, failed), _joined_one_row(seen, top))
-    return out.withColumn("cluster_status", F.lit(status).cast("string"))
+    return one_row(recent, failed, seen, top).withColumn("cluster_status", F.lit(status).cast("string"))
 
 
 def alarm_conditions(snapshot: DataFrame) -> DataFrame:

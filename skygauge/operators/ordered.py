@@ -116,35 +116,34 @@ def exact_quantiles(
 
     `ranks` maps an output name to the zero-based lower and upper row index as expressions over
     `n` (the number of non-null values of the key); the result column is the struct `(lo, hi)` of the
-    values at these positions. Equal values are counted before any shuffle, the distinct values are
-    split at approximate quantiles, and positions are found by counting whole slices first.
+    values at these positions. Equal values are counted first, on the map side, and that histogram is
+    written once; everything after reads it instead of the input. Its distinct values are cut into
+    slices at approximate quantiles, whole slices are skipped by their counts, and only the slices that
+    hold a wanted position are ordered.
     """
     keys = list(keys)
-    counted = (
+    counted = cut_lineage(
         df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     )
     steps = [i / 64 for i in range(1, 64)]
-    cuts = counted.groupBy(*keys).agg(
-        F.percentile_approx("_v", steps, 2000).alias("_cuts"), F.sum("_c").alias("n")
-    )
+    cuts = counted.groupBy(*keys).agg(F.percentile_approx("_v", steps, 2000).alias("_cuts"))
     sliced = (
-        _key_join(counted, cuts, keys)
-        .withColumn("_slice", F.size(F.filter("_cuts", lambda s: s < F.col("_v"))))
+        counted.join(cuts, keys)
+        .withColumn("_slice", F.expr("size(filter(_cuts, s -> s < _v))"))
         .drop("_cuts")
     )
-    per_slice = sliced.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_sc"), F.first("n").alias("n"))
     earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = per_slice.select(*keys, "_slice", F.coalesce(F.sum("_sc").over(earlier), F.lit(0)).alias("_start"), "_sc", "n")
-    wanted = F.array(*[p.cast("bigint") for pair in ranks.values() for p in pair])
-    # Only slices that hold a wanted position go on; all other values stop here.
-    needed = starts.withColumn("_pos", wanted).where(
-        F.exists("_pos", lambda p: (p >= F.col("_start")) & (p < F.col("_start") + F.col("_sc")))
+    starts = (
+        sliced.groupBy(*keys, "_slice")
+        .agg(F.sum("_c").alias("_sc"))
+        .withColumn("_start", F.coalesce(F.sum("_sc").over(earlier), F.lit(0)))
+        .withColumn("n", F.sum("_sc").over(W.partitionBy(*keys)))  # at most 64 slices per key
     )
+    wanted = F.array(*[p.cast("bigint") for pair in ranks.values() for p in pair])
+    needed = starts.withColumn("_pos", wanted).where("exists(_pos, p -> p >= _start and p < _start + _sc)").drop("_pos", "_sc")
     inside = W.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-    placed = (
-        sliced.drop("n")
-        .join(needed, [*keys, "_slice"])
-        .withColumn("_from", F.col("_start") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    placed = sliced.join(needed, [*keys, "_slice"]).withColumn(
+        "_from", F.col("_start") + F.coalesce(F.sum("_c").over(inside), F.lit(0))
     )
 
     def at(position: Column) -> Column:
@@ -157,14 +156,6 @@ def exact_quantiles(
     )
 
 
-def _key_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    if keys:
-        return left.join(right, list(keys))
-    return (
-        left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    )
-
-
 def interpolated(pair: Column, n: Column, q: float) -> Column:
     """Linear interpolation between the two order statistics around position q*(n-1)."""
     position = F.lit(q) * (n - 1)

@@ -112,7 +112,7 @@ def perf_compare(spark, sf_dir):
     )
     top = monitor.partition_lag(*_offsets(spark, sf_dir)).agg(F.max("lag").alias("max_lag"))
     fields = ["e2e_p95", "proc_p95", "index_success_rate"]
-    current = monitor._joined_one_row(after.select(*fields), top)
+    current = monitor.one_row(after.select(*fields), top)
     previous = before.select(*fields, F.lit(0).cast("bigint").alias("max_lag"))
     return monitor.perf_compare(previous, current)
 

@@ -13,6 +13,7 @@ from skygauge import fixed
 from skygauge.functions.grading import core_missing, missing_names, severity, signature, with_grades
 from skygauge.functions.scalars import event_id
 from skygauge.operators.gate import send_gate
+from skygauge.operators.ordered import cut_lineage
 from skygauge.plans.registry import table
 
 K = "cast(get_json_object(props, '$.k') as bigint)"
@@ -259,7 +260,7 @@ def payloads(spark: SparkSession, sf_dir: str, xml: bool = False) -> DataFrame:
 
 def feeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(spine of all region slots, the nine source feeds with one row per region and slot)."""
-    last = (
+    last = cut_lineage(
         events(spark, sf_dir)
         .groupBy("region", "slot", "event_type")
         .agg(F.max_by("value", "event_id").alias("v"), F.max_by("k", "event_id").alias("k"))

@@ -48,9 +48,8 @@ def test_notice(spark, text, want):
 
 
 def groups(spark, **message):
-    row = graded(spark, message).select(
-        g.action_groups().alias("g"), g.severity().alias("s"), g.severity_of_groups(g.action_groups()["code"]).alias("s2")
-    ).head()
+    made = graded(spark, message).selectExpr(f"{g.action_groups()} as g", f"{g.severity()} as s")
+    row = made.selectExpr("*", f"{g.severity_of_groups('g.code')} as s2").head()
     assert row.s == row.s2
     return [x.code for x in row.g], row.s, row.g
 
@@ -72,14 +71,14 @@ def test_groups_and_severity_ladder(spark):
 
 def test_core_missing_and_names(spark):
     df = graded(spark, {}, {"pm10": None}, {"pm10": None, "pm25": None}, EMPTY)
-    got = df.select(g.core_missing().alias("c"), g.missing_names().alias("m"), g.missing_count().alias("n")).collect()
+    got = df.selectExpr(f"{g.core_missing()} as c", f"{g.missing_names()} as m", f"{g.missing_count()} as n").collect()
     assert [r.c for r in got] == [False, False, True, True]
     assert [r.n for r in got] == [0, 1, 2, 9]
     assert got[3].m == sorted(fixed.INDICES)
 
 
 def test_signature_follows_grades_not_values(spark):
-    a, b, c = graded(spark, {"pm10": 10.0}, {"pm10": 20.0}, {"pm10": 100.0}).select(g.signature().alias("s")).collect()
+    a, b, c = graded(spark, {"pm10": 10.0}, {"pm10": 20.0}, {"pm10": 100.0}).selectExpr(f"{g.signature()} as s").collect()
     assert a.s == b.s != c.s
     assert a.s.startswith("dust=좋음|feels_like_temp=좋음|oak_pollen=좋음|")
     assert "pm10=나쁨" in c.s

@@ -17,7 +17,7 @@ def test_safe_float_reads_what_float_reads(spark):
         "1.5d", "1.5f", "0x10", "inf", "-Infinity", "abc", "12abc", "1,5", "- ", "--1",
     ]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = {r.i: r.x for r in df.select("i", s.safe_float(F.col("t")).alias("x")).collect()}
+    got = {r.i: r.x for r in df.selectExpr("i", f"{s.safe_float('t')} as x").collect()}
     for i, t in enumerate(texts):
         want = None
         if t not in (None, "", "-"):
@@ -26,7 +26,7 @@ def test_safe_float_reads_what_float_reads(spark):
             except ValueError:
                 want = None
         assert got[i] == want, t
-    assert one(spark, s.safe_float(F.lit("-"), 0)) == 0.0
+    assert one(spark, F.expr(s.safe_float("'-'", 0))) == 0.0
 
 
 def test_round_1dp_equals_python(spark):
@@ -34,19 +34,21 @@ def test_round_1dp_equals_python(spark):
     values = [k / 20 for k in range(-400, 400)] + [rng.uniform(-1e4, 1e4) for _ in range(500)]
     values += [0.04999999999999999, 0.35, 0.25, 12.25, 12.35, 1e14 + 0.25, 2.675, 1.45]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    for v, x in df.select("v", s.round_1dp(F.col("v"))).collect():
+    for v, x in df.selectExpr("v", s.round_1dp("v")).collect():
         assert x == round(v, 1), v
 
 
 def test_display_value(spark):
-    shown = {100.0: "100", 31.94: "31.9", 0.0: "0", 10.5: "10.5", None: "정보없음"}
-    for v, want in shown.items():
-        got = one(spark, s.display_value(F.lit(v).cast("double"), ""))
-        assert got == want
-    assert one(spark, s.display_value(F.lit(20.0), "℃")) == "20℃"
-    assert one(spark, s.display_value(F.lit(None).cast("double"), "℃")) == "정보없음"
-    assert one(spark, s.display_value(F.lit("없음"), "", True)) == "없음"
-    assert one(spark, s.display_value(F.lit(""), "", True)) == "정보없음"
+    def shown(value, *args):
+        return one(spark, F.expr(s.display_value(value, *args)))
+
+    values = {"100.0D": "100", "31.94D": "31.9", "0.0D": "0", "10.5D": "10.5", "cast(null as double)": "정보없음"}
+    for value, want in values.items():
+        assert shown(value) == want
+    assert shown("20.0D", "℃") == "20℃"
+    assert shown("cast(null as double)", "℃") == "정보없음"
+    assert shown("'없음'", "", True) == "없음"
+    assert shown("''", "", True) == "정보없음"
 
 
 SLOTS = [
