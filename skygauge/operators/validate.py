@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skygauge import fixed
 from skygauge.functions.scalars import evaluate_once, safe_float, utc_suffix
-from skygauge.functions.text import listed, quote
+from skygauge.functions.text import any_of, listed, quote
 
 NUMERIC_FIELDS = (
     "oak_pollen",
@@ -32,25 +32,38 @@ BAD_VERSION, MISSING_KEYS, BAD_TIME = "unsupported schema_version: ", "missing r
 
 
 _BARE = r"ltrim(' \t\n\r', text)"
-_CHECKED = ("schema_version", *fixed.REQUIRED_KEYS)
-# Checked fields keep their JSON type; the others are read as text, so no type can spoil a record.
+# All fields are read as text, so that no type can spoil a record; only the version keeps its type.
 _FIELDS = ", ".join(
-    [f"`{n}`: variant" for n in _CHECKED] + [f"`{n}`: string" for n in (*NUMERIC_FIELDS, *TEXT_FIELDS, "data_warnings", "_end")]
+    ["`schema_version`: variant"]
+    + [f"`{n}`: string" for n in (*fixed.REQUIRED_KEYS, *NUMERIC_FIELDS, *TEXT_FIELDS, "data_warnings", "_end")]
 )
 _READ_SCHEMA = f"array<struct<{_FIELDS}>>"
 
 
+_JSON_NUMBER = r"^-?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?$"
+
+
 def _is_number(kind: str) -> str:
     return f"({kind} in ('BIGINT', 'DOUBLE', 'FLOAT') or startswith({kind}, 'DECIMAL'))"
 
 
+def _kind_if_unclear(key: str) -> str:
+    """JSON type of a field whose text may be a string or something else; null for plain text.
+
+    A text that is no number, no literal and no list or object can only have been a string. The others
+    are rare in these fields, and only for them the record is parsed again with its types.
+    """
+    text = f"_text_{key}"
+    unclear = f"{text} in ('true', 'false') or substring({text}, 1, 1) in ('[', '{{') or {text} rlike {quote(_JSON_NUMBER)}"
+    return f"case when {unclear} then schema_of_variant(try_variant_get(try_parse_json(text), '$.{key}', 'variant')) end"
+
+
 def _falsy(key: str) -> str:
     """Absent, null, false, zero, or an empty string, list or object."""
     kind, text = f"_kind_{key}", f"_text_{key}"
     return (
-        f"case when {kind} is null or {kind} = 'VOID' then true when {kind} = 'STRING' then {text} = ''"
-        f" when {kind} = 'BOOLEAN' then {text} = 'false' when {_is_number(kind)} then try_cast({text} as double) = 0"
-        f" else {kind} = 'OBJECT<>' or coalesce(_list_{key} = '[]', false) end"
+        f"case when {text} is null or {text} = '' then true when {kind} is null or {kind} = 'STRING' then false"
+        f" else {text} in ('false', '[]', '{{}}') or coalesce(try_cast({text} as double) = 0, false) end"
     )
 
 
@@ -69,59 +82,50 @@ def validate(records: DataFrame) -> DataFrame:
         records,
         {"text": f"make_valid_utf8({raw_text})", "_utf8": f"is_valid_utf8({raw_text})", "_digest": "md5(value)"},
     )
-    read = evaluate_once(
-        named,
-        {
-            "_pair": f"""if(startswith({_BARE}, '{{'), from_json(concat('[', text, ',{{"_end":"', _digest, '"}}]'),
-                {quote(_READ_SCHEMA)}, map('allowSingleQuotes', 'false')), null)"""
-        },
-    )
-    typed = evaluate_once(
+    pair = f"""from_json(concat('[', text, ',{{"_end":"', _digest, '"}}]'), {quote(_READ_SCHEMA)}, map('allowSingleQuotes', 'false'))"""
+    read = evaluate_once(named, {"_pair": f"if(startswith({_BARE}, '{{'), {pair}, null)"})
+    flat = evaluate_once(
         read,
         {
             "_whole": "coalesce(size(_pair) = 2 and element_at(_pair, -1)._end = _digest, false)",
-            **{f"_kind_{k}": f"schema_of_variant(_pair[0].{k})" for k in _CHECKED},
-            **{f"_text_{k}": f"try_variant_get(_pair[0].{k}, '$', 'string')" for k in _CHECKED},
-            **{
-                f"_list_{k}": f"if(schema_of_variant(_pair[0].{k}) = 'ARRAY<VOID>', to_json(_pair[0].{k}), null)"
-                for k in fixed.REQUIRED_KEYS
-            },
-            # flat from here on: nested fields are not read across another generator
-            **{f"_raw_{n}": f"_pair[0].{n}" for n in (*TEXT_FIELDS, "data_warnings")},
+            "_version_kind": "schema_of_variant(_pair[0].schema_version)",
+            "_version": "try_variant_get(_pair[0].schema_version, '$', 'string')",
+            **{f"_text_{n}": f"_pair[0].{n}" for n in (*fixed.REQUIRED_KEYS, *TEXT_FIELDS, "data_warnings")},
             "_numbers_text": f"array({listed(f'_pair[0].{n}' for n in NUMERIC_FIELDS)})",
         },
     ).drop("_pair")
-    version, kind = "_text_schema_version", "_kind_schema_version"
-    version_ok = (
-        f"case when {kind} is null or {kind} = 'VOID' then true when {kind} = 'BOOLEAN' then {version} = 'true'"
-        f" when {_is_number(kind)} then coalesce(try_cast({version} as double) = {fixed.SCHEMA_VERSION}, false) else false end"
-    )
-    judged = evaluate_once(
-        typed,
+    typed = evaluate_once(
+        flat,
         {
-            "_version_ok": version_ok,
-            "_lacking": f"concat_ws(', ', {listed(f'if({_falsy(k)}, {quote(k)}, null)' for k in fixed.REQUIRED_KEYS)})",
+            **{f"_kind_{k}": _kind_if_unclear(k) for k in fixed.REQUIRED_KEYS},
             "_numbers": f"transform(_numbers_text, x -> {safe_float('x')})",
         },
     )
+    version_ok = (
+        "case when _version_kind is null or _version_kind = 'VOID' then true"
+        " when _version_kind = 'BOOLEAN' then _version = 'true'"
+        f" when {_is_number('_version_kind')} then coalesce(try_cast(_version as double) = {fixed.SCHEMA_VERSION}, false)"
+        " else false end"
+    )
+    lacking = f"concat_ws(', ', {listed(f'if({_falsy(k)}, {quote(k)}, null)' for k in fixed.REQUIRED_KEYS)})"
     # Anything not starting as an object is rare; only then is the text checked as JSON of another kind.
     other_json = """coalesce(size(json_object_keys(concat('{"v":', text, ',"', _digest, '":0}'))) = 2, false)"""
     reason = f"""case when value is null then {quote(EMPTY)}
         when not _utf8 then {quote(NOT_JSON)}
         when not startswith({_BARE}, '{{') then if({other_json}, {quote(NOT_OBJECT)}, {quote(NOT_JSON)})
         when not _whole then {quote(NOT_JSON)}
-        when not _version_ok then concat({quote(BAD_VERSION)}, coalesce({version}, {kind}))
-        when _lacking <> '' then concat({quote(MISSING_KEYS)}, _lacking)
-        when _kind_timestamp <> 'STRING' then {quote(BAD_TIME)} end"""
+        when not ({version_ok}) then concat({quote(BAD_VERSION)}, coalesce(_version, _version_kind))
+        when {any_of(_falsy(k) for k in fixed.REQUIRED_KEYS)} then concat({quote(MISSING_KEYS)}, {lacking})
+        when coalesce(_kind_timestamp, 'STRING') <> 'STRING' then {quote(BAD_TIME)} end"""
     fields = {
         "event_id": "_text_event_id",
         "region": "_text_region",
         "timestamp": utc_suffix("_text_timestamp"),
         **{n: f"_numbers[{i}]" for i, n in enumerate(NUMERIC_FIELDS)},
-        **{n: f"_raw_{n}" for n in TEXT_FIELDS},
-        "data_warnings": "from_json(_raw_data_warnings, 'map<string,string>')",
+        **{n: f"_text_{n}" for n in TEXT_FIELDS},
+        "data_warnings": "from_json(_text_data_warnings, 'map<string,string>')",
     }
-    return evaluate_once(judged, {"reason": reason}).selectExpr(
+    return evaluate_once(typed, {"reason": reason}).selectExpr(
         *[f"`{c}`" for c in records.columns],
         "text",
         "reason",
