@@ -15,7 +15,7 @@ def read_payload_table(spark: SparkSession, path: str) -> DataFrame:
 
 def read_payload_files(spark: SparkSession, path: str, status_code: int = 200) -> DataFrame:
     """Replies kept as one text file each; source and region come from `source=../region=..` folders."""
-    whole = spark.read.option("wholetext", True).schema("value string, source string, region string").text(path)
+    whole = spark.read.schema("value string, source string, region string").text(path, wholetext=True)
     return whole.select(
         "source",
         "region",
