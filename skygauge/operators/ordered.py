@@ -20,11 +20,13 @@ CHUNK = "_chunk"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; only an unset one (tests) gets a scratch folder."""
+    """Use the shared folder the cluster names; only a local session (tests) may go without one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skygauge-ckpt-"))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skygauge import fixed
 from skygauge.functions.scalars import latency_seconds, lookback_interval, zoned_instant
 from skygauge.operators import monitor
 from skygauge.plans import sql, views
@@ -45,10 +44,6 @@ def e2e_latency(spark, sf_dir):
     )
 
 
-def _quantile(column: str, q: float) -> str:
-    return sql.rounded(f"(SELECT quantile_cont({column}, {q}) FROM w)")
-
-
 def _summary_sql(where: str, days: float) -> str:
     cols = ", ".join(
         f"quantile_cont({m}, {q}) AS {s}_{p}0"

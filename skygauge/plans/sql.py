@@ -180,7 +180,6 @@ ORDER_GATE_ROWS = """SELECT CASE WHEN o_custkey % 3 = 0 THEN 'HOT' ELSE 'C' || (
 
 def rounded(x: str) -> str:
     """One decimal on the exact binary value, ties to even (same arithmetic as the Spark side)."""
-    low, part = f"floor(({x}) * 20.0::DOUBLE / 2)", "r_part"
     total = f"(({x}) * 16.0::DOUBLE + ({x}) * 4.0::DOUBLE)"
     err = f"((({x}) * 4.0::DOUBLE) - ({total} - (({x}) * 16.0::DOUBLE)))"
     low = f"floor({total} / 2)"

@@ -43,7 +43,8 @@ def write_metrics(rows: DataFrame, path: str, batch: int) -> None:
     _write_parts(rows.withColumn("month", month).withColumn("batch", F.lit(batch)), path, "month", "batch")
 
 
-def write_dead_letters(rows: DataFrame, path: str, batch: int) -> None:
+def write_batch(rows: DataFrame, path: str, batch: int) -> None:
+    """Append-only rows of one batch (dead letters, outbox); replays overwrite their own batch."""
     _write_parts(rows.withColumn("batch", F.lit(batch)), path, "batch")
 
 

@@ -61,7 +61,7 @@ class AlertStream:
         decided = None
         try:
             dead = validate.dead_letters(checked, F.current_timestamp())
-            tables.write_dead_letters(dead, self.path("dead_letters"), number)
+            tables.write_batch(dead, self.path("dead_letters"), number)
             graded = self._graded(validate.valid_messages(checked))
             state = tables.read_state(batch.sparkSession, self.path("state"), number)
             decided = self._decide(graded, state).persist(StorageLevel.MEMORY_AND_DISK)
@@ -112,7 +112,7 @@ class AlertStream:
         tables.write_history(history, self.path("history"), number)
         outbox = delivery.channel_outbox(decided, self.channels) if self.channels else None
         if outbox is not None:
-            tables.write_dead_letters(outbox, self.path("outbox"), number)
+            tables.write_batch(outbox, self.path("outbox"), number)
         measured = full.withColumns({"duration_ms": F.lit(None).cast("double"), "indexed": F.lit(True)})
         metrics = delivery.message_metrics(measured, F.current_timestamp())
         tables.write_metrics(metrics, self.path("metrics"), number)

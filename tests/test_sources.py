@@ -78,5 +78,5 @@ def test_metric_and_dead_letter_batches_replace_themselves(spark, tmp_path):
     rows = spark.createDataFrame([("e1", dt.datetime(2026, 7, 1))], "event_id string, processed_at timestamp")
     for _ in range(2):
         tables.write_metrics(rows, str(tmp_path / "m"), 4)
-        tables.write_dead_letters(rows.withColumn("reason", F.lit("x")), str(tmp_path / "d"), 4)
+        tables.write_batch(rows.withColumn("reason", F.lit("x")), str(tmp_path / "d"), 4)
     assert spark.read.parquet(str(tmp_path / "m")).count() == spark.read.parquet(str(tmp_path / "d")).count() == 1
