@@ -146,15 +146,16 @@ WARN_TEMPERATURE = "초단기실황 기온 없음, 생활기상지수 값으로
 WARN_UV = "자외선지수 데이터 없음"
 WARN_TODAY = "오늘 단기예보 요약 데이터 없음"
 
-# -- masking: (pattern, replacement) in order, case-insensitive ---------------------------------
+# -- masking: (pattern, replacement, words one of which must be there) in order, case-insensitive --
 MASK_RULES = (
-    (r"""(serviceKey=)[^&\s"'<>]+""", "***"),
+    (r"""(serviceKey=)[^&\s"'<>]+""", "***", ("servicekey=",)),
     (
         r"""((?:access_token|refresh_token|client_secret|rest_api_key|api_key|password)"""
         r"""["']?\s*[:=]\s*["']?)[^\s,&}"']+""",
         "***",
+        ("access_token", "refresh_token", "client_secret", "api_key", "password"),
     ),
-    (r"""(Bearer\s+)[\w.\-]+""", "***"),
+    (r"""(Bearer\s+)[\w.\-]+""", "***", ("bearer",)),
 )
 
 # -- display ----------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -161,16 +162,28 @@ def lookback_interval(text: str) -> Column:
 # -- masking --------------------------------------------------------------------------------------
 
 
-def mask_secrets(
-    text: Column, extra_rules: Iterable[tuple[str, str]] = (), rules: Iterable[tuple[str, str]] | None = None
-) -> Column:
-    """Replace secret values, keeping their names; later rules see the output of earlier ones."""
-    for pattern, mask in [*(fixed.MASK_RULES if rules is None else rules), *extra_rules]:
-        text = F.regexp_replace(text, f"(?i){pattern}", f"$1{mask}")
-    return text
+MaskRule = tuple[str, str] | tuple[str, str, Sequence[str]]
 
 
-def mask_text_columns(df: DataFrame, extra_rules: Iterable[tuple[str, str]] = ()) -> DataFrame:
+def mask_secrets(text: Column, extra_rules: Iterable[MaskRule] = (), rules: Iterable[MaskRule] | None = None) -> Column:
+    """Replace secret values, keeping their names; later rules see the output of earlier ones.
+
+    A rule may name words (lower case), one of which every match contains. When all rules do, texts
+    without any of these words skip the regular expressions: most of them, at the price of a plain
+    search. Masking only removes values, so it cannot bring a word in.
+    """
+    chain = [*(fixed.MASK_RULES if rules is None else rules), *extra_rules]
+    masked = text
+    for pattern, mask, *_ in chain:
+        masked = F.regexp_replace(masked, f"(?i){pattern}", f"$1{mask}")
+    if any(len(rule) < 3 for rule in chain):
+        return masked
+    words = sorted({word for rule in chain for word in rule[2]})
+    lowered = F.lower(text)
+    return F.when(reduce(Column.__or__, [F.contains(lowered, F.lit(w)) for w in words]), masked).otherwise(text)
+
+
+def mask_text_columns(df: DataFrame, extra_rules: Iterable[MaskRule] = ()) -> DataFrame:
     """Mask every string column of a table; other columns pass unchanged."""
     extra = list(extra_rules)
     return df.withColumns(

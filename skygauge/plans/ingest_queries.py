@@ -61,12 +61,12 @@ def base_slot(spark, sf_dir):
 
 
 # The given texts hold none of the usual credential names, but some `token = "..."` assignments.
-EXTRA_MASKS = ((r"""(\btoken["']?\s*[:=]\s*["']?)[^\s,&}"']+""", "***"),)
+EXTRA_MASKS = ((r"""(\btoken["']?\s*[:=]\s*["']?)[^\s,&}"']+""", "***", ("token",)),)
 
 
 def _mask_sql(column: str) -> str:
     out = column
-    for pattern, mask in [*fixed.MASK_RULES, *EXTRA_MASKS]:
+    for pattern, mask, _ in [*fixed.MASK_RULES, *EXTRA_MASKS]:
         quoted = pattern.replace("'", "''")
         out = f"regexp_replace({out}, '{quoted}', '\\1{mask}', 'gi')"
     return out
