@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skygauge.llm import chat_format, mixing, quality_rules, sharding, url_filter
+from skygauge.llm import chat_format, mixing, quality_rules, sharding, simhash, token_counts, url_filter
 from skygauge.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
 
+#: File of the public tokenizer whose tokens are counted.
+TOKENIZER = "word_bpe_49k.json"
+
 URL_RULES = [
     ("com", "/", "allow"),
     ("example.com", "/en/", "block"),
@@ -125,6 +129,12 @@ def extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "shard", "shard_bytes", "fits")
 
 
+@query("op8_token_counts")
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path(TOKENIZER))
+
+
 _URL = """
 with parts as (
   select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
@@ -146,3 +156,8 @@ select *, case when rule in ('example.com/en/', 'net/es/', 'net/fr/') then 'bloc
 @query("op9_url_trie", _URL)
 def url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_simhash_components")
+def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.exact_groups(table(spark, sf_dir, "documents"))

@@ -19,8 +19,8 @@ Every link is kept or replaced by a path, and the work per class is fixed.
 differ in about 15% of the bits, too many for whole bytes to agree; the fingerprint of their distinct words differs in
 about 6%, and 12 of its 32 bytes agree in 99 of 100 such pairs (random texts: 3 at most, measured). So the index holds
 word fingerprints under 64 keys of three bytes, and pairs with `SHARED` equal bytes are verified on 512-bit shingle
-fingerprints: at similarity 0.8, 78 bits differ on average with a deviation of 8, and `NEAR_BITS` is two deviations
-above, so 98 of 100 pairs at 0.8 pass, a third at 0.7 and under one in a hundred at 0.6. Lists of over `NEAR_LIST`
+fingerprints: at similarity 0.8, 78 bits differ on average with a deviation of 8, and `NEAR_BITS` is 1.3 deviations
+above, so 90 of 100 pairs at 0.8 pass, one in eight at 0.7 and almost none at 0.6. Lists of over `NEAR_LIST`
 classes are cut into blocks of about that size; classes are paired inside their block and with about `NEAR_ANCHORS`
 classes that stand for the list. As a class is in 64 lists with other blocks each, groups of thousands stay connected.
 
@@ -55,7 +55,7 @@ NEAR_LIST = 8
 NEAR_ANCHORS = 2
 SHARED = 8
 PROOF = 512
-NEAR_BITS = 94
+NEAR_BITS = 88
 NEAR_KEYS = tuple((i, (i + a) % 32, (i + b) % 32) for a, b in ((1, 11), (3, 8)) for i in range(32))
 
 
