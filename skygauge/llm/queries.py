@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skygauge.llm import chat_format, mixing, quality_rules, sharding, simhash, token_counts, url_filter
+from skygauge.llm import (
+    chat_format,
+    decontamination,
+    html_extract,
+    line_dedup,
+    mixing,
+    quality_rules,
+    sharding,
+    simhash,
+    token_counts,
+    url_filter,
+)
 from skygauge.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -26,6 +37,11 @@ _HASH = (
 )
 
 
+@query("op1_text_density")
+def text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op2_quality_rules")
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -109,6 +125,12 @@ def perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotate(table(spark, sf_dir, "conversations"))
 
 
+@query("op5_aligned_lines")
+def aligned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 _SHARD = f"""
 with docs as (
   select row_number() over () as r, doc_id, coalesce(strlen(text), 0) as n_bytes, {_HASH} as h from documents),
@@ -129,6 +151,12 @@ def extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "shard", "shard_bytes", "fits")
 
 
+@query("op7_benchmark_matches")
+def benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id", *decontamination.question_and_answer())
+    return decontamination.matches(table(spark, sf_dir, "documents"), items)
+
+
 @query("op8_token_counts")
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

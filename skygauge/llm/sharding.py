@@ -59,18 +59,18 @@ def directory(keys: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
         buckets = up.groupBy("leaf_depth", "leaf").agg(
             F.sum("b").alias("leaf_bytes"), F.sum("n").alias("leaf_rows"), fits.alias("fit")
         )
-        # every bucket of the round knows its prefixes; the shortest that fits is its leaf
-        found = (
-            up.select("at", "leaf_depth", "leaf")
-            .join(buckets.where("fit").drop("fit"), ["leaf_depth", "leaf"])
-            .groupBy("at")
-            .agg(F.min_by(F.struct("leaf_depth", "leaf", "leaf_bytes", "leaf_rows"), "leaf_depth").alias("x"))
-            .select("at", "x.*")
+        buckets = cut_lineage(buckets)
+        # a leaf fits and its parent does not; its directory entries are the prefixes of the round's depth below it
+        parent = buckets.where("fit").select((F.col("leaf_depth") + 1).alias("pd"), F.col("leaf").alias("pl"))
+        leaves = buckets.where("fit").join(
+            parent, F.expr("leaf_depth = pd and shiftright(leaf, 1) = pl"), "left_anti"
         )
-        found = cut_lineage(found)
-        rounds.append((deep, found))
-        left = sums.join(found, "at", "left_anti").select("at")
-        left = cut_lineage(left)
+        below = f"shiftleft(1L, {deep} - leaf_depth)"
+        found = leaves.selectExpr(
+            f"explode(sequence(leaf * {below}, (leaf + 1) * {below} - 1)) as at", "leaf_depth", "leaf", "leaf_bytes", "leaf_rows"
+        )
+        rounds.append((deep, cut_lineage(found)))
+        left = cut_lineage(buckets.where(f"leaf_depth = {deep} and not fit").select(F.col("leaf").alias("at")))
         if left.isEmpty():
             break
         open_rows = open_rows.join(sized(left), _prefix(F.col("h"), deep) == F.col("at"), "left_semi")
