@@ -36,9 +36,10 @@ def sized(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
 
 
-def fresh(name: str, df: DataFrame) -> str:
-    """A column name that `df` does not have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
+def packed(df: DataFrame) -> DataFrame:
+    """All columns as one struct `row`, so that no name of theirs meets a name that an operator uses."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def field(name: str) -> str:
+    return f"row.`{name}`"

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skygauge.llm.common import hash60, n_words, sized
+from skygauge.llm.common import field, hash60, n_words, packed, sized
 from skygauge.operators.ordered import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -114,16 +114,25 @@ def mix(
     most: int = MOST,
 ) -> DataFrame:
     """`docs` with `size`, `source_size`, `target`, `repeats`, `threshold`, `copies` and `taken` (copies * size)."""
-    base = docs.drop(*[c for c in ADDED if c not in (doc_id, text, source)])
-    rows = base.select(F.col(source).alias("source"), n_words(text).alias("size"), hash60(doc_id, text).alias("h"))
-    found = plan(cut_lineage(rows), weights, most).withColumnRenamed("source", "_source")
-    joined = base.withColumn("size", n_words(text)).withColumn("_h", hash60(doc_id, text))
-    joined = joined.join(sized(found), F.col(source).eqNullSafe(F.col("_source")))
-    copies = F.col("repeats") + F.when(F.expr("_h < threshold or _h = closing"), 1).otherwise(0)
-    copies = F.when(F.col("size") > 0, F.least(copies, F.lit(most))).otherwise(F.lit(0)).cast("long")
-    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("_source", "_h")
+    rows = packed(docs.drop(*[c for c in ADDED if c not in (doc_id, text, source)])).select(
+        "row",
+        F.col(field(source)).alias("source"),
+        n_words(field(text)).alias("size"),
+        hash60(field(doc_id), field(text)).alias("h"),
+    )
+    found = plan(cut_lineage(rows.select("source", "size", "h")), weights, most).withColumnRenamed("source", "planned")
+    extra = F.when(F.expr("h < threshold or h = closing"), 1).otherwise(0)
+    copies = F.when(F.col("size") > 0, F.least(F.col("repeats") + extra, F.lit(most))).otherwise(F.lit(0)).cast("long")
+    return (
+        rows.join(sized(found), F.col("source").eqNullSafe(F.col("planned")))
+        .withColumn("copies", copies)
+        .withColumn("taken", F.col("copies") * F.col("size"))
+        .select("row.*", *ADDED)
+    )
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix as rows: every document as often as it is taken."""
-    return mixed.where("copies > 0").withColumn("_n", F.explode(F.expr("sequence(1L, copies)"))).select(*columns)
+    rows = packed(mixed.where("copies > 0"))
+    rows = rows.select("row", F.explode(F.expr("sequence(1L, row.copies)")))
+    return rows.select(*[F.col(field(c)).alias(c) for c in columns])

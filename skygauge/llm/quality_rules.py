@@ -22,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skygauge.llm.common import SPACE
+from skygauge.llm.common import SPACE, field, packed
 
 SAMPLE_ROWS = 4_000
 THRESHOLDS = 24
@@ -45,8 +45,8 @@ BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 # A word is in a repeated window if one of the windows that start at it or up to two words before is repeated. Texts
 # without a repeated window, seen by hash set, skip the sort. A lambda over `array(x)` binds x once.
 _REPEATS = """
-case when size(array_distinct(_h)) = size(_h) then 0L else
-  transform(array(array_sort(transform(_h, (x, i) -> struct(x as h, i as i)))), s ->
+case when size(array_distinct(g)) = size(g) then 0L else
+  transform(array(array_sort(transform(g, (x, i) -> struct(x as h, i as i)))), s ->
     transform(array(array_sort(transform(
         filter(s, (x, k) -> (k > 0 and s[greatest(k - 1, 0)].h = x.h)
                          or (k < size(s) - 1 and s[least(k + 1, size(s) - 1)].h = x.h)), x -> x.i))), p ->
@@ -57,23 +57,22 @@ end
 
 def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with the five statistics of `STATS` (long)."""
-    base = docs.drop(*[c for c in STATS if c != text])
-    whole = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(whole, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    split = base.select("*", _once(F.array_remove(F.split(whole, SPACE), "").alias("_w"), lines.alias("_l")))
+    rows = packed(docs.drop(*[c for c in STATS if c != text])).withColumn("t", F.coalesce(F.col(field(text)), F.lit("")))
+    lines = F.filter(F.split("t", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    split = rows.select("*", _once(F.array_remove(F.split("t", SPACE), "").alias("w"), lines.alias("l")))
     windows = F.expr(
-        "case when size(_w) < 3 then cast(array() as array<bigint>)"
-        " else transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) end"
+        "case when size(w) < 3 then cast(array() as array<bigint>)"
+        " else transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) end"
     )
-    hashed = split.select("*", _once(windows.alias("_h")))
-    symbols = F.char_length(whole) - F.char_length(F.regexp_replace(whole, r"[#*$%&|<>]+", ""))
+    hashed = split.select("*", _once(windows.alias("g")))
+    symbols = F.char_length("t") - F.char_length(F.regexp_replace("t", r"[#*$%&|<>]+", ""))
     return hashed.select(
-        *base.columns,
+        "row.*",
         _once(
-            F.size("_w").cast("long").alias("n_words"),
-            F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+            F.size("w").cast("long").alias("n_words"),
+            F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
             symbols.cast("long").alias("n_symbols"),
-            (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
+            (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
             F.expr(_REPEATS).alias("n_repeat_words"),
         ),
     )

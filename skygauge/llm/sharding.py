@@ -7,7 +7,7 @@ prefix (combined before the shuffle): `STEP` bits a round, and only rows of buck
 take part in the next round. Nothing but these sums is ever gathered.
 
 Rows whose 60 bits agree (identical rows, since the key should tell different rows apart) cannot be split by
-more bits. They are dealt to overflow pages of one bucket, `prefix+1`, `prefix+2`..., each within the limit.
+more bits. They are dealt to overflow pages of one bucket, `prefix+partition.page`, each within the limit.
 A single row larger than the limit has a shard of its own and `fits` is false.
 
 Defined cases: null text has zero bytes; null keys hash as a value of their own; an empty table gives an empty
@@ -22,12 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skygauge.llm.common import hash60, n_bytes, sized
+from skygauge.llm.common import field, hash60, n_bytes, packed, sized
 from skygauge.operators.ordered import cut_lineage
 
 BITS = 60
 STEP = 10
 LIMIT_BYTES = 8 << 20
+ADDED = ("n_bytes", "shard", "shard_bytes", "fits")
 #: Most directory entries of a round that are broadcast; a larger round joins by shuffle.
 DIRECTORY_ROWS = 500_000
 
@@ -82,40 +83,36 @@ def shard(
     docs: DataFrame, key: tuple[str, ...] = ("doc_id", "text"), text: str = "text", limit: int = LIMIT_BYTES
 ) -> DataFrame:
     """`docs` with `n_bytes`, `shard` (bits of the prefix; `+page` for overflow), `shard_bytes` and `fits`."""
-    base = docs.drop("n_bytes", "shard", "shard_bytes", "fits")
-    keyed = base.withColumn("_h", hash60(*key)).withColumn("n_bytes", n_bytes(text))
-    keys = cut_lineage(keyed.select(F.col("_h").alias("h"), F.col("n_bytes").alias("bytes")))
-    rounds = directory(keys, limit)
-    out = keyed
-    for i, (deep, found) in enumerate(rounds):
-        names = {c: f"_{c}{i}" for c in ("at", "leaf_depth", "leaf", "leaf_bytes", "leaf_rows")}
-        side = found.withColumnsRenamed(names)
-        out = out.join(sized(side, DIRECTORY_ROWS), _prefix(F.col("_h"), deep) == F.col(f"_at{i}"), "left")
-    pick = {c: F.coalesce(*[F.col(f"_{c}{i}") for i in range(len(rounds))]) for c in names if c != "at"}
-    out = out.select(*base.columns, "_h", "n_bytes", *[c.alias(f"_{k}") for k, c in pick.items()])
-    bits = F.when(F.col("_leaf_depth") == 0, "").otherwise(
-        F.expr("lpad(bin(_leaf), _leaf_depth, '0')")
-    )
-    over = (F.col("_leaf_bytes") > limit) & (F.col("_leaf_rows") > 1)
-    plain = out.where(~over).select(
-        *base.columns, "n_bytes", bits.alias("shard"), F.col("_leaf_bytes").alias("shard_bytes")
+    rows = packed(docs.drop(*[c for c in ADDED if c not in (*key, text)])).select(
+        "row", hash60(*map(field, key)).alias("h"), n_bytes(field(text)).alias("n_bytes")
     )
-    parts = [plain]
-    if len(rounds) * STEP >= BITS:
-        parts.append(_overflow(out.where(over), base.columns, bits, limit))
-    return reduce(DataFrame.unionByName, parts).withColumn("fits", F.col("shard_bytes") <= limit)
-
-
-def _overflow(rows: DataFrame, columns: list[str], bits: Column, limit: int) -> DataFrame:
+    rounds = directory(cut_lineage(rows.select("h", F.col("n_bytes").alias("bytes"))), limit)
+    out = rows
+    entry = ("leaf_depth", "leaf", "leaf_bytes", "leaf_rows")
+    for i, (deep, found) in enumerate(rounds):
+        side = found.withColumnsRenamed({c: f"{c}{i}" for c in ("at", *entry)})
+        out = out.join(sized(side, DIRECTORY_ROWS), _prefix(F.col("h"), deep) == F.col(f"at{i}"), "left")
+    # a row finds its leaf in exactly one round
+    out = out.select("row", "h", "n_bytes", *[F.coalesce(*[F.col(f"{c}{i}") for i in range(len(rounds))]).alias(c) for c in entry])
+    bits = F.expr("if(leaf_depth = 0, '', lpad(bin(leaf), leaf_depth, '0'))")
+    over = (F.col("leaf_bytes") > limit) & (F.col("leaf_rows") > 1)
+    parts = [out.where(~over).select("row", "n_bytes", bits.alias("shard"), F.col("leaf_bytes").alias("shard_bytes"))]
+    if rounds and rounds[-1][0] == BITS:
+        parts.append(_overflow(out.where(over), bits, limit))
+    whole = reduce(DataFrame.unionByName, parts).withColumn("fits", F.col("shard_bytes") <= limit)
+    return whole.select("row.*", *ADDED)
+
+
+def _overflow(rows: DataFrame, bits: Column, limit: int) -> DataFrame:
     """Identical rows: numbered inside their input partition, as many to a page as fit."""
-    numbered = rows.withColumn("_part", F.spark_partition_id()).withColumn(
-        "_rn", F.row_number().over(W.partitionBy("_h", "_part").orderBy("n_bytes")) - 1
+    numbered = rows.withColumn("part", F.spark_partition_id()).withColumn(
+        "rn", F.row_number().over(W.partitionBy("h", "part").orderBy("n_bytes")) - 1
     )
-    page = F.expr(f"_part || '.' || (_rn div greatest(1, {limit} div greatest(1, n_bytes)))")
-    paged = numbered.withColumn("_page", page)
-    sums = paged.groupBy("_h", "_page").agg(F.sum("n_bytes").alias("shard_bytes"))
-    return paged.join(sums, ["_h", "_page"]).select(
-        *columns, "n_bytes", F.concat(bits, F.lit("+"), F.col("_page")).alias("shard"), "shard_bytes"
+    page = F.expr(f"part || '.' || (rn div greatest(1, {limit} div greatest(1, n_bytes)))")
+    paged = numbered.withColumn("page", page)
+    sums = paged.groupBy("h", "page").agg(F.sum("n_bytes").alias("shard_bytes"))
+    return paged.join(sums, ["h", "page"]).select(
+        "row", "n_bytes", F.concat(bits, F.lit("+"), F.col("page")).alias("shard"), "shard_bytes"
     )
 
 

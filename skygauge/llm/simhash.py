@@ -39,8 +39,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skygauge.llm.common import field, packed, sized
 from skygauge.llm.components import components
-from skygauge.llm.common import sized
 from skygauge.operators.ordered import cut_lineage
 
 SEED = 42
@@ -224,6 +224,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
         rows, F.expr("_id <=> doc_id and _hash = text_hash")
     )
     best = cut_lineage(best.select("_id", "_hash", "_copies"))
-    met = docs.join(best, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")))
-    single = met.where("_copies = 1").select(*docs.columns)
-    return single.unionAll(met.where("_copies > 1").dropDuplicates(["_id", "_hash"]).select(*docs.columns))
+    met = packed(docs).join(
+        best, F.col(field(doc_id)).eqNullSafe(F.col("_id")) & (F.xxhash64(field(text)) == F.col("_hash"))
+    )
+    single = met.where("_copies = 1").select("row.*")
+    return single.unionAll(met.where("_copies > 1").dropDuplicates(["_id", "_hash"]).select("row.*"))
