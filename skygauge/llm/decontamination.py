@@ -14,7 +14,7 @@ must occur in it.
 The index has a bound: items are dealt by hash into segments of about `SEGMENT_WORDS` words, each with its own
 statistics, and every document queries one broadcast segment after the other. A benchmark of usual size is one.
 
-Words are runs of ASCII letters and digits or of non-ASCII characters; A-Z count as a-z.
+Words are runs of ASCII letters and digits or of non-ASCII characters, case-folded.
 
 Defined cases: an item without words matches nothing; an item of fewer than five words is one shingle; null or empty
 texts hold nothing; null ids stay null; repeated items are found each, repeated documents judged each; without items
@@ -43,13 +43,11 @@ SEGMENT_WORDS = 2_000_000
 BATCH_WORDS = 400_000
 BATCH_CELLS = 4_000_000
 
-_TABLE = bytes(
-    b if b >= 128 else b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
-)
+_TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(_TABLE).split()
+    return (text or "").casefold().encode().translate(_TABLE).split()
 
 
 def grams(words: list[bytes], n: int) -> set[bytes]:

@@ -217,7 +217,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = LI
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
     carried = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
     rows = docs.select(
-        F.struct(*carried).alias("_row"),
+        F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_row"),
         F.monotonically_increasing_id().alias("_id"),
         n_bytes(text).alias("n_bytes"),
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
