@@ -60,8 +60,8 @@ def mean_1dp(total: str, scale: int, count: str) -> str:
 
 
 def scaled_units(value: str, scale: int) -> str:
-    """SQL: value in whole 1/scale units, as a decimal so that sums are exact and cannot overflow."""
-    return f"cast(round(({value}) * {number(scale)}, 0) as decimal(20,0))"
+    """SQL: value in whole 1/scale units, as a decimal so that sums are exact and cannot overflow; null if it has none."""
+    return f"try_cast(round(({value}) * {number(scale)}, 0) as decimal(20,0))"
 
 
 def display_value(value: str, unit: str = "", is_text: bool = False) -> str:
@@ -122,8 +122,9 @@ def event_id(region: Column, slot_wall: Column) -> Column:
 
 
 def month_key(timestamp_text: Column) -> Column:
-    """`YYYY.MM` of a timestamp as written, in its own offset."""
-    return F.translate(F.substring(timestamp_text, 1, 7), "-", ".")
+    """`YYYY.MM` of a timestamp as written, in its own offset; `unknown` for text without a month."""
+    dated = timestamp_text.rlike(r"^\d{4}-\d\d")
+    return F.when(dated, F.translate(F.substring(timestamp_text, 1, 7), "-", ".")).otherwise("unknown")
 
 
 def slot_hour(now_wall: Column, hours: Sequence[int], delay_minutes: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skygauge import fixed
-from skygauge.functions.scalars import latency_seconds, month_key
+from skygauge.functions.scalars import latency_seconds, month_key, zoned_instant
 
 
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -65,7 +65,8 @@ def gate_state_changes(decisions: DataFrame) -> DataFrame:
 
 def state_lookup(regions: DataFrame, state: DataFrame, history: DataFrame) -> DataFrame:
     """State row by region, else the newest history signature, else nothing (which means: send)."""
-    newest_sig = history.groupBy("region").agg(F.max_by("grade_signature", "timestamp").alias("_old"))
+    when = F.struct(zoned_instant(F.col("timestamp")), "timestamp")  # by instant: offsets differ between messages
+    newest_sig = history.groupBy("region").agg(F.max_by("grade_signature", when).alias("_old"))
     known = state.select("region", "signature", "last_sent", F.lit(True).alias("_known"))
     return (
         regions.select("region").distinct()

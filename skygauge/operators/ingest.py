@@ -43,7 +43,8 @@ def json_items(doc: Column) -> Column:
 
     def one(path: str) -> Column:
         single = F.try_variant_get(doc, path, ITEM)
-        return F.when(single.isNotNull(), F.array(single))
+        # an object whose `item` is empty text or null is the portals' empty reply, not an item itself
+        return F.when(single.isNotNull() & ~F.map_contains_key(single, "item"), F.array(single))
 
     return F.coalesce(
         F.try_variant_get(doc, outer, f"array<{ITEM}>"),
@@ -105,8 +106,9 @@ def _hours(item: str) -> str:
     """SQL: ARRAY<STRUCT<hour, value>> of the readable `hN` entries."""
     hour_key = quote(r"^h\d+$")
     return (
-        f"transform(filter(map_entries({item}), e -> e.key rlike {hour_key} and {safe_float('e.value')} is not null),"
-        f" e -> named_struct('hour', cast(substring(e.key, 2) as int), 'value', {safe_float('e.value')}))"
+        f"transform(filter(map_entries({item}), e -> e.key rlike {hour_key} and try_cast(substring(e.key, 2) as int) is not null"
+        f" and {safe_float('e.value')} is not null),"
+        f" e -> named_struct('hour', try_cast(substring(e.key, 2) as int), 'value', {safe_float('e.value')}))"
     )
 
 
@@ -279,7 +281,8 @@ def station_mean(rows: DataFrame, keys: Sequence[str], pollutants: Sequence[str]
     """Mean per pollutant over stations that report it; `station_count` counts all stations."""
     read = rows.selectExpr(*keys, *[f"{safe_float(p)} as {p}" for p in pollutants])
     sums = [F.expr(f"sum({scaled_units(p, scale)}) as _s_{p}") for p in pollutants]
-    counts = [F.count(p).alias(f"_n_{p}") for p in pollutants]
+    # only what enters the sum is counted: `inf`, `nan` and values beyond the decimal are no readings
+    counts = [F.expr(f"count({scaled_units(p, scale)}) as _n_{p}") for p in pollutants]
     grouped = read.groupBy(*keys).agg(F.count("*").alias("station_count"), *sums, *counts)
     return grouped.selectExpr(
         *keys, "station_count", *[f"{mean_1dp(f'_s_{p}', scale, f'_n_{p}')} as {p}" for p in pollutants]

@@ -82,7 +82,7 @@ def validate(records: DataFrame) -> DataFrame:
         records,
         {"text": f"make_valid_utf8({raw_text})", "_utf8": f"is_valid_utf8({raw_text})", "_digest": "md5(value)"},
     )
-    pair = f"""from_json(concat('[', text, ',{{"_end":"', _digest, '"}}]'), {quote(_READ_SCHEMA)}, map('allowSingleQuotes', 'false'))"""
+    pair = f"""from_json(concat('[', text, ',{{"_end":"', _digest, '"}}]'), {quote(_READ_SCHEMA)}, map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false'))"""
     read = evaluate_once(named, {"_pair": f"if(startswith({_BARE}, '{{'), {pair}, null)"})
     flat = evaluate_once(
         read,

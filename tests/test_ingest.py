@@ -224,3 +224,16 @@ def test_completeness_and_publish_gate(spark):
     assert (out.head().event_id, out.head().schema_version) == ("서울:2026073012", 1)
     out, rejected = merge.publish_gate(merge.merge_current(stacked(spark)))
     assert out.isEmpty() and rejected.head().collected == 0
+
+
+def test_empty_replies_hold_no_item(spark):
+    replies = ['""', "null", "[]", '[{"a": 1}]', '{"a": 1}']
+    rows = [(i, 200, f'{{"response": {{"header": {{"resultCode": "00"}}, "body": {{"items": {{"item": {r}}}}}}}}}') for i, r in enumerate(replies)]
+    out = ingest.parse_payloads(spark.createDataFrame(rows, "id int, status_code int, payload string")).orderBy("id")
+    assert [len(r["items"]) for r in out.collect()] == [0, 0, 0, 1, 1]
+
+
+def test_station_mean_counts_only_what_it_sums(spark):
+    rows = [("k", "10"), ("k", "inf"), ("k", "nan"), ("k", "1e300"), ("k", "-")]
+    out = ingest.station_mean(spark.createDataFrame(rows, "k string, pm10 string"), ["k"], ["pm10"]).head()
+    assert (out.pm10, out.station_count) == (10.0, 5)

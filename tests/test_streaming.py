@@ -137,3 +137,51 @@ def test_published_records_validate_again(spark):
     )
     back = valid_messages(validate(records.select("topic", "partition", "offset", "key", "value")))
     assert as_set(back, "event_id", "pm10", "yellow_dust") == as_set(m, "event_id", "pm10", "yellow_dust")
+
+
+def _sizes(spark, stream):
+    names = ("history", "outbox", "metrics", "dead_letters")
+    return {n: as_set(spark.read.parquet(stream.path(n)), *(("event_id",) if n != "dead_letters" else ("raw",))) for n in names}
+
+
+def test_new_checkpoint_keeps_earlier_output_and_state(spark, record_files, tmp_path):
+    """A second stream with a new checkpoint on the same folder adds to it and decides as if the first had gone on."""
+    records = spark.read.schema(RECORD_SCHEMA).parquet(record_files)
+    half = records.agg(F.percentile_approx("offset", 0.5)).head()[0]
+    parts = [records.where(F.col("offset") <= half), records.where(F.col("offset") > half)]
+    whole, cut = AlertStream(str(tmp_path / "whole")), AlertStream(str(tmp_path / "cut"))
+    for number, part in enumerate(parts):
+        whole.process(part, number)
+    seen = {}
+    for number, part in enumerate(parts):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in{number}"))
+        cut.start(read_record_files(spark, str(tmp_path / f"in{number}")), str(tmp_path / f"ckpt{number}")).awaitTermination()
+        now = _sizes(spark, cut)
+        assert all(seen[n] <= now[n] for n in seen)
+        seen = now
+    assert seen == _sizes(spark, whole)
+    for name in ("history", "outbox", "metrics", "dead_letters"):
+        assert spark.read.parquet(cut.path(name)).count() == spark.read.parquet(whole.path(name)).count()
+    decisions = ("event_id", "recorded", "grade_signature")
+    assert as_set(tables.read_history(spark, cut.path("history"), HISTORY), *decisions) == as_set(
+        tables.read_history(spark, whole.path("history"), HISTORY), *decisions
+    )
+
+
+def test_same_offset_in_two_partitions_gives_one_row_a_message(spark, record_files, tmp_path):
+    records = spark.read.schema(RECORD_SCHEMA).parquet(record_files)
+    stream = AlertStream(str(tmp_path / "out"))
+    valid = stream._graded(valid_messages(validate(records))).where("not core_missing").select("partition", "offset").head()
+    one = records.where((F.col("offset") == valid.offset) & (F.col("partition") == valid.partition))
+    both = one.unionAll(one.withColumn("partition", F.col("partition") + 1))
+    stream.process(both, 0)
+    assert spark.read.parquet(stream.path("history")).count() == 2
+    assert spark.read.parquet(stream.path("metrics")).count() == 2
+    assert spark.read.parquet(stream.path("outbox")).count() == 3  # the second one repeats the signature
+
+
+def test_replayed_batch_keeps_its_time(spark, tmp_path):
+    first, again = (
+        spark.range(1).select(tables.batch_time(spark, str(tmp_path / "b"), 4).alias("t")).head().t for _ in range(2)
+    )
+    assert first == again
