@@ -11,6 +11,7 @@ offset, topic and partition.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -83,6 +84,7 @@ class AlertStream:
 
         The run of a streaming query is its id, which belongs to the checkpoint folder and outlives restarts.
         """
+        begun = time.monotonic()
         spark = batch.sparkSession
         run = run or spark.sparkContext.getLocalProperty("sql.streaming.queryId") or tables.DIRECT
         now = tables.batch_time(spark, self.path("batches"), number, run)
@@ -95,7 +97,7 @@ class AlertStream:
             graded = with_seq(self._graded(validate.valid_messages(checked)), checked)
             state = tables.read_state(spark, self.path("state"), number, run, self.path("history"))
             decided = self._decide(graded, state).persist(StorageLevel.MEMORY_AND_DISK)
-            self._write(decided, graded, state, number, run, now)
+            self._write(decided, graded, state, number, run, now, begun)
         finally:
             checked.unpersist()
             if decided is not None:
@@ -129,7 +131,9 @@ class AlertStream:
         rows = rows.withColumn("delivered", F.size("reached") > 0)
         return gate.send_gate(rows, self.silence_seconds, state, **self.gate_options)
 
-    def _write(self, decided: DataFrame, graded: DataFrame, state: DataFrame, number: int, run: str, now: Column) -> None:
+    def _write(
+        self, decided: DataFrame, graded: DataFrame, state: DataFrame, number: int, run: str, now: Column, begun: float
+    ) -> None:
         none = F.array().cast("array<string>")
         narrow = decided.select(
             "region", F.col("offset").alias("seq"), "send", "recorded", F.when(F.col("send"), F.col("reached")).otherwise(none).alias("delivered_channels")
@@ -146,7 +150,9 @@ class AlertStream:
         outbox = delivery.channel_outbox(sent, self.channels) if self.channels else None
         if outbox is not None:
             tables.write_batch(outbox, self.path("outbox"), number, run)
-        measured = full.withColumns({"duration_ms": F.lit(None).cast("double"), "indexed": F.lit(True)})
+        # The time of the batch so far, shared by its messages. A history write that fails ends the batch before this.
+        each = (time.monotonic() - begun) * 1000 / max(1, decided.count())
+        measured = full.withColumns({"duration_ms": F.lit(each), "indexed": F.lit(True)})
         metrics = delivery.message_metrics(measured, now)
         tables.write_metrics(metrics, self.path("metrics"), number, run)
         earlier = state.select("region", F.lit(-1).cast("bigint").alias("offset"), "signature", "last_sent")

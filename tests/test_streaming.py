@@ -83,6 +83,7 @@ def test_alert_stream_with_restart_equals_batch(spark, record_files, tmp_path):
     assert outbox.count() == 3 * want.where("send").count()
     metrics = spark.read.parquet(stream.path("metrics"))
     assert metrics.count() == messages.count()
+    assert metrics.where("process_duration_ms > 0").count() == messages.count()  # never null
     dead = spark.read.parquet(stream.path("dead_letters"))
     assert dead.count() + messages.count() == spark.read.parquet(record_files).count()
     assert dead.where("reason is null").count() == 0
