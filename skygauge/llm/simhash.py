@@ -15,16 +15,21 @@ not paired: there each class files itself under its fingerprint and under those
 differ in at most two bits exactly if they share such a neighbour. Links go to the smallest class of a neighbour.
 Every link is kept or replaced by a path, and the work per class is fixed.
 
-`near_links`: texts whose sets of 5-word shingles have a similarity of 0.8 or more. Their shingle fingerprints
-differ in about 15% of the bits, too many for whole bytes to agree; the fingerprint of their distinct words differs in
-about 6%, and 12 of its 32 bytes agree in 99 of 100 such pairs (random texts: 3 at most, measured). So the index holds
-word fingerprints under 64 keys of three bytes, and pairs with `SHARED` equal bytes are verified on 512-bit shingle
-fingerprints: at similarity 0.8, 78 bits differ on average with a deviation of 8, and `NEAR_BITS` is 1.3 deviations
-above, so 90 of 100 pairs at 0.8 pass, one in eight at 0.7 and almost none at 0.6. Lists of over `NEAR_LIST`
-classes are cut into blocks of about that size; classes are paired inside their block and with about `NEAR_ANCHORS`
-classes that stand for the list. As a class is in 64 lists with other blocks each, groups of thousands stay connected.
-
-Defined cases: a null or empty text has fingerprint zero and is linked like any other; a text of fewer words than a
+`near_links`: texts whose sets of distinct 5-word shingles have a Jaccard similarity of 0.8 or more, computed exactly on
+64-bit shingle hashes. Texts with equal sets are one class. All sets are put into one order, shingles that repeat in a
+sample last (any order gives the same links; this one keeps lists short). Two sets of similarity 0.8 or more share at
+least 4/9 of the sum of their sizes, so the first shingle they share stands among the first fifth of both and among
+the first ninth of the smaller: classes are indexed by these. Pairs that meet are dropped only where it is certain that
+they are below 0.8: by the places of the shared shingle, or by more differing bits of a parity bitmap of 1,024 bits
+than shingles may differ. For every other pair the similarity is computed from the texts.
+
+In a list of over `NEAR_LIST` classes each class is first compared with two hubs, the smallest and the largest one. Then
+only classes of different components are paired. If over `NEAR_LIST` classes of a list are outside its main component,
+the list is filed anew under the next shared shingle too, up to `DEPTH` shingles, where everything left is paired (two
+different sets of similarity 0.8 share at least four shingles, so no pair is lost on the way).
+
+Defined cases: a null or empty text has fingerprint zero and is linked like any other (`near_links`: the empty set,
+equal only to itself); a text of fewer words than a
 shingle is one shingle; null ids are never the smallest; repeated rows are copies; an empty table gives an empty
 result; further columns are not carried.
 """
@@ -51,12 +56,13 @@ LINK_SHARED = 6
 _PAIRS = ((0, 1), (2, 3), (4, 5), (6, 7))
 LINK_KEYS = tuple(a + b for a, b in combinations(_PAIRS, 2))
 
-NEAR_LIST = 8
-NEAR_ANCHORS = 2
-SHARED = 8
-PROOF = 512
-NEAR_BITS = 88
-NEAR_KEYS = tuple((i, (i + a) % 32, (i + b) % 32) for a, b in ((1, 11), (3, 8)) for i in range(32))
+NEAR_LIST = 16
+#: At most this many shingles in one key; not over four, see above.
+DEPTH = 2
+BITMAP = 1024
+#: About this many texts are read for the order of shingles, and so many repeated shingles are kept.
+SAMPLE = 5_000
+COMMON = 50_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -102,18 +108,47 @@ def exact_fingerprint(text: str, words: int) -> Column:
     return prints(F.col(text))
 
 
-def near_fingerprint(text: str, words: int) -> Column:
-    """256 bits of the distinct words and `PROOF` bits of the shingles as `array<bigint>`."""
+def shingle_set(text: str, words: int) -> Column:
+    """The distinct shingle hashes of a text column as `array<bigint>`."""
 
     @F.pandas_udf("array<bigint>")
-    def prints(texts: pd.Series) -> pd.Series:
-        found = []
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, words)).astype(np.int64) for t in texts], dtype=object)
+
+    return sets(F.col(text))
+
+
+def _common(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes that repeat in a sample of the texts, ascending, and how often each does."""
+    share = max(1, docs.count() // SAMPLE)
+    sample = docs.select(F.col(text).alias("text")).where(f"pmod(xxhash64(text, 'order'), {share}) = 0").distinct()
+    seen = sample.select(F.explode(shingle_set("text", words)).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    found = seen.where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    hashes = np.array([r["h"] for r in found], np.int64).astype(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([r["n"] for r in found], np.int64)[order]
+
+
+def near_class(text: str, words: int, common: tuple[np.ndarray, np.ndarray]) -> Column:
+    """`node` (hash of the shingle set), `n` (its size), `first` (its start in the common order) and `bits` (parity bitmap)."""
+    late, count = common
+
+    @F.pandas_udf("struct<node bigint, n bigint, first array<bigint>, bits array<bigint>>")
+    def classes(texts: pd.Series) -> pd.DataFrame:
+        out = []
         for t in texts:
-            single = fingerprint(np.unique(shingle_hashes(t, 1)), 256)
-            found.append(np.concatenate([single, fingerprint(shingle_hashes(t, words), PROOF)]).astype(np.int64))
-        return pd.Series(found, dtype=object)
+            h = np.unique(shingle_hashes(t, words))
+            n = len(h)
+            node = np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).astype(np.int64)
+            odd = np.bincount((h >> np.uint64(32)).astype(np.int64) % BITMAP, minlength=BITMAP) & 1
+            bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            if len(late):
+                at = np.minimum(np.searchsorted(late, h), len(late) - 1)
+                h = h[np.argsort(np.where(late[at] == h, count[at], 0), kind="stable")]
+            out.append((node, n, h[: n - (4 * n + 4) // 5 + DEPTH].astype(np.int64), bits))
+        return pd.DataFrame(out, columns=["node", "n", "first", "bits"])
 
-    return prints(F.col(text))
+    return classes(F.col(text))
 
 
 def _byte(p: int, word: str) -> str:
@@ -163,22 +198,57 @@ def _neighbours(filed: DataFrame) -> DataFrame:
     return near.join(low, ["list", "key", "near"]).where("a <> b").select("a", "b")
 
 
-def near_links(classes: DataFrame) -> DataFrame:
-    """Links `a, b` of classes (`node`, `fp` of `near_fingerprint`) that are near-duplicates."""
-    filed = _filed(classes, NEAR_KEYS, "fp[{}]")
-    other = _other(filed)
-    block = "pmod(xxhash64({}, {}), cast(ceil({} / {}) as bigint))"
-    mine = filed.withColumn("block", F.expr(block.format("node", "list", "n", NEAR_LIST))).withColumnRenamed("node", "a")
-    inside = mine.join(
-        other.withColumn("block2", F.expr(block.format("b", "list2", "n2", NEAR_LIST))),
-        F.expr("list = list2 and key = key2 and block = block2 and a < b"),
-    )
-    anchors = other.where(f"n2 > {NEAR_LIST}").where(block.format("b, 'anchor'", "list2", "n2", NEAR_ANCHORS) + " = 0")
-    spread = mine.where(f"n > {NEAR_LIST}").join(anchors, F.expr("list = list2 and key = key2 and a <> b"))
-    pairs = inside.select("a", "b").unionAll(spread.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
-    met = pairs.join(classes.selectExpr("node as a", "fp as x"), "a").join(classes.selectExpr("node as b", "fp as y"), "b")
-    differ = " + ".join(f"bit_count(x[{w}] ^ y[{w}])" for w in range(4, 4 + PROOF // 64))
-    return met.where(f"{_shared(32, 'x[{}]', 'y[{}]')} >= {SHARED}").where(f"{differ} <= {NEAR_BITS}").select("a", "b")
+def _alike(pairs: DataFrame, classes: DataFrame, sets) -> DataFrame:
+    """Those of the distinct pairs `a, b` whose similarity is 0.8 or more."""
+    pairs = cut_lineage(pairs)
+    side = lambda c: classes.selectExpr(f"node as {c}", f"n as n_{c}", f"bits as bits_{c}")
+    differ = " + ".join(f"bit_count(bits_a[{w}] ^ bits_b[{w}])" for w in range(BITMAP // 64))
+    close = side("a").join(sized(pairs), "a").join(side("b"), "b").where(f"9 * ({differ}) <= n_a + n_b").select("a", "b")
+    close = cut_lineage(close)
+    held = sets(cut_lineage(close.selectExpr("explode(array(a, b)) as node").distinct()))
+    met = held.selectExpr("node as a", "set as x").join(sized(close), "a").join(held.selectExpr("node as b", "set as y"), "b")
+    return cut_lineage(met.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b"))
+
+
+def near_links(classes: DataFrame, sets) -> DataFrame:
+    """Links `a, b` that connect classes (`near_class`) exactly as all pairs of similarity 0.8 or more do.
+
+    `sets` gives `node`, `set` for a table of `node`.
+    """
+    posts = classes.selectExpr("node", "n", "posexplode(slice(first, 1, int(n - (4 * n + 4) div 5 + 1))) as (pos, key)")
+    links = None
+    for level in range(1, DEPTH + 1):
+        # the smaller class of a pair has its shared shingle early
+        posts = posts.withColumn("early", F.expr(f"pos <= n - (8 * n + 8) div 9 + {level - 1}"))
+        lists = posts.groupBy("key").agg(
+            F.count(F.lit(1)).alias("held"), F.max("early").alias("any"), F.min("node").alias("low"), F.max("node").alias("high")
+        )
+        lists = cut_lineage(lists.where("held > 1 and any").drop("any"))
+        posts = cut_lineage(posts.join(sized(lists), "key"))
+        star = posts.where(f"held > {NEAR_LIST}").selectExpr("node", "explode(array(low, high)) as hub").where("node <> hub")
+        star = _alike(star.selectExpr("least(node, hub) as a", "greatest(node, hub) as b").distinct(), classes, sets)
+        links = star if links is None else links.unionAll(star)
+        left = posts.select("key", "node", "n", "pos", "early").join(sized(components(links)), "node", "left")
+        left = cut_lineage(left.withColumn("root", F.coalesce("root", "node")))
+        parts = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+        parts = parts.groupBy("key").agg(F.sum("c").alias("held"), F.max("c").alias("top"), F.max_by("root", "c").alias("main"))
+        parts = cut_lineage(parts.where("held > top").selectExpr("key", "main", "held - top as minor"))
+        left = cut_lineage(left.join(sized(parts), "key"))
+        now = left if level == DEPTH else left.where(f"minor <= {NEAR_LIST}")
+        other = now.selectExpr("key", "node as b", "n as n_b", "pos as pos_b", "early as early_b", "root as root_b")
+        meet = f"root <> root_b and (early or early_b) and 9 * ({level - 1} + least(n - pos, n_b - pos_b)) >= 4 * (n + n_b)"
+        pairs = now.where("root <> main").join(other.withColumnRenamed("key", "key_b"), F.expr(f"key = key_b and {meet}"))
+        pairs = pairs.selectExpr("least(node, b) as a", "greatest(node, b) as b").distinct()
+        links = links.unionAll(_alike(pairs, classes, sets))
+        long = left.where(f"minor > {NEAR_LIST}").select("key", "node", "n", "pos")
+        if level == DEPTH or long.isEmpty():
+            break
+        start = classes.selectExpr("node", "first")
+        further = long.join(start, "node").selectExpr(
+            "node", "n", "key", "pos as before", f"posexplode(slice(first, 1, int(n - (4 * n + 4) div 5 + {level + 1}))) as (pos, next)"
+        )
+        posts = further.where("pos > before").selectExpr("node", "n", "pos", "xxhash64(key, next) as key")
+    return links.distinct()
 
 
 def _grouped(rows: DataFrame, link, *carried: str) -> DataFrame:
@@ -204,11 +274,17 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
     """One row a document: `doc_id`, `text_hash`, `component` of near-duplicates."""
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), near_fingerprint(text, words).alias("fp")
-    )
-    rows = cut_lineage(rows.withColumn("node", F.xxhash64("fp")))
-    return rows.join(_grouped(rows, near_links, "fp"), "node").select("doc_id", "text_hash", "component")
+    found = near_class(text, words, _common(docs, text, words))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), found.alias("c"))
+    rows = cut_lineage(rows.select("doc_id", "text_hash", "c.*"))
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        held = rows.join(sized(nodes), "node").groupBy("node").agg(F.min("text_hash").alias("h"))
+        texts = docs.select(F.col(text).alias("text")).join(sized(cut_lineage(held)), F.expr("xxhash64(text) = h"))
+        return cut_lineage(texts.dropDuplicates(["node"]).select("node", shingle_set("text", words).alias("set")))
+
+    by_node = _grouped(rows, lambda classes: near_links(classes, sets), "n", "first", "bits")
+    return rows.join(by_node, "node").select("doc_id", "text_hash", "component")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:

@@ -122,3 +122,33 @@ def test_one_of_each_keeps_one_document_a_group(spark):
     assert texts.count("alpha beta gamma") == 1 and len([r for r in out if r["doc_id"] == 1]) == 1
     assert len([t for t in texts if not words(t)]) == 1
     assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
+def planted(draw, base, similarity):
+    """A copy whose last words are others: of n shingles s are shared and s / (2n - s) is `similarity` or just above."""
+    n = len(base) - 4
+    shared = next(s for s in range(n + 1) if s >= similarity * (2 * n - s) - 1e-9)
+    return base[: shared + 4] + [f"p{draw.getrandbits(60)}" for _ in range(n - shared)]
+
+
+def near_pairs(spark, rows):
+    group = {r["doc_id"]: r["component"] for r in simhash.near_groups(documents(spark, rows)).collect()}
+    return group, roots(sorted(group), similar_sets({d: shingles(t) for d, t, _ in rows}))
+
+
+def similar_sets(sets):
+    return lambda a, b: 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))
+
+
+def test_near_groups_link_exactly_from_the_threshold_on(spark):
+    draw = random.Random(5)
+    rows, want = [], {}
+    for k in range(60):
+        for similarity in (0.6, 0.7, 0.75, 0.79, 0.8, 0.82):
+            base = [f"b{draw.getrandbits(60)}" for _ in range(draw.choice([49, 94, 184]))]
+            at = len(rows)
+            rows += [(at, " ".join(base), "s"), (at + 1, " ".join(planted(draw, base, similarity)), "s")]
+            want[at] = len(shingles(rows[at][1]) & shingles(rows[at + 1][1])) / len(shingles(rows[at][1]) | shingles(rows[at + 1][1])) >= 0.8
+    group = {r["doc_id"]: r["component"] for r in simhash.near_groups(documents(spark, rows)).collect()}
+    assert {at: group[at] == group[at + 1] for at in want} == want
+    assert len(set(group.values())) == len(rows) - sum(want.values())
