@@ -152,3 +152,35 @@ def test_near_groups_link_exactly_from_the_threshold_on(spark):
     group = {r["doc_id"]: r["component"] for r in simhash.near_groups(documents(spark, rows)).collect()}
     assert {at: group[at] == group[at + 1] for at in want} == want
     assert len(set(group.values())) == len(rows) - sum(want.values())
+
+
+@pytest.mark.parametrize("template", [70, 88])
+def test_near_groups_in_a_large_template_family(spark, monkeypatch, template):
+    monkeypatch.setattr(simhash, "NEAR_LIST", 4)
+    draw = random.Random(template)
+    frame = [f"t{i}" for i in range(template)]
+    rows = []
+    for k in range(600 if template == 70 else 150):
+        base = frame + [f"o{draw.getrandbits(60)}" for _ in range(100 - template + draw.randrange(12))]
+        rows.append((len(rows), " ".join(base), "s"))
+        if k % 10 == 0:
+            copy = base[:-5] + [f"c{draw.getrandbits(60)}" for _ in range(5)]
+            rows.append((len(rows), " ".join(copy), "s"))
+    group, want = near_pairs(spark, rows)
+    same = lambda g: sorted(sorted(d for d in g if g[d] == v) for v in set(g.values()))
+    assert same(group) == same(want)
+
+
+@pytest.mark.parametrize("long_list", [0, 16])
+def test_near_groups_equal_all_pairs_of_mixed_sizes(spark, monkeypatch, long_list):
+    monkeypatch.setattr(simhash, "NEAR_LIST", long_list)
+    draw = random.Random(3)
+    parts = [[f"{k}x{i}" for i in range(12)] for k in range(9)]
+    rows = []
+    for d in range(60):
+        text = [w for k in sorted(draw.sample(range(9), draw.randrange(5, 10))) for w in parts[k]]
+        rows.append((d, " ".join(text[draw.randrange(6) :]), "s"))
+    rows += [(200 + i, " ".join(f"s{j}" for j in range(i)), "s") for i in range(12)]
+    group, want = near_pairs(spark, rows)
+    same = lambda g: sorted(sorted(d for d in g if g[d] == v) for v in set(g.values()))
+    assert same(group) == same(want)
