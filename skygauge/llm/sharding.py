@@ -109,11 +109,9 @@ def _overflow(rows: DataFrame, bits: Column, limit: int) -> DataFrame:
         "rn", F.row_number().over(W.partitionBy("h", "part").orderBy("n_bytes")) - 1
     )
     page = F.expr(f"part || '.' || (rn div greatest(1, {limit} div greatest(1, n_bytes)))")
-    paged = numbered.withColumn("page", page)
-    sums = paged.groupBy("h", "page").agg(F.sum("n_bytes").alias("shard_bytes"))
-    return paged.join(sums, ["h", "page"]).select(
-        "row", "n_bytes", F.concat(bits, F.lit("+"), F.col("page")).alias("shard"), "shard_bytes"
-    )
+    # sums over the same rows: a second reading of them could number the partitions differently
+    paged = numbered.withColumn("page", page).withColumn("shard_bytes", F.sum("n_bytes").over(W.partitionBy("h", "page")))
+    return paged.select("row", "n_bytes", F.concat(bits, F.lit("+"), F.col("page")).alias("shard"), "shard_bytes")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -55,3 +55,28 @@ def test_awkward_rows(spark, tmp_path):
     assert sharding.shard(df.limit(0)).count() == 0
     sharding.write_shards(sharding.shard(documents(spark), limit=1_000), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(AWKWARD)
+
+
+def test_overflow_keeps_all_rows_when_the_directory_is_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "DIRECTORY_ROWS", 0)
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "40",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        given = [(k, f"{k} " + "x y z " * (50 + 7 * k), "a") for k in range(60) for _ in range(9)]
+        rows = sharding.shard(documents(spark, given).repartition(3), limit=2_000).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    pages = {}
+    for r in rows:
+        pages[r["shard"]] = pages.get(r["shard"], 0) + r["n_bytes"]
+    assert len(rows) == len(given)
+    assert all(r["shard_bytes"] == pages[r["shard"]] and r["fits"] for r in rows)
