@@ -7,7 +7,8 @@ density on the way from there up to the body is the threshold: subtrees of the b
 from its own maximum-sum node on; an `article` or `main` around such a node is taken as a whole, with its heading.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments (by element, role,
-class or id, or hidden) are out before densities are computed, and never come back.
+class or id, or hidden) are out before densities are computed, and never come back. A form is out too, unless it holds an `article` or `main` or over half of
+the text of the page: then it is a plain container. A head ends where something stands that may not stand in it.
 
 Every page is parsed in one task row by row; nothing is shuffled. Pages and texts are neither cut nor capped.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 NOISE = frozenset(
-    "script style noscript template iframe object svg canvas math head title nav header footer aside form button"
+    "script style noscript template iframe object svg canvas math head title nav header footer aside button"
     " select option input textarea fieldset dialog menu xmp noembed noframes audio video map".split()
 )
 BLOCK = frozenset(
@@ -45,6 +46,8 @@ ENDS = {t: ("p",) for t in BLOCK} | {
 }
 #: An implied end does not reach beyond these.
 FENCE = frozenset("ul ol dl table article section div main body html blockquote td th figure aside nav form".split())
+#: What may stand in a head; everything else ends an open head.
+HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 ROLES = frozenset(
     "navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar status"
     " directory tablist".split()
@@ -87,11 +90,14 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.out, self.link, self.article, self.header = ["#"], [-1], [False], [False], [False], [False]
+        self.form = [-1]  # the outermost open form
         self.runs: list[tuple[int, int, str]] = []  # (node, block, text)
         block, done, stack = 0, 0, [0]
         find = _TAG.search
         while found := find(source, done):
             if found.start() > done:
+                if self.tag[stack[-1]] == "head" and source[done : found.start()].strip():
+                    stack.pop()
                 self._text(stack[-1], block, source[done : found.start()])
             done = found.end()
             closing, name, attributes = found.group(1, 2, 3) if found.group(2) else found.group(4, 5, 6)
@@ -112,7 +118,26 @@ class Page:
                 done = end.end() if end else len(source)
             elif name not in VOID and not (attributes or "").endswith("/"):
                 stack.append(node)
+        if self.tag[stack[-1]] == "head" and source[done:].strip():
+            stack.pop()
         self._text(stack[-1], block, source[done:])
+        self._leave_forms()
+
+    def _leave_forms(self) -> None:
+        """Forms that are not a container of the page's text are out."""
+        size = dict.fromkeys(set(self.form) - {-1}, 0)
+        if not size:
+            return
+        whole = 0
+        for node, _, text in self.runs:
+            chars = len(text) - text.count(" ")
+            whole += chars
+            if self.form[node] >= 0:
+                size[self.form[node]] += chars
+        kept = {f for f, chars in size.items() if 2 * chars > whole} | {-1}
+        kept |= {f for f, tag, out in zip(self.form, self.tag, self.out) if tag in ("article", "main") and not out}
+        self.out = [out or f not in kept for out, f in zip(self.out, self.form)]
+        self.runs = [run for run in self.runs if not self.out[run[0]]]
 
     def _open(self, parent: int, tag: str, attributes: str) -> int:
         self.tag.append(tag)
@@ -123,6 +148,8 @@ class Page:
         self.header.append(self.header[parent] and tag not in ("h1", "h2", "h3") or tag == "header")
         self.out.append(out)
         self.link.append(self.link[parent] or tag == "a")
+        outer = self.form[parent]
+        self.form.append(len(self.tag) - 1 if tag == "form" and outer < 0 else outer)
         return len(self.tag) - 1
 
     def _text(self, node: int, block: int, text: str) -> None:
@@ -130,6 +157,10 @@ class Page:
             self.runs.append((node, block, text))
 
     def _imply(self, stack: list[int], tag: str) -> None:
+        if tag not in HEAD and (tag == "body" or self.tag[stack[-1]] == "head"):
+            head = next((i for i, node in enumerate(stack) if self.tag[node] == "head"), None)
+            if head is not None:
+                del stack[head:]
         ends = ENDS.get(tag)
         if not ends:
             return

@@ -56,3 +56,23 @@ def test_pages_lose_their_frame(spark):
     assert sum(bool(t) for t in texts) >= 0.9 * len(texts)
     assert all(r["n_chars"] == len(r["text"]) for r in rows)
     assert not any("<script" in t or "</" in t for t in texts)
+
+
+def test_head_without_end_tag():
+    body = f"<main><p>{LONG * 3}</p><p>{LONG * 2}</p></main>"
+    want = f"{(LONG * 3).strip()}\n\n{(LONG * 2).strip()}"
+    for page in (
+        f"<html><head><title>T</title><meta charset=utf-8><body>{body}</body></html>",
+        f"<html><head><title>T</title><style>p {{}}</style>{body}</html>",
+        f"<html><head><title>T</title><noscript><link href=x><body>{body}</body></html>",
+    ):
+        assert html_extract.main_text(page) == want
+
+
+def test_form_around_the_page_is_a_container():
+    search = "<div><input value=q><button>Search</button><select><option>One</select></div>"
+    for body in (f"<article><p>{LONG * 3}</p></article>", f"<div><p>{LONG * 2}</p><p>{LONG}</p></div>"):
+        page = f"<html><body><form id=aspnetForm>{search}{body}</form><div>Short end</div></body></html>"
+        assert LONG.strip() in html_extract.main_text(page) and "Search" not in html_extract.main_text(page)
+    page = f"<body><div><p>{LONG * 3}</p></div><form><p>Send us your name and address</p></form></body>"
+    assert html_extract.main_text(page) == (LONG * 3).strip()
