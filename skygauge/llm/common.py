@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: White space that separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: The same characters, as a list.
+BLANKS = " \t\n\v\f\r"
+
 #: Most rows of a side that is broadcast. Beyond it the plain join is used, which Spark shuffles.
 BROADCAST_ROWS = 100_000
 

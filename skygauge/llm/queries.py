@@ -11,9 +11,11 @@ from skygauge.llm import (
     html_extract,
     line_dedup,
     mixing,
+    order_minhash,
     quality_rules,
     sharding,
     simhash,
+    spelling,
     token_counts,
     url_filter,
 )
@@ -189,3 +191,52 @@ def url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash_components")
 def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op11_order_minhash")
+def order_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+_SPELL = """
+with recursive runs as (
+  select coalesce(cast(doc_id as varchar), '') as id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[A-Za-z\u00C0-\u00FF]+')) as run from documents),
+uses as (select id, run, count(*) as times from runs group by all),
+bytes as (
+  select *, flatten(list_transform(string_split(id || ':' || run, ''), lambda ch:
+    case when unicode(ch) < 128 then [unicode(ch)] else [192 + (unicode(ch) >> 6), 128 + (unicode(ch) & 63)] end)) as b from uses),
+hashed as (
+  select run, times, xor(list_reduce(
+    list_prepend(4294967295, flatten(list_transform(b, lambda x: list_transform(range(8), lambda k: cast((x >> k) & 1 as bigint))))),
+    lambda c, bit: xor(c >> 1, 3988292384 * (xor(c, bit) & 1))), 4294967295) as h from bytes),
+typed as (
+  select case when h % 199 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, times
+  from hashed),
+words as (
+  select word, cast(sum(times) as bigint) as n from typed where length(word) >= 6 group by word having sum(times) >= 5),
+places as (select word, n, unnest(range(1, length(word) + 1)) as i from words),
+rests as (select word, n, i, left(word, i - 1) || substr(word, i + 1) as rest from places),
+near as (
+  select r.word as a, w.word as b from rests r join words w on r.rest = w.word
+  union select w.word, r.word from rests r join words w on r.rest = w.word
+  union select x.word, y.word from rests x join rests y on x.i = y.i and x.rest = y.rest and x.word <> y.word),
+best as (
+  select a, count(*) as n_near, max(w.n) as top, min(struct_pack(less := -w.n, b := b)).b as form
+  from near join words w on w.word = b group by a),
+formed as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when top >= 5 * n then form end as form,
+         cast(case when top >= 5 * n then top end as bigint) as form_n
+  from words w left join best on best.a = w.word),
+chain as (
+  select word, word as at, form as up from formed
+  union all select c.word, f.word, f.form from chain c join formed f on f.word = c.up)
+select f.word, f.form, c.at as root, f.n, cast(f.n_near as bigint) as n_near, f.form_n
+from formed f join chain c on c.word = f.word and c.up is null
+"""
+
+
+@query("op13_spelling_variants", _SPELL)
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
