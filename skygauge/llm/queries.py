@@ -18,6 +18,7 @@ from skygauge.llm import (
     spelling,
     token_counts,
     url_filter,
+    whitening,
 )
 from skygauge.llm.registry import ORACLE, QUERIES, query, table
 
@@ -240,3 +241,8 @@ from formed f join chain c on c.word = f.word and c.up is null
 @query("op13_spelling_variants", _SPELL)
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_lanczos_whitening")
+def lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
