@@ -23,7 +23,7 @@ the first ninth of the smaller: classes are indexed by these. Pairs that meet ar
 they are below 0.8: by the places of the shared shingle, or by more differing bits of a parity bitmap of 1,024 bits
 than shingles may differ. For every other pair the similarity is computed from the texts.
 
-In a list of over `NEAR_LIST` classes each class is first compared with two hubs, the smallest and the largest one. Then
+In a list of over `HUB_LIST` classes each class is first compared with two hubs, the smallest and the largest one. Then
 only classes of different components are paired. If over `NEAR_LIST` classes of a list are outside its main component,
 the list is filed anew under the next shared shingle too, up to `DEPTH` shingles, where everything left is paired (two
 different sets of similarity 0.8 share at least four shingles, so no pair is lost on the way).
@@ -56,15 +56,16 @@ LINK_SHARED = 6
 _PAIRS = ((0, 1), (2, 3), (4, 5), (6, 7))
 LINK_KEYS = tuple(a + b for a, b in combinations(_PAIRS, 2))
 
-NEAR_LIST = 16
+#: Lists of over `HUB_LIST` classes are first compared with two hubs; those with over `NEAR_LIST` classes outside their
+#: main component are filed anew.
+HUB_LIST = 16
+NEAR_LIST = 256
 #: At most this many shingles in one key; not over four, see above.
 DEPTH = 2
 BITMAP = 1024
 #: About this many texts are read for the order of shingles, and so many repeated shingles are kept.
 SAMPLE = 5_000
 COMMON = 10_000
-#: Most rows of a side that `near_links` broadcasts; the driver holds it while it is built.
-NEAR_BROADCAST = 10_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -207,12 +208,12 @@ def _alike(pairs: DataFrame, classes: DataFrame, sets) -> DataFrame:
         return pairs
     side = lambda c: classes.selectExpr(f"node as {c}", f"n as n_{c}", f"bits as bits_{c}")
     differ = " + ".join(f"bit_count(bits_a[{w}] ^ bits_b[{w}])" for w in range(BITMAP // 64))
-    close = side("a").join(sized(pairs, NEAR_BROADCAST), "a").join(side("b"), "b").where(f"9 * ({differ}) <= n_a + n_b").select("a", "b")
+    close = side("a").join(pairs, "a").join(side("b"), "b").where(f"9 * ({differ}) <= n_a + n_b").select("a", "b")
     close = cut_lineage(close)
     if close.isEmpty():
         return close
     held = sets(cut_lineage(close.selectExpr("explode(array(a, b)) as node").distinct()))
-    met = held.selectExpr("node as a", "set as x").join(sized(close, NEAR_BROADCAST), "a").join(held.selectExpr("node as b", "set as y"), "b")
+    met = held.selectExpr("node as a", "set as x").join(close, "a").join(held.selectExpr("node as b", "set as y"), "b")
     return cut_lineage(met.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b"))
 
 
@@ -230,16 +231,16 @@ def near_links(classes: DataFrame, sets) -> DataFrame:
             F.count(F.lit(1)).alias("held"), F.max("early").alias("any"), F.min("node").alias("low"), F.max("node").alias("high")
         )
         lists = cut_lineage(lists.where("held > 1 and any").drop("any"))
-        posts = cut_lineage(posts.join(sized(lists, NEAR_BROADCAST), "key"))
-        star = posts.where(f"held > {NEAR_LIST}").selectExpr("node", "explode(array(low, high)) as hub").where("node <> hub")
+        posts = cut_lineage(posts.join(lists, "key"))
+        star = posts.where(f"held > {HUB_LIST}").selectExpr("node", "explode(array(low, high)) as hub").where("node <> hub")
         star = _alike(star.selectExpr("least(node, hub) as a", "greatest(node, hub) as b").distinct(), classes, sets)
         links = star if links is None else links.unionAll(star)
-        left = posts.select("key", "node", "n", "pos", "early").join(sized(components(links), NEAR_BROADCAST), "node", "left")
+        left = posts.select("key", "node", "n", "pos", "early").join(components(links), "node", "left")
         left = cut_lineage(left.withColumn("root", F.coalesce("root", "node")))
         parts = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
         parts = parts.groupBy("key").agg(F.sum("c").alias("held"), F.max("c").alias("top"), F.max_by("root", "c").alias("main"))
         parts = cut_lineage(parts.where("held > top").selectExpr("key", "main", "held - top as minor"))
-        left = cut_lineage(left.join(sized(parts, NEAR_BROADCAST), "key"))
+        left = cut_lineage(left.join(parts, "key"))
         now = left if level == DEPTH else left.where(f"minor <= {NEAR_LIST}")
         other = now.selectExpr("key", "node as b", "n as n_b", "pos as pos_b", "early as early_b", "root as root_b")
         meet = f"root <> root_b and (early or early_b) and 9 * ({level - 1} + least(n - pos, n_b - pos_b)) >= 4 * (n + n_b)"
@@ -285,8 +286,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     rows = cut_lineage(rows.select("doc_id", "text_hash", "c.*"))
 
     def sets(nodes: DataFrame) -> DataFrame:
-        held = rows.join(sized(nodes, NEAR_BROADCAST), "node").groupBy("node").agg(F.min("text_hash").alias("h"))
-        texts = docs.select(F.col(text).alias("text")).join(sized(cut_lineage(held), NEAR_BROADCAST), F.expr("xxhash64(text) = h"))
+        held = rows.join(nodes, "node").groupBy("node").agg(F.min("text_hash").alias("h"))
+        texts = docs.select(F.col(text).alias("text")).join(cut_lineage(held), F.expr("xxhash64(text) = h"))
         return cut_lineage(texts.dropDuplicates(["node"]).select("node", shingle_set("text", words).alias("set")))
 
     by_node = _grouped(rows, lambda classes: near_links(classes, sets), "n", "first", "bits")

@@ -46,4 +46,4 @@ def test_empty_documents(spark):
 
 def test_all_operators_are_registered():
     numbers = sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))

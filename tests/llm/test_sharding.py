@@ -79,4 +79,5 @@ def test_overflow_keeps_all_rows_when_the_directory_is_joined_by_shuffle(spark,
     for r in rows:
         pages[r["shard"]] = pages.get(r["shard"], 0) + r["n_bytes"]
     assert len(rows) == len(given)
-    assert all(r["shard_bytes"] == pages[r["shard"]] and r["fits"] for r in rows)
+    assert all(r["shard_bytes"] == pages[r["shard"]] and r["fits"] == (r["shard_bytes"] <= 2_000) for r in rows)
+    assert {r["n_bytes"] > 2_000 for r in rows if not r["fits"]} == {True}  # only what is larger by itself
