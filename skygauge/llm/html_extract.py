@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,6 +60,12 @@ WORDS = frozenset(
     " replies reply respond share sharing social related recommended recommendations widget widgets toolbar pagination"
     " pager login signup masthead copyright skip".split()
 )
+#: Of these, what holds the readers' comments.
+THREADS = frozenset("comments comment commentlist disqus replies reply respond".split())
+#: Class names that begin so say what the page has or lacks, not what the element is.
+STATES = ("has-", "has_", "no-", "no_", "with-", "without-", "is-")
+OUT, ASIDE, THREAD = 1, 2, 3
+
 _TAG = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
     re.S,
@@ -68,21 +75,29 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Is this element out with all it holds? The frame of the page never is for its class."""
+def _unwanted(tag: str, attributes: str, inside_article: bool) -> int:
+    """`OUT`: this element is out with all it holds. `ASIDE`: it is, unless it wraps the page's content. `THREAD`: as
+    `ASIDE`, but readers' comments are no content however long they are. The frame of the page never is for its class."""
     if tag in NOISE:
-        return not (tag == "header" and inside_article)
+        return 0 if tag == "header" and inside_article else OUT
+    if tag == "form":
+        return ASIDE
     if not attributes or tag in ("html", "body", "main", "article"):
-        return False
+        return 0
+    found = 0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "role" and value in ROLES or name == "aria-hidden" and value == "true" or name == "hidden":
-            return True
-        if name in ("class", "id") and not WORDS.isdisjoint(_SPLIT.split(value)):
-            return True
-        if name == "style" and _HIDDEN.search(value):
-            return True
-    return False
+        if name == "aria-hidden" and value == "true" or name == "hidden" or name == "style" and _HIDDEN.search(value):
+            return OUT
+        if name == "role" and value in ROLES:
+            found = found or ASIDE
+        if name in ("class", "id"):
+            parts = [p for c in value.split() if not c.startswith(STATES) for p in _SPLIT.split(c)]
+            if not THREADS.isdisjoint(parts):
+                found = THREAD
+            elif not WORDS.isdisjoint(parts):
+                found = found or ASIDE
+    return found
 
 
 class Page:
@@ -90,16 +105,18 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.out, self.link, self.article, self.header = ["#"], [-1], [False], [False], [False], [False]
-        self.form = [-1]  # the outermost open form
+        self.kind = [0]  # what `_unwanted` says of each node
         self.runs: list[tuple[int, int, str]] = []  # (node, block, text)
-        block, done, stack = 0, 0, [0]
-        find = _TAG.search
-        while found := find(source, done):
+        self.stack, self.open = [0], {"#": [0]}  # open nodes, and their places in the stack by tag
+        self.blocks_open, self.fences = [], []  # places of open blocks and fences
+        block, done = 0, 0
+        find, last = _TAG.search, source.rfind(">") + 1
+        while found := find(source, done, last):
             if found.start() > done:
-                if self.tag[stack[-1]] == "head" and source[done : found.start()].strip():
-                    stack.pop()
-                self._text(stack[-1], block, source[done : found.start()])
+                self._between(block, source[done : found.start()])
             done = found.end()
+            if done == last and source.startswith("<!--", found.start()) and not source.endswith("-->", 0, done):
+                done = len(source)  # a comment without an end
             closing, name, attributes = found.group(1, 2, 3) if found.group(2) else found.group(4, 5, 6)
             if not name:
                 continue
@@ -107,36 +124,64 @@ class Page:
             if name in BLOCK:
                 block += 1
             if closing:
-                self._close(stack, name)
+                self._close(name)
                 continue
-            self._imply(stack, name)
+            self._imply(name)
             if name == "br":
-                self._text(stack[-1], block, " ")
-            node = self._open(stack[-1], name, attributes or "")
+                self._text(self.stack[-1], block, " ")
+            node = self._open(self.stack[-1], name, attributes or "")
             if name in RAW:
                 end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, done)
                 done = end.end() if end else len(source)
             elif name not in VOID and not (attributes or "").endswith("/"):
-                stack.append(node)
-        if self.tag[stack[-1]] == "head" and source[done:].strip():
-            stack.pop()
-        self._text(stack[-1], block, source[done:])
-        self._leave_forms()
-
-    def _leave_forms(self) -> None:
-        """Forms that are not a container of the page's text are out."""
-        size = dict.fromkeys(set(self.form) - {-1}, 0)
-        if not size:
-            return
-        whole = 0
+                self._push(node, name)
+        comment = source.find("<!--", done)
+        self._between(block, source[done : comment if comment >= 0 else len(source)])
+        self._leave_asides()
+
+    def _between(self, block: int, text: str) -> None:
+        if self.tag[self.stack[-1]] == "head" and text.strip():
+            self._pop_to(len(self.stack) - 1)
+        self._text(self.stack[-1], block, text)
+
+    def _push(self, node: int, tag: str) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.open.setdefault(tag, []).append(at)
+        if tag in BLOCK:
+            self.blocks_open.append(at)
+        if tag in FENCE:
+            self.fences.append(at)
+
+    def _pop_to(self, size: int) -> None:
+        for node in self.stack[size:]:
+            self.open[self.tag[node]].pop()
+        del self.stack[size:]
+        for places in (self.blocks_open, self.fences):
+            while places and places[-1] >= size:
+                places.pop()
+
+    def _leave_asides(self) -> None:
+        """Elements said to be aside are out unless they hold most of the page's content: of the text in its articles and
+        main elements, or of all text where it has none. Comments are no content unless everything stands in them."""
+        n = len(self.tag)
+        named = any(tag in ("article", "main") and not out for tag, out in zip(self.tag, self.out))
+        size = [0] * n
         for node, _, text in self.runs:
-            chars = len(text) - text.count(" ")
-            whole += chars
-            if self.form[node] >= 0:
-                size[self.form[node]] += chars
-        kept = {f for f, chars in size.items() if 2 * chars > whole} | {-1}
-        kept |= {f for f, tag, out in zip(self.form, self.tag, self.out) if tag in ("article", "main") and not out}
-        self.out = [out or f not in kept for out, f in zip(self.out, self.form)]
+            if self.article[node] or not named:
+                size[node] += len(text) - text.count(" ")
+        thread = [False] * n
+        for i in range(1, n):
+            thread[i] = thread[self.parent[i]] or self.kind[i] == THREAD
+        sums = [0 if t else c for c, t in zip(size, thread)]
+        if not any(sums):
+            sums = size
+        for i in range(n - 1, 0, -1):
+            if not self.out[i]:
+                sums[self.parent[i]] += sums[i]
+        whole = sums[0]
+        for i in range(1, n):
+            self.out[i] = self.out[i] or self.out[self.parent[i]] or bool(self.kind[i]) and 2 * sums[i] <= whole
         self.runs = [run for run in self.runs if not self.out[run[0]]]
 
     def _open(self, parent: int, tag: str, attributes: str) -> int:
@@ -144,48 +189,40 @@ class Page:
         self.parent.append(parent)
         inside = self.article[parent] or tag in ("article", "main")
         self.article.append(inside)
-        out = self.out[parent] or _unwanted(tag, attributes, inside)
+        said = _unwanted(tag, attributes, inside)
         self.header.append(self.header[parent] and tag not in ("h1", "h2", "h3") or tag == "header")
-        self.out.append(out)
+        self.out.append(self.out[parent] or said == OUT)
+        self.kind.append(said)
         self.link.append(self.link[parent] or tag == "a")
-        outer = self.form[parent]
-        self.form.append(len(self.tag) - 1 if tag == "form" and outer < 0 else outer)
         return len(self.tag) - 1
 
     def _text(self, node: int, block: int, text: str) -> None:
         if text and not self.out[node] and not self.header[node]:
             self.runs.append((node, block, text))
 
-    def _imply(self, stack: list[int], tag: str) -> None:
-        if tag not in HEAD and (tag == "body" or self.tag[stack[-1]] == "head"):
-            head = next((i for i, node in enumerate(stack) if self.tag[node] == "head"), None)
-            if head is not None:
-                del stack[head:]
-        ends = ENDS.get(tag)
-        if not ends:
+    def _imply(self, tag: str) -> None:
+        if tag not in HEAD and (tag == "body" or self.tag[self.stack[-1]] == "head") and self.open.get("head"):
+            self._pop_to(self.open["head"][0])
+        fence = self.fences[-1] if self.fences else 0
+        places = [p[bisect_right(p, fence)] for e in ENDS.get(tag, ()) if (p := self.open.get(e)) and p[-1] > fence]
+        # an element that is a fence itself can be ended if it is the innermost one
+        if fence and self.tag[self.stack[fence]] in ENDS.get(tag, ()):
+            places.append(fence)
+            below = self.fences[-2] if len(self.fences) > 1 else 0
+            places += [p[bisect_right(p, below)] for e in ENDS[tag] if (p := self.open.get(e)) and p[bisect_right(p, below) :]]
+        if places:
+            self._pop_to(min(places))
+
+    def _close(self, tag: str) -> None:
+        places = self.open.get(tag)
+        if not places or not places[-1]:
+            return
+        at = places[-1]
+        if tag not in BLOCK and self.blocks_open and self.blocks_open[-1] > at:
+            return  # an inline end tag does not end a block
+        if tag == "p" and self.fences and self.fences[-1] > at:
             return
-        at = len(stack) - 1
-        cut = None
-        while at > 0:
-            name = self.tag[stack[at]]
-            if name in ends:
-                cut = at
-            elif name in FENCE:
-                break
-            at -= 1
-        if cut is not None:
-            del stack[cut:]
-
-    def _close(self, stack: list[int], tag: str) -> None:
-        at = len(stack) - 1
-        while at > 0 and self.tag[stack[at]] != tag:
-            if tag not in BLOCK and self.tag[stack[at]] in BLOCK:
-                return  # an inline end tag does not end a block
-            if tag == "p" and self.tag[stack[at]] in FENCE:
-                return
-            at -= 1
-        if at > 0:
-            del stack[at:]
+        self._pop_to(at)
 
     def content(self) -> list[bool]:
         """By node: does it belong to the main text?"""
@@ -285,7 +322,6 @@ def extract(pages: DataFrame, source: str = "html") -> DataFrame:
     def texts(sources: pd.Series) -> pd.Series:
         return pd.Series([main_text(s) for s in sources], dtype=object)
 
-    kept = [c for c in pages.columns if c not in (source, "text", "n_chars")]
-    return pages.select(*kept, texts(F.col(source)).alias("text")).withColumn(
-        "n_chars", F.char_length("text").cast("long")
-    )
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in (source.lower(), "text", "n_chars")]
+    found = pages.select(*kept, texts(F.col(f"`{source}`")).alias("text"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))

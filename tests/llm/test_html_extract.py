@@ -1,3 +1,5 @@
+import time
+
 from skygauge.llm import html_extract
 from tests.llm.util import SF
 
@@ -76,3 +78,26 @@ def test_form_around_the_page_is_a_container():
         assert LONG.strip() in html_extract.main_text(page) and "Search" not in html_extract.main_text(page)
     page = f"<body><div><p>{LONG * 3}</p></div><form><p>Send us your name and address</p></form></body>"
     assert html_extract.main_text(page) == (LONG * 3).strip()
+
+
+def test_wrappers_named_after_what_they_have_keep_the_article():
+    article, want = f"<article><p>{LONG * 3}</p></article>", (LONG * 3).strip()
+    for name in ('id=page class="site has-sidebar"', 'class="no-banner wide"', 'class="content sidebar-right"'):
+        page = f"<body><div {name}><nav>x</nav>{article}<div class=sidebar>Side</div></div></body>"
+        assert html_extract.main_text(page) == want
+    thread = f"<section id=comments>{'<article><p>' + LONG * 4 + '</p></article>'}</section>"
+    assert html_extract.main_text(f"<body>{article}{thread}</body>") == want  # comments are longer, but no content
+
+
+def test_stray_markup_takes_linear_time():
+    n = 60_000
+    for page in ("<b>" * n + "</i>" * n, "<a x " * n, "<i><div>" + "<b>" * n + "</i>" * n, "<b>" * n + "<h1>" * n, "<!x " * n):
+        began = time.process_time()
+        html_extract.main_text(page)
+        assert time.process_time() - began < 10
+
+
+def test_clashing_and_dotted_columns(spark):
+    df = spark.createDataFrame([(1, PAGE, "x", "y")], ["page_id", "html", "a.b", "Text"])
+    row = html_extract.extract(df).first()
+    assert row["a.b"] == "x" and row["text"].startswith("The harbour") and set(row.asDict()) == {"page_id", "a.b", "text", "n_chars"}
