@@ -8,8 +8,8 @@ blocks that survive are scored in full. All items at or above the threshold are
 
 Passages are windows of two steps that overlap by one, with a step no shorter than the longest item of the index (up
 to `LONGEST` words), so that an item copied into a text lies in one passage as a whole. Retrieved pairs are verified
-on the whole document: 0.8 of the item's 5-word shingles, of the question alone and of question and answer together,
-must occur in it.
+on the whole document: 0.8 of the item's 5-word shingles, of the question alone, of those that end in the answer, and of
+all together, must occur in it. A text of many words is queried in slices that share two steps.
 
 The index has a bound: items are dealt by hash into segments of about `SEGMENT_WORDS` words, each with its own
 statistics, and every document queries one broadcast segment after the other. A benchmark of usual size is one.
@@ -157,38 +157,44 @@ def verify(index: dict, text: str, item: int, known: dict[int, set]) -> tuple[fl
     if n not in known:
         known[n] = grams(words_of(text), n)
     share = lambda part: len(part & known[n]) / len(part) if part else 1.0
-    if share(whole) < OVERLAP or share(asked) < OVERLAP:
+    if min(share(whole), share(asked), share(answered)) < OVERLAP:
         return None
     return share(asked), share(answered)
 
 
 def search(index: dict, texts: list[str | None]) -> list[list[tuple[int, float, float]]]:
     """By text: the items it holds, with their overlaps."""
-    out: list[list] = [[] for _ in texts]
+    out: list[dict] = [{} for _ in texts]
     most = min(BATCH_WORDS, BATCH_CELLS * index["step"] // index["blocks"])
     at, queue, waiting = [], [], 0
 
     def flush() -> None:
         known: dict[int, dict] = {}
         for d, item in sorted(retrieve(index, queue)):
-            shares = verify(index, texts[at[d]], item, known.setdefault(d, {}))
+            doc = at[d]
+            shares = None if item in out[doc] else verify(index, texts[doc], item, known.setdefault(doc, {}))
             if shares:
-                out[at[d]].append((item, *shares))
+                out[doc][item] = shares
 
     get = index["terms"].get
     for i, text in enumerate(texts):
         found = words_of(text)
         if not found or not index["shingles"]:
             continue
-        at.append(i)
-        queue.append(np.fromiter((get(w, -1) for w in found), np.int64, len(found)))
-        waiting += len(found)
-        if waiting >= most:
-            flush()
-            at, queue, waiting = [], [], 0
+        terms = np.fromiter((get(w, -1) for w in found), np.int64, len(found))
+        shared = 2 * index["step"]
+        size = max(most, 2 * shared)
+        for start in range(0, max(1, len(terms) - shared), size - shared):
+            part = terms[start : start + size]
+            at.append(i)
+            queue.append(part)
+            waiting += len(part)
+            if waiting >= most:
+                flush()
+                at, queue, waiting = [], [], 0
     if queue:
         flush()
-    return out
+    return [[(item, *shares) for item, shares in sorted(found.items())] for found in out]
 
 
 def _searcher(shared: Broadcast):

@@ -80,3 +80,22 @@ def test_awkward_rows(spark):
     assert kept.columns == df.columns and kept.count() == 6
     assert dc.matches(df.limit(0), items).count() == 0 and dc.matches(df, items.limit(0)).count() == 0
     assert dc.clean(df, items.limit(0)).count() == df.count()
+
+
+def test_a_question_without_its_answer_is_no_match():
+    question = " ".join(f"question{k}" for k in range(30))
+    answer = " ".join(f"answer{k}" for k in range(6))
+    index = dc.build([(1, question, answer), (2, question, "")])
+    found = dc.search(index, [f"{question} {answer}", question, f"before {question} after"])
+    assert [[index["ids"][i] for i, *_ in hits] for hits in found] == [[2, 1], [2], [2]]
+    assert all(share >= dc.OVERLAP for hits in found for _, *shares in hits for share in shares)
+
+
+def test_long_texts_are_queried_in_slices(monkeypatch):
+    monkeypatch.setattr(dc, "BATCH_WORDS", 200)
+    items = [(k, " ".join(f"q{k}x{j}" for j in range(20)), f"the answer {k} is number {k}") for k in range(5)]
+    index = dc.build(items)
+    filler = [f"w{k}" for k in range(3_000)]
+    for at in range(0, 2_900, 37):
+        words = filler[:at] + f"{items[3][1]} {items[3][2]}".split() + filler[at:]
+        assert [index["ids"][i] for i, *_ in dc.search(index, [" ".join(words)])[0]] == [3]
