@@ -38,8 +38,9 @@ from skygauge.llm.common import n_bytes
 CHUNK = 1 << 16
 LIMIT = 2048
 END = "</w>"
-#: Most words whose sums a worker keeps.
+#: Most words whose sums a worker keeps, and most states of its transducer; beyond them it starts anew.
 MEMO_WORDS = 400_000
+MOST_STATES = 50_000
 #: The pre-tokenizer's pattern, as in the tokenizer file.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BLANK = regex.compile(r"[ \t-\r]")
@@ -75,10 +76,27 @@ class Transducer:
         self.vocab, self.ranks = vocab, ranks
         self.starts = {t[:i] for t in (v.removesuffix(END) for v in vocab) for i in range(1, len(t))}
         self.fits: dict = {}
-        self.number: dict = {("", ((None, 0),)): 0}
-        self.states = list(self.number)
-        self.steps: list[dict] = [{}]
-        self.ends: list[dict] = [{}]
+        self.number: dict = {}
+        self.states: list = []
+        self.steps: list[dict] = []
+        self.ends: list[dict] = []
+        self._state(("", ((None, 0),)))
+
+    def _state(self, key: tuple) -> int:
+        if key not in self.number:
+            self.number[key] = len(self.states)
+            self.states.append(key)
+            self.steps.append({})
+            self.ends.append({})
+        return self.number[key]
+
+    def _begin_anew(self, state: int) -> int:
+        """Forget all compiled states but the first one and `state`; its new number."""
+        first, key = self.states[0], self.states[state]
+        for table in (self.fits, self.number, self.states, self.steps, self.ends):
+            table.clear()  # in place: callers hold them
+        self._state(first)
+        return self._state(key)
 
     def _merged(self, symbols: list[str]) -> list[str]:
         """The merges by rank, leftmost first; only ever run on two tokens."""
@@ -118,12 +136,9 @@ class Transducer:
                 longer = longer[1:]
             kept = window[len(window) - len(longer) :] if longer else ()
             key = (longer, (*((t, n - added) for t, n in kept), (token, 0)))
-            if key not in self.number:
-                self.number[key] = len(self.states)
-                self.states.append(key)
-                self.steps.append({})
-                self.ends.append({})
-            found = self.steps[state][symbol] = (self.number[key], added)
+            if len(self.states) >= MOST_STATES and key not in self.number:
+                state = self._begin_anew(state)
+            found = self.steps[state][symbol] = (self._state(key), added)
         return found
 
     def tokens(self, symbols: str) -> int:

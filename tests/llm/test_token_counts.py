@@ -55,3 +55,13 @@ def test_awkward_rows(spark, exact):
     assert len(rows) == 9 and all(r["a.b"] == "mine" and r["maps"] == "mine" for r in rows)
     check(rows, exact)
     assert counted(df.limit(0)) == []
+
+
+def test_states_are_bounded(monkeypatch):
+    tables = tc.load(public_tokenizers.path("word_bpe_49k.json"))
+    text = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=30_000))
+    want = tc.Counter(tables).count(text)
+    monkeypatch.setattr(tc, "MOST_STATES", 500)
+    counter = tc.Counter(tables)
+    assert counter.count(text) == want and len(counter.transducer.states) <= 501
+    assert counter.count("plain words " * 50) == tc.Counter(tables).count("plain words " * 50)
