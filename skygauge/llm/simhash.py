@@ -227,12 +227,12 @@ def near_links(classes: DataFrame, sets) -> DataFrame:
     for level in range(1, DEPTH + 1):
         # the smaller class of a pair has its shared shingle early
         posts = posts.withColumn("early", F.expr(f"pos <= n - (8 * n + 8) div 9 + {level - 1}"))
-        lists = posts.groupBy("key").agg(
-            F.count(F.lit(1)).alias("held"), F.max("early").alias("any"), F.min("node").alias("low"), F.max("node").alias("high")
-        )
+        lists = posts.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.max("early").alias("any"))
         lists = cut_lineage(lists.where("held > 1 and any").drop("any"))
         posts = cut_lineage(posts.join(lists, "key"))
-        star = posts.where(f"held > {HUB_LIST}").selectExpr("node", "explode(array(low, high)) as hub").where("node <> hub")
+        long = posts.where(f"held > {HUB_LIST}").select("key", "node")
+        hubs = long.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+        star = long.join(hubs, "key").selectExpr("node", "explode(array(low, high)) as hub").where("node <> hub")
         star = _alike(star.selectExpr("least(node, hub) as a", "greatest(node, hub) as b").distinct(), classes, sets)
         links = star if links is None else links.unionAll(star)
         left = posts.select("key", "node", "n", "pos", "early").join(components(links), "node", "left")
@@ -287,7 +287,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 
     def sets(nodes: DataFrame) -> DataFrame:
         held = rows.join(nodes, "node").groupBy("node").agg(F.min("text_hash").alias("h"))
-        texts = docs.select(F.col(text).alias("text")).join(cut_lineage(held), F.expr("xxhash64(text) = h"))
+        texts = docs.select(F.col(text).alias("text")).join(sized(cut_lineage(held)), F.expr("xxhash64(text) = h"))
         return cut_lineage(texts.dropDuplicates(["node"]).select("node", shingle_set("text", words).alias("set")))
 
     by_node = _grouped(rows, lambda classes: near_links(classes, sets), "n", "first", "bits")
