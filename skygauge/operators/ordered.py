@@ -111,42 +111,63 @@ def next_at_least(points: DataFrame, lookups: DataFrame, keys: Sequence[str], ce
     )
 
 
+#: Buckets of a power of two in the first step of the selection, and buckets of each of those in the second.
+LEADING, FURTHER = 1 << 10, 1 << 20
+_ENDLESS = 1 << 32
+
+
+def _radix(value: str) -> tuple[Column, Column]:
+    """Leading and further digits of a double, as two whole numbers that keep its order.
+
+    The power of two and ten bits of the mantissa lead, the next twenty bits follow. Where the logarithm rounds to the
+    neighbouring power, the mantissa leaves [1, 2) by as little and lands in the same bucket. Infinite values and NaN
+    (after all others, as Spark orders it) have buckets of their own.
+    """
+    size = f"abs({value})"
+    plain = f"({size} > 0 and {size} < double('infinity'))"
+    power = f"floor(log2(if({plain}, {size}, 1D)))"
+    cells = f"((if({plain}, {size}, 1D) / pow(2D, {power}) - 1D) * {LEADING})"
+    lead = f"if({plain}, ({power} + 1100) * {LEADING} + floor({cells}) + 1, if({value} = 0, 0L, {_ENDLESS}L))"
+    rest = f"if({plain}, floor(({cells} - floor({cells})) * {FURTHER}), 0L)"
+    flip = f"if({value} < 0, -1L, 1L)"
+    return F.expr(f"if(isnan({value}), {2 * _ENDLESS}L, {flip} * ({lead}))"), F.expr(f"if(isnan({value}), 0L, {flip} * {rest})")
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, tuple[Column, Column]]
 ) -> DataFrame:
-    """Exact order statistics per key without collecting a key anywhere.
+    """Exact order statistics per key by radix selection, without ordering or collecting a key anywhere.
 
     `ranks` maps an output name to the zero-based lower and upper row index as expressions over
     `n` (the number of non-null values of the key); the result column is the struct `(lo, hi)` of the
     values at these positions. Equal values are counted first, on the map side, and that histogram is
-    written once; everything after reads it instead of the input. Its distinct values are cut into
-    slices at approximate quantiles, whole slices are skipped by their counts, and only the slices that
-    hold a wanted position are ordered.
+    written once. A first pass over it sums counts by the leading digits of the values; a second one reads
+    only the buckets that hold a wanted position and sums them by further digits. What is left shares
+    thirty bits and its power of two, which a few million different doubles do at most, whatever the data.
     """
     keys = list(keys)
-    counted = cut_lineage(
-        df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    )
-    steps = [i / 64 for i in range(1, 64)]
-    cuts = counted.groupBy(*keys).agg(F.percentile_approx("_v", steps, 2000).alias("_cuts"))
-    sliced = (
-        counted.join(cuts, keys)
-        .withColumn("_slice", F.expr("size(filter(_cuts, s -> s < _v))"))
-        .drop("_cuts")
-    )
-    earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        sliced.groupBy(*keys, "_slice")
-        .agg(F.sum("_c").alias("_sc"))
-        .withColumn("_start", F.coalesce(F.sum("_sc").over(earlier), F.lit(0)))
-        .withColumn("n", F.sum("_sc").over(W.partitionBy(*keys)))  # at most 64 slices per key
-    )
-    wanted = F.array(*[p.cast("bigint") for pair in ranks.values() for p in pair])
-    needed = starts.withColumn("_pos", wanted).where("exists(_pos, p -> p >= _start and p < _start + _sc)").drop("_pos", "_sc")
-    inside = W.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-    placed = sliced.join(needed, [*keys, "_slice"]).withColumn(
-        "_from", F.col("_start") + F.coalesce(F.sum("_c").over(inside), F.lit(0))
-    )
+    counted = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    counted = cut_lineage(counted.groupBy(*keys, "_v").agg(F.count("*").alias("_c")))
+    lead, rest = _radix("_v")
+    digits = counted.withColumn("_lead", lead)
+    positions = F.array(*[p.cast("bigint") for pair in ranks.values() for p in pair])
+
+    def holding(cells: DataFrame, within: list[str], cell: str) -> DataFrame:
+        """The cells that hold a wanted position, each with the number of values before it (`_start`)."""
+        sums = cells.groupBy(*within, cell, *(["n", "_base"] if "n" in cells.columns else [])).agg(F.sum("_c").alias("_sum"))
+        if "n" not in cells.columns:
+            sums = sums.withColumns({"n": F.sum("_sum").over(W.partitionBy(*within)), "_base": F.lit(0).cast("bigint")})
+        earlier = W.partitionBy(*within).orderBy(cell).rowsBetween(W.unboundedPreceding, -1)
+        starts = sums.withColumn("_start", F.col("_base") + F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+        wanted = starts.withColumn("_pos", positions).where("exists(_pos, p -> p >= _start and p < _start + _sum)")
+        return wanted.select(*within, cell, "n", F.col("_start").alias("_base"))
+
+    leading = holding(digits, keys, "_lead")
+    inside = cut_lineage(digits.join(leading, [*keys, "_lead"]).withColumn("_rest", rest))
+    last = holding(inside, [*keys, "_lead"], "_rest")
+    few = inside.drop("n", "_base").join(last, [*keys, "_lead", "_rest"])
+    earlier = W.partitionBy(*keys, "_lead", "_rest").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+    placed = few.withColumn("_from", F.col("_base") + F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
 
     def at(position: Column) -> Column:
         p = position.cast("bigint")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skygauge import fixed
 from skygauge.functions.scalars import evaluate_once, safe_float, utc_suffix
 from skygauge.functions.text import any_of, listed, quote
+from skygauge.operators.ordered import CHUNK, CHUNK_ROWS, with_chunk
 
 NUMERIC_FIELDS = (
     "oak_pollen",
@@ -149,22 +151,33 @@ def dead_letters(validated: DataFrame, failed_at: Column) -> DataFrame:
     )
 
 
-def commit_positions(outcomes: DataFrame) -> DataFrame:
+def commit_positions(outcomes: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """`outcomes(topic, partition, offset, failed)` to the position each partition may commit.
 
-    Records after the first failure wait; the position is one past the last success before it, null
-    when there is none. The join side has one row per partition and is broadcast by AQE when small.
+    Records after the first failure wait; the position is one past the last success before it, null when there is
+    none. A partition is cut into chunks of its offsets, and each chunk is summed up alone: its first failure, the last
+    record before that, and how many stand before and after it. Chunks combine in order, since only the first one
+    with a failure ends what may be committed. The input is read once and nothing is joined to it.
     """
-    keys = ["topic", "partition"]
-    first = outcomes.groupBy(*keys).agg(F.min(F.when(F.col("failed"), F.col("offset"))).alias("retry_from"))
-    ready = F.col("retry_from").isNull() | (F.col("offset") < F.col("retry_from"))
+    keys, chunk = ["topic", "partition"], ["topic", "partition", CHUNK]
+    rows = with_chunk(outcomes.select(*keys, "offset", "failed"), "offset", chunk_rows)
+    first = F.min(F.when(F.col("failed"), F.col("offset"))).over(W.partitionBy(*chunk))
+    ready = F.col("_first").isNull() | (F.col("offset") < F.col("_first"))
+    sums = rows.withColumn("_first", first).groupBy(*chunk).agg(
+        F.first("_first").alias("_first"),
+        F.max(F.when(ready, F.col("offset"))).alias("_last"),
+        F.count(F.when(ready, True)).alias("_ready"),
+        F.count("*").alias("_n"),
+    )
+    before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    open_ = F.min("_first").over(before).isNull()
     return (
-        outcomes.join(first, keys)
+        sums.withColumn("_open", open_)
         .groupBy(*keys)
         .agg(
-            (F.max(F.when(ready, F.col("offset"))) + 1).alias("commit"),
-            F.first("retry_from").alias("retry_from"),
-            F.count(F.when(ready, True)).alias("processed"),
-            F.count(F.when(~ready, True)).alias("waiting"),
+            (F.max(F.when(F.col("_open"), F.col("_last"))) + 1).alias("commit"),
+            F.min("_first").alias("retry_from"),
+            F.coalesce(F.sum(F.when(F.col("_open"), F.col("_ready"))), F.lit(0)).alias("processed"),
+            F.sum(F.when(F.col("_open"), F.col("_n") - F.col("_ready")).otherwise(F.col("_n"))).alias("waiting"),
         )
     )

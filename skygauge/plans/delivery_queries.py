@@ -207,9 +207,8 @@ def state_upsert(spark, sf_dir):
 
 @query(
     "state_lookup",
-    f"""WITH RECURSIVE {sql.GRADED}, {sql.gate(sql.GATE_ROWS)}, state AS (SELECT region, arg_max(psig, rn) AS signature FROM gate
-      WHERE region >= 'R05' GROUP BY region),
-    old AS (SELECT region, arg_max({sql.SIGNATURE}, stamp) AS sig FROM graded WHERE region < 'R10' GROUP BY region),
+    f"""WITH RECURSIVE {sql.GRADED}, {sql.gate(sql.GATE_ROWS)}, state AS (SELECT if(region < 'R05', region || ' moved', region) AS region, arg_max(psig, rn) AS signature FROM gate GROUP BY ALL),
+    old AS (SELECT if(region < 'R10', region, region || ' moved') AS region, arg_max({sql.SIGNATURE}, stamp) AS sig FROM graded GROUP BY ALL),
     r AS (SELECT DISTINCT region FROM ev UNION SELECT DISTINCT o_orderpriority FROM orders)
     SELECT region, coalesce(state.signature, old.sig) AS signature,
       CASE WHEN state.region IS NOT NULL THEN 'state' WHEN old.region IS NOT NULL THEN 'history' ELSE 'none' END AS source
@@ -218,8 +217,11 @@ def state_upsert(spark, sf_dir):
 def state_lookup(spark, sf_dir):
     known = views.events(spark, sf_dir).select("region")
     unknown = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("region"))
-    history = views.graded(spark, sf_dir).where("region < 'R10'").select("region", "timestamp", F.expr(signature()).alias("grade_signature"))
-    out = delivery.state_lookup(known.unionByName(unknown), _state(spark, sf_dir).where("region >= 'R05'"), history)
+    # all rows stay: regions that have state, history, both or neither come from renaming some of them
+    history = views.graded(spark, sf_dir).select("region", "timestamp", F.expr(signature()).alias("grade_signature"))
+    history = history.withColumn("region", F.expr("if(region < 'R10', region, region || ' moved')"))
+    state = _state(spark, sf_dir).withColumn("region", F.expr("if(region < 'R05', region || ' moved', region)"))
+    out = delivery.state_lookup(known.unionByName(unknown), state, history)
     return out.select("region", "signature", "source")
 
 

@@ -202,20 +202,28 @@ def allowlisted_missing(spark, sf_dir):
     "alarm_conditions",
     f"""WITH {sql.EVENT_METRICS}, {_LAG}, win AS (SELECT * FROM em WHERE processed_at >= TIMESTAMP '{NOW}' - INTERVAL 70 MINUTE),
     hits AS (SELECT * FROM win WHERE missing_count > 0 ORDER BY processed_at DESC, event_id DESC LIMIT 20),
-    s AS (SELECT (SELECT count(*) FROM ev WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 7 HOUR AND region = 'none') AS recent,
+    s AS (SELECT scene, status, (SELECT count(*) FROM ev WHERE ts - to_days(behind) >= TIMESTAMP '{NOW}' - INTERVAL 7 HOUR) AS recent,
       (SELECT count(*) FROM win WHERE delivery_failed) AS failed, (SELECT count(*) FROM hits) AS hit, (SELECT max(lag) FROM lag) AS lag,
       (SELECT array_to_string(list_sort(list(DISTINCT m)), '|') FROM (SELECT unnest(missing_indices) AS m FROM hits)) AS names,
-      (SELECT string_agg(event_id, '|' ORDER BY processed_at DESC, event_id DESC) FROM (SELECT * FROM hits ORDER BY processed_at DESC, event_id DESC LIMIT 5)) AS ids)
-    SELECT 'a' AS code, '신규 이력 없음 (7시간)' AS title, CAST(NULL AS VARCHAR) AS missing, CAST(NULL AS VARCHAR) AS event_ids FROM s WHERE recent = 0
-    UNION ALL SELECT 'b', '전달 실패 ' || failed || '건', NULL, NULL FROM s WHERE failed > 0
-    UNION ALL SELECT 'c', '결측 발생 ' || hit || '건', names, ids FROM s WHERE hit > 0
-    UNION ALL SELECT 'd', '컨슈머 랙 ' || lag || ' (> 4)', NULL, NULL FROM s WHERE lag > 4
-    UNION ALL SELECT 'g', 'OpenSearch 클러스터 red', NULL, NULL FROM s""",
+      (SELECT string_agg(event_id, '|' ORDER BY processed_at DESC, event_id DESC) FROM (SELECT * FROM hits ORDER BY processed_at DESC, event_id DESC LIMIT 5)) AS ids
+      FROM (VALUES ('current', 'green', 0), ('stopped', 'red', 400)) AS scenes(scene, status, behind))
+    SELECT scene, 'a' AS code, '신규 이력 없음 (7시간)' AS title, CAST(NULL AS VARCHAR) AS missing, CAST(NULL AS VARCHAR) AS event_ids FROM s WHERE recent = 0
+    UNION ALL SELECT scene, 'b', '전달 실패 ' || failed || '건', NULL, NULL FROM s WHERE failed > 0
+    UNION ALL SELECT scene, 'c', '결측 발생 ' || hit || '건', names, ids FROM s WHERE hit > 0
+    UNION ALL SELECT scene, 'd', '컨슈머 랙 ' || lag || ' (> 4)', NULL, NULL FROM s WHERE lag > 4
+    UNION ALL SELECT scene, 'g', 'OpenSearch 클러스터 red', NULL, NULL FROM s WHERE status = 'red'""",
 )
 def alarm_conditions(spark, sf_dir):
-    history = views.events(spark, sf_dir).where("region = 'none'").select(F.col("ts").alias("at"))
+    """Over the whole history as it is, and over the same history had it ended 400 days earlier."""
     lag = monitor.partition_lag(*_offsets(spark, sf_dir))
-    return monitor.alarm_conditions(monitor.alarm_snapshot(views.event_metrics(spark, sf_dir), history, lag, "red", _now()))
+    metrics, history = views.event_metrics(spark, sf_dir), views.events(spark, sf_dir)
+
+    def scene(name, status, behind):
+        at = history.select((F.col("ts") - F.expr(f"interval {behind} days")).alias("at"))
+        found = monitor.alarm_conditions(monitor.alarm_snapshot(metrics, at, lag, status, _now()))
+        return found.withColumn("scene", F.lit(name))
+
+    return scene("current", "green", 0).unionByName(scene("stopped", "red", 400))
 
 
 @query(

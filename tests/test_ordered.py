@@ -48,6 +48,29 @@ def test_exact_quantiles(spark):
             assert abs(r[n] - np.quantile(data[r.k], q)) < 1e-9
 
 
+def test_quantiles_of_awkward_values(spark):
+    rng = random.Random(8)
+    data = {
+        "signs": [rng.choice([-1, 1]) * 2.0 ** rng.uniform(-1070, 1020) for _ in range(2000)] + [0.0, -0.0, 5e-324],
+        "powers": [s * 2.0**k for k in range(-60, 60) for s in (1, -1, 1 - 2**-53, 1 + 2**-52)],
+        "close": [1 + k * 2.0**-52 for k in range(3000)],
+        "hot": [7.25] * 4000 + [rng.gauss(0, 1) for _ in range(100)],
+        "ends": [float("-inf"), -1.0, 2.0, float("inf"), float("inf")],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "k string, v double").repartition(5)
+    points = {f"p{k}": k / 16 for k in range(17)}
+    out = o.exact_quantiles(df, ["k"], "v", {n: o.rank_pair(q, F.col("n")) for n, q in points.items()})
+    for r in out.collect():
+        ordered = sorted(data[r.k])
+        for n, q in points.items():
+            at = q * (len(ordered) - 1)
+            assert (r[n].lo, r[n].hi) == (ordered[int(at)], ordered[-int(-at // 1)])
+    nan = spark.createDataFrame([(1, float("nan")), (1, 3.0), (1, float("inf"))], "k int, v double")
+    row = o.exact_quantiles(nan, ["k"], "v", {"low": (F.lit(0), F.lit(1))}).first()
+    assert tuple(row.low) == (3.0, float("inf"))
+    assert o.exact_quantiles(nan.limit(0), ["k"], "v", {"low": (F.lit(0), F.lit(0))}).count() == 0
+
+
 def test_contains_matches_equals_brute_force(spark):
     rng = random.Random(4)
     letters = "ab가나 \n.😀"

@@ -1,3 +1,4 @@
+import random
 import json
 
 import pytest
@@ -102,3 +103,21 @@ def test_commit_stops_at_the_first_failure(spark):
     df = spark.createDataFrame(rows, "topic string, partition int, offset bigint, failed boolean")
     got = {r.partition: (r["commit"], r.retry_from, r.processed, r.waiting) for r in v.commit_positions(df).collect()}
     assert got == {0: (11, 11, 1, 2), 1: (21, None, 1, 0), 2: (None, 5, 0, 1), 3: (8, 9, 1, 1)}
+
+
+def test_commit_positions_by_chunks(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for p in range(12):
+        offsets = sorted(rng.sample(range(400), 120))
+        failed = {o for o in offsets if rng.random() < (0, 0.01, 0.1)[p % 3]}
+        rows += [("t", p, o, o in failed) for o in offsets]
+        first = min(failed, default=None)
+        ready = [o for o in offsets if first is None or o < first]
+        want[p] = (ready[-1] + 1 if ready else None, first, len(ready), len(offsets) - len(ready))
+    df = spark.createDataFrame(rows, "topic string, partition int, offset bigint, failed boolean").repartition(4)
+    for chunk in (1, 16, 1 << 18):
+        out = v.commit_positions(df, chunk)
+        assert {r.partition: (r["commit"], r.retry_from, r.processed, r.waiting) for r in out.collect()} == want
+    plan = v.commit_positions(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Scan") == 1
