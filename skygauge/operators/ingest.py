@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skygauge import fixed
-from skygauge.functions.scalars import mean_1dp, safe_float, scaled_units
+from skygauge.functions.scalars import mask_secrets, mean_1dp, safe_float, scaled_units
 from skygauge.functions.text import listed, quote
 from skygauge.operators.ordered import contains_matches
 
@@ -289,27 +289,39 @@ def station_mean(rows: DataFrame, keys: Sequence[str], pollutants: Sequence[str]
     )
 
 
-def advisory_match(regions: DataFrame, advisories: DataFrame, today: str) -> DataFrame:
+def advisory_match(regions: DataFrame, advisories: DataFrame, today: str, failures: DataFrame | None = None) -> DataFrame:
     """Yellow-dust state per region from advisory rows whose area contains the region name.
 
     `regions(region)`, `advisories(ord, area, data_time, count)`. The first match decides: issued
     today gives 500.0, an earlier one 0.0; a region with no match is 0.0.
+
+    `failures(message)` has the calls of this source that failed. If it has any and there are no
+    advisories, nothing is known: value and advisory are null, `dust_status` is `unavailable` and
+    `dust_message` the first failure's text, masked. An outage never reads as "none".
     """
     pairs = contains_matches(advisories, "ord", "area", regions, "region")
     first = pairs.groupBy("region").agg(F.min("ord").alias("ord"))
     hit = first.join(advisories.select("ord", "area", "data_time"), "ord", "left")
+    message = F.lit(None).cast("string")
+    if failures is not None:
+        said = failures.agg(F.min(F.coalesce("message", F.lit(""))).alias("message")).scalar()
+        message = F.when(advisories.agg(F.count(F.lit(1))).scalar() == 0, mask_secrets(said))
+    found = regions.select("region").distinct().join(hit, "region", "left").withColumn("dust_message", message)
     issued = F.coalesce(F.substring("data_time", 1, 8) == today, F.lit(False))
-    return (
-        regions.select("region").distinct()
-        .join(hit, "region", "left")
-        .select(
-            "region",
-            F.when(issued, F.lit(fixed.ADVISORY_ISSUED)).otherwise(F.lit(fixed.ADVISORY_NONE)).alias("yellow_dust_advisory"),
-            F.when(issued, F.lit(fixed.ADVISORY_DUST)).otherwise(F.lit(fixed.ADVISORY_CLEAR)).alias("yellow_dust"),
-            F.lit("ylwsnd_advisory").alias("yellow_dust_source"),
-            F.col("area").alias("matched_area"),
-            F.col("data_time").alias("matched_time"),
-        )
+    known = F.col("dust_message").isNull()
+
+    def state(of_today: object, otherwise: object) -> Column:
+        return F.when(known, F.when(issued, F.lit(of_today)).otherwise(F.lit(otherwise)))
+
+    return found.select(
+        "region",
+        state(fixed.ADVISORY_ISSUED, fixed.ADVISORY_NONE).alias("yellow_dust_advisory"),
+        state(fixed.ADVISORY_DUST, fixed.ADVISORY_CLEAR).alias("yellow_dust"),
+        F.when(known, F.lit("ylwsnd_advisory")).otherwise("ylwsnd_advisory_unavailable").alias("yellow_dust_source"),
+        F.col("area").alias("matched_area"),
+        F.col("data_time").alias("matched_time"),
+        F.when(~known, F.lit("unavailable")).alias("dust_status"),
+        "dust_message",
     )
 
 

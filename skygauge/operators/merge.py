@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skygauge import fixed
-from skygauge.functions.scalars import event_id
+from skygauge.functions.scalars import event_id, mask_secrets
 from skygauge.functions.text import present, quote
 
 KEYS = ["region", "slot"]
 
 # Columns each feed may bring; all are one row per (region, slot).
 FEED_COLUMNS = {
-    "air": {"pm10": "double", "pm25": "double", "air_error": "string"},
+    "air": {"pm10": "double", "pm25": "double"},
     "dust": {
         "yellow_dust": "double",
         "yellow_dust_advisory": "string",
@@ -46,21 +46,36 @@ FEED_COLUMNS = {
 }
 
 
-def stack_feeds(spine: DataFrame, feeds: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per spine key: every feed's columns plus `has_<feed>`."""
+#: Feeds whose failure the message names; a failed feed has no values, only a text.
+NAMED_FAILURES = ("air", "dust", "living", "uv", "today")
+
+
+def stack_feeds(spine: DataFrame, feeds: Mapping[str, DataFrame], failures: DataFrame | None = None) -> DataFrame:
+    """One row per spine key: every feed's columns, `has_<feed>` (it brought data) and `error_<feed>`.
+
+    The outcome of a feed at a key is a value (its row in `feeds`), nothing, or a failure: a row of
+    `failures(region, slot, feed, message)`. Outcomes fold in the same single aggregate as the values;
+    secrets are masked before that, and of several failures of a feed the first by text is named.
+    """
     wanted = {c: t for cols in FEED_COLUMNS.values() for c, t in cols.items()}
 
-    def widened(df: DataFrame, feed: str) -> DataFrame:
+    def widened(df: DataFrame, feed: str, error: str = "cast(null as string)") -> DataFrame:
         own = set(df.columns) & set(FEED_COLUMNS.get(feed, ()))
         cols = [c if c in own else f"cast(null as {t}) as {c}" for c, t in wanted.items()]
-        return df.selectExpr(*KEYS, f"{quote(feed)} as _feed", *cols)
+        return df.selectExpr(*KEYS, f"{feed if feed == '_feed' else quote(feed)} as _feed", f"{error} as _error", *cols)
 
-    stacked = reduce(DataFrame.unionByName, [widened(df, n) for n, df in feeds.items()], widened(spine, "spine"))
+    parts = [widened(spine, "spine"), *(widened(df, n) for n, df in feeds.items())]
+    if failures is not None:
+        masked = failures.select(*KEYS, F.col("feed").alias("_feed"), mask_secrets(F.coalesce("message", F.lit(""))).alias("_text"))
+        parts.append(widened(masked, "_feed", "_text"))
+    brought = "_error is null"
     return (
-        stacked.groupBy(*KEYS)
+        reduce(DataFrame.unionByName, parts)
+        .groupBy(*KEYS)
         .agg(
             F.expr("max(_feed = 'spine') as _wanted"),
-            *[F.expr(f"max(_feed = '{n}') as has_{n}") for n in FEED_COLUMNS],
+            *[F.expr(f"coalesce(max(_feed = '{n}' and {brought}), false) as has_{n}") for n in FEED_COLUMNS],
+            *[F.expr(f"min(if(_feed = '{n}', _error, null)) as error_{n}") for n in NAMED_FAILURES],
             # one row per feed and key, so max is just "the value"
             *[F.max(c).alias(c) for c in wanted],
         )
@@ -69,6 +84,11 @@ def stack_feeds(spine: DataFrame, feeds: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+def _absent(feed: str, otherwise: str) -> str:
+    """SQL: what is said of a feed that brought nothing."""
+    return f"coalesce(nullif(error_{feed}, ''), {quote(otherwise)})"
+
+
 def _warnings(entries: Mapping[str, str]) -> str:
     """SQL: MAP of the sources that are absent or replaced, in the given order; entry texts may be null."""
     found = present(f"if({t} is null, null, struct({quote(k)} as key, {t} as value))" for k, t in entries.items())
@@ -77,14 +97,14 @@ def _warnings(entries: Mapping[str, str]) -> str:
 
 def _common_warnings(feels: str, replaced: str) -> dict[str, str]:
     return {
-        "air_quality": f"if(has_air, null, coalesce(air_error, {quote(fixed.WARN_AIR)}))",
-        "yellow_dust": f"case when not has_dust then {quote(fixed.WARN_DUST)} when dust_status = 'unavailable' then dust_message end",
-        "living_index": f"if(has_living, null, if({feels} is null, {quote(fixed.WARN_LIVING)}, {quote(replaced)}))",
+        "air_quality": f"if(has_air, null, {_absent('air', fixed.WARN_AIR)})",
+        "yellow_dust": f"case when not has_dust then {_absent('dust', fixed.WARN_DUST)} when dust_status = 'unavailable' then dust_message end",
+        "living_index": f"if(has_living, null, if({feels} is null, {_absent('living', fixed.WARN_LIVING)}, {quote(replaced)}))",
     }
 
 
-_UV_WARNING = f"if(has_uv, null, {quote(fixed.WARN_UV)})"
-_TODAY_WARNING = f"if(has_today, null, {quote(fixed.WARN_TODAY)})"
+_UV_WARNING = f"if(has_uv, null, {_absent('uv', fixed.WARN_UV)})"
+_TODAY_WARNING = f"if(has_today, null, {_absent('today', fixed.WARN_TODAY)})"
 _TODAY_DATE = "coalesce(today_date, date_format(slot, 'yyyyMMdd'))"
 _PASSED = {
     c: c
@@ -160,7 +180,7 @@ def morning_columns() -> dict[str, str]:
     Replaced, not coalesced: an absent summary leaves them missing.
     """
     base = current_columns()
-    absent = f"map('today_forecast', {quote(fixed.WARN_TODAY)})"
+    absent = f"map('today_forecast', {_absent('today', fixed.WARN_TODAY)})"
     warnings = base["data_warnings"]
     return {
         **base,

@@ -12,6 +12,7 @@ from skygauge.operators.gate import send_gate, signature_changes
 from skygauge.operators.monitor import suppressed_ratio
 from skygauge.plans import sql, views
 from skygauge.plans.registry import query, table
+from skygauge.streaming.alerts import with_seq
 
 _DAMAGE = """CASE WHEN msg_offset % 41 = 0 THEN 1 WHEN msg_offset % 43 = 1 THEN 2 WHEN msg_offset % 47 = 2 THEN 3
   WHEN msg_offset % 53 = 3 THEN 4 WHEN msg_offset % 59 = 4 THEN 5 WHEN msg_offset % 61 = 5 THEN 6
@@ -139,6 +140,18 @@ def send_gate_query(spark, sf_dir):
     return views.decisions(spark, sf_dir).select("event_id", "signature", "send", "reason", "recorded")
 
 
+_PARTITION_ROWS = sql.GATE_ROWS.replace("msg_offset AS o", "(msg_offset // 6) * 6 + 5 - msg_offset % 6 AS o")
+
+
+@query("send_gate_partitions", f"WITH RECURSIVE {sql.MSG}, {sql.gate(_PARTITION_ROWS)} SELECT {_GATE_OUT} FROM gate")
+def send_gate_partitions(spark, sf_dir):
+    """Six partitions with the same offsets: the gate follows offsets, then partitions."""
+    rows = views.gate_rows(spark, sf_dir)
+    rows = rows.selectExpr("* except (offset)", "'observations' as topic", "int(5 - offset % 6) as partition", "offset div 6 as offset")
+    ordered = with_seq(rows, rows).drop("offset", "topic", "partition").withColumnRenamed("seq", "offset")
+    return send_gate(ordered).select("event_id", "signature", "send", "reason", "recorded")
+
+
 @query("send_gate_full", f"WITH RECURSIVE {sql.GRADED}, {sql.gate(sql.FULL_GATE_ROWS)} SELECT {_GATE_OUT} FROM gate")
 def send_gate_full(spark, sf_dir):
     rows = views.gate_rows(spark, sf_dir, coarse=False)

@@ -371,7 +371,23 @@ def advisory_match(spark, sf_dir):
         F.col("url").alias("area"),
         F.concat(F.when(F.col("page_id") % 2 == 0, _TODAY).otherwise("20240101"), F.lit("09")).alias("data_time"),
     )
-    return ingest.advisory_match(regions, advisories, _TODAY)
+    return ingest.advisory_match(regions, advisories, _TODAY).drop("dust_status", "dust_message")
+
+
+@query(
+    "advisory_unavailable",
+    """SELECT DISTINCT '/' || lang || '/' AS region, CAST(NULL AS VARCHAR) AS yellow_dust_advisory, CAST(NULL AS DOUBLE) AS yellow_dust,
+      'ylwsnd_advisory_unavailable' AS yellow_dust_source, 'unavailable' AS dust_status,
+      (SELECT min('http ' || (500 + page_id % 4) || ' serviceKey=***') FROM pages) AS dust_message FROM documents""",
+)
+def advisory_unavailable(spark, sf_dir):
+    """Every call of the source failed: each page stands for a reply without items."""
+    regions = table(spark, sf_dir, "documents").select(F.concat(F.lit("/"), "lang", F.lit("/")).alias("region"))
+    replies = table(spark, sf_dir, "pages").selectExpr(
+        "page_id as ord", "explode(cast(array() as array<string>)) as area", "cast(null as string) as data_time"
+    )
+    failures = table(spark, sf_dir, "pages").selectExpr("concat('http ', 500 + page_id % 4, ' serviceKey=k', page_id) as message")
+    return ingest.advisory_match(regions, replies, _TODAY, failures).drop("matched_area", "matched_time")
 
 
 @query(
@@ -524,6 +540,22 @@ def merge_morning(spark, sf_dir):
     return _flat(merge.merge_morning(_stacked(spark, sf_dir)))
 
 
+def _failed_sql(text: str) -> str:
+    """The warnings where failed calls are named."""
+    for warning, feed, kind, step in (
+        (fixed.WARN_AIR, "air", "click", 10), (fixed.WARN_UV, "uv", "click", 6),
+        (fixed.WARN_LIVING, "living", "purchase", 4), (fixed.WARN_TODAY, "today", "view", 7),
+    ):
+        text = text.replace(f"'{warning}'", f"CASE WHEN {kind}_k % {step} = 0 THEN '{feed} 503 serviceKey=***' ELSE '{warning}' END")
+    return text
+
+
+@query("feed_failures", _merge_sql({**_DISPATCH_SQL, "data_warnings": _failed_sql(_DISPATCH_SQL["data_warnings"])}))
+def feed_failures(spark, sf_dir):
+    stacked = merge.stack_feeds(*views.feeds(spark, sf_dir), views.feed_failures(spark, sf_dir))
+    return _flat(merge.slot_dispatch(stacked))
+
+
 @query("slot_dispatch", _merge_sql(_DISPATCH_SQL))
 def slot_dispatch(spark, sf_dir):
     return _flat(merge.slot_dispatch(_stacked(spark, sf_dir)))

@@ -309,6 +309,17 @@ def feeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFr
     }
 
 
+def feed_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed calls by region and slot, where the feeds of `feeds` bring nothing for a reason."""
+    last = events(spark, sf_dir).groupBy("region", "slot", "event_type").agg(F.max_by("k", "event_id").alias("k"))
+    failed = {"air": ("click", 10), "uv": ("click", 6), "living": ("purchase", 4), "today": ("view", 7)}
+    cases = ", ".join(
+        f"struct('{feed}' as feed, event_type = '{kind}' and k % {step} = 0 as failed)" for feed, (kind, step) in failed.items()
+    )
+    rows = last.selectExpr("region", "slot", "k", f"inline(array({cases}))").where("failed")
+    return rows.selectExpr("region", "slot", "feed", "concat(feed, ' 503 serviceKey=secret', k) as message")
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log text with one call line per event and some other lines."""
     return events(spark, sf_dir).select(

@@ -244,3 +244,38 @@ def test_station_mean_counts_only_what_it_sums(spark):
     rows = [("k", "10"), ("k", "inf"), ("k", "nan"), ("k", "1e300"), ("k", "-")]
     out = ingest.station_mean(spark.createDataFrame(rows, "k string, pm10 string"), ["k"], ["pm10"]).head()
     assert (out.pm10, out.station_count) == (10.0, 5)
+
+
+def test_a_failed_feed_is_named_and_brings_nothing(spark):
+    slot = "2026-07-30 12:00:00"
+    failed = [("air", "EXC url?serviceKey=abc123&x=1"), ("uv", None), ("living", "500"), ("living", "403"), ("dust", "no reply"), ("other", "x")]
+    failures = feed(spark, slot, "feed string, message string", *failed[0])
+    for f in failed[1:]:
+        failures = failures.unionAll(feed(spark, slot, "feed string, message string", *f))
+    spine = feed(spark, slot, "x int", 1)
+    for both in ({}, {"air": feed(spark, slot, "pm10 double", 31.0)}):  # a value beside a failure stays a value
+        stacked_rows = merge.stack_feeds(spine, both, failures)
+        row = stacked_rows.head()
+        assert row.has_air is bool(both) and not row.has_uv and not row.has_dust and not row.has_temp
+        current, morning = merge.merge_current(stacked_rows).head(), merge.merge_morning(stacked_rows).head()
+        want = {"yellow_dust": "no reply", "living_index": "403", "uv_index": fixed.WARN_UV}
+        want |= {} if both else {"air_quality": "EXC url?serviceKey=***&x=1"}
+        assert current.data_warnings == want and current.yellow_dust is None
+        assert morning.data_warnings == want | {"today_forecast": fixed.WARN_TODAY}
+
+
+def test_an_outage_is_not_none(spark):
+    regions = spark.createDataFrame([("서울",), ("부산",)], "region string")
+    schema = "ord int, area string, data_time string, count int"
+    nothing, some = spark.createDataFrame([], schema), spark.createDataFrame([(1, "대구", "2024011509", 1)], schema)
+    failed = spark.createDataFrame([("http 503 serviceKey=abc",), (None,), ("b",)], "message string")
+
+    def states(*args):
+        return {(r.yellow_dust, r.yellow_dust_advisory, r.dust_status, r.yellow_dust_source) for r in ingest.advisory_match(regions, *args).collect()}
+
+    none, unknown = (0.0, "없음", None, "ylwsnd_advisory"), (None, None, "unavailable", "ylwsnd_advisory_unavailable")
+    assert states(nothing, "20240115") == states(nothing, "20240115", failed.limit(0)) == {none}
+    assert states(nothing, "20240115", failed) == {unknown}
+    assert states(some, "20240115", failed) == {none}  # a later call brought items
+    told = ingest.advisory_match(regions, nothing, "20240115", failed.where("message like 'http%'")).head()
+    assert told.dust_message == "http 503 serviceKey=***"
