@@ -24,7 +24,7 @@ they are below 0.8: by the places of the shared shingle, or by more differing bi
 than shingles may differ. For every other pair the similarity is computed from the texts.
 
 In a list of over `HUB_LIST` classes each class is first compared with two hubs, the smallest and the largest one. Then
-only classes that are not linked to the same one are paired. If over `NEAR_LIST` classes of a list are outside its
+only classes that are not linked to the same one within a few steps are paired. If over `NEAR_LIST` classes of a list are outside its
 largest such group, the list is filed anew under the next shared shingle too, up to `DEPTH` shingles, where everything left is paired (two
 different sets of similarity 0.8 share at least four shingles, so no pair is lost on the way).
 
@@ -60,6 +60,8 @@ LINK_KEYS = tuple(a + b for a, b in combinations(_PAIRS, 2))
 #: largest group are filed anew.
 HUB_LIST = 16
 NEAR_LIST = 256
+#: How often labels are passed on before pairs are formed; it spares pairs and decides nothing.
+STEPS = 2
 #: At most this many shingles in one key; not over four, see above.
 DEPTH = 2
 BITMAP = 1024
@@ -235,9 +237,12 @@ def near_links(classes: DataFrame, sets) -> DataFrame:
         star = long.join(hubs, "key").selectExpr("node", "explode(array(low, high)) as hub").where("node <> hub")
         star = _alike(star.selectExpr("least(node, hub) as a", "greatest(node, hub) as b").distinct(), classes, sets)
         links = star if links is None else links.unionAll(star)
-        # the smallest node that a class is linked to: classes of one label are connected through it
-        label = links.selectExpr("a as node", "b as root").unionAll(links.selectExpr("b", "a"))
-        label = label.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("root"))
+        # smallest nodes passed on along the links: classes of one label are connected
+        both = cut_lineage(links.selectExpr("a as node", "b as other").unionAll(links.selectExpr("b", "a")))
+        label = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root"))
+        for _ in range(STEPS):
+            passed = both.join(label.withColumnRenamed("node", "other"), "other")
+            label = cut_lineage(passed.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("root")))
         left = posts.select("key", "node", "n", "pos", "early").join(label, "node", "left")
         left = cut_lineage(left.withColumn("root", F.coalesce("root", "node")))
         parts = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
