@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 CHUNK_ROWS = 1 << 18
 CHUNK = "_chunk"
 
+#: Spark's setting that removes the shuffle files of a query when it ends, not when the driver collects garbage.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; only a local session (tests) may go without one."""
@@ -31,9 +34,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write to the reliable checkpoint folder and continue from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write to the reliable checkpoint folder and continue from there.
+
+    What follows reads the checkpoint, so the shuffle files that led to it are removed at once: an iteration of many
+    steps keeps the files of one step, not of all.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan reads the setting when it is made
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(CLEAN_SHUFFLES, before)
 
 
 def with_chunk(df: DataFrame, order: str, chunk_rows: int) -> DataFrame:
