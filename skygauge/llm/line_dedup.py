@@ -1,14 +1,17 @@
 """Line deduplication by pairwise alignment.
 
-Documents that overlap are found through the hashes of their lines. Each shared line pairs a document with the first
-document that holds it (smallest id), so the pairs grow with the lines, never with the square of a line's holders,
-and a line always stays in its first holder. A pair is opened by a rare line: one held by at most `RARE_SHARE` of all
-documents. The lines that a pair shares are aligned by patience diff (lines unique in both, longest increasing run,
-then the same between its members and outward from them). Runs of aligned lines that stand next to one another in both
-documents are common blocks; a block of `BLOCK_WORDS` words or more with a rare line is deleted from the later one.
+Documents that overlap are found through the hashes of their lines. A block that goes has `BLOCK_WORDS` words or more,
+so the hashed unit is the shortest run of neighbouring lines with that many words: a long line alone, a short line with
+those after it and with those before it. Such a run is rarer than its lines, and every line of a common block is in
+one that both documents hold. Each run pairs a document with the first document that holds it (smallest id), so the
+pairs grow with the lines, never with the square of a run's holders, a frequent run costs one pair a document like any
+other, and a run always stays in its first holder. The runs that a pair shares are aligned by patience diff (runs unique
+in both, longest increasing row of them, then the same between its members and outward from them; repeated ones by
+their occurrence); blocks that have moved cross that alignment and are aligned again by themselves. The aligned runs
+are the common blocks, and their lines are deleted from the later document.
 
 Lines are compared without white space at their ends; lines without a word are neither compared nor deleted, and do
-not part a block. Lines repeated inside a document are listed once with their positions, so they multiply nothing.
+not part a block. Runs repeated inside a document are listed once with their positions, so they multiply nothing.
 
 Documents are ordered by id, null last, then by a hash of the text; rows that agree in both are one document, of which
 every row gets the same result. Ids are integers.
@@ -21,15 +24,18 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from skygauge.llm.common import SPACE, field, packed
+from skygauge.llm.common import field, packed
 from skygauge.operators.ordered import cut_lineage
 
-RARE_SHARE = 0.5
 BLOCK_WORDS = 10
 _WORD = r"[^\x20\x09-\x0D]"
 #: Order of documents in one number: the id, then 15 digits of the text hash.
@@ -59,6 +65,22 @@ def _rising(values: list[int]) -> list[int]:
     return run[::-1]
 
 
+def _by_occurrence(mine: list, other: list, a: int, c: int) -> list[tuple[int, int]]:
+    """Indexes (from `a` and `c` on) of what both lists hold, each occurrence paired with the one of its number."""
+    seen: Counter = Counter()
+    place = {}
+    for j, (_, x) in enumerate(other, c):
+        place[x, seen[x]] = j
+        seen[x] += 1
+    seen.clear()
+    found = []
+    for i, (_, x) in enumerate(mine, a):
+        if (x, seen[x]) in place:
+            found.append((i, place[x, seen[x]]))
+        seen[x] += 1
+    return found
+
+
 def align(mine: list[tuple[int, int]], other: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Patience alignment of two lists of (position, line): pairs of positions, rising in both."""
     out = []
@@ -76,6 +98,8 @@ def align(mine: list[tuple[int, int]], other: list[tuple[int, int]]) -> list[tup
         left, right = Counter(x for _, x in mine[a:b]), Counter(x for _, x in other[c:d])
         place = {x: j for j, (_, x) in enumerate(other[c:d], c) if right[x] == 1}
         unique = [(i, place[x]) for i, (_, x) in enumerate(mine[a:b], a) if left[x] == 1 and x in place]
+        if not unique:
+            unique = _by_occurrence(mine[a:b], other[c:d], a, c)
         anchors = [unique[k] for k in _rising([j for _, j in unique])]
         if not anchors:
             continue
@@ -85,73 +109,82 @@ def align(mine: list[tuple[int, int]], other: list[tuple[int, int]]) -> list[tup
     return sorted(out)
 
 
-def common_blocks(lines: list[int], words: list[int], rare: list[bool], mine: list, other: list, least: int) -> list[int]:
-    """Lines of the later document that blocks cover.
-
-    `mine` and `other` list the places of each line: its number among the lines with words, and in the low half its
-    number among all lines.
-    """
-    number = {x: i for i, x in enumerate(lines)}
-    line_of = {int(p) >> 32: int(p) & 0xFFFFFFFF for ps in mine for p in ps}
-    own = sorted((int(p) >> 32, x) for x, ps in zip(lines, mine) for p in ps)
-    first = sorted((int(p) >> 32, x) for x, ps in zip(lines, other) for p in ps)
-    at = dict(own)
-    gone: list[int] = []
-    block: list[int] = []
-    last = None
-
-    def close() -> None:
-        seen = [number[at[p]] for p in block]
-        if sum(words[i] for i in seen) >= least and any(rare[i] for i in seen):
-            gone.extend(line_of[p] for p in block)
-
-    for p, q in align(own, first):
-        if last != (p - 1, q - 1):
-            close()
-            block = []
-        block.append(p)
-        last = (p, q)
-    close()
-    return gone
-
-
-def _aligner(least: int):
-    @F.pandas_udf("array<int>")
-    def covered(lines: pd.Series, words: pd.Series, rare: pd.Series, mine: pd.Series, other: pd.Series) -> pd.Series:
-        found = [common_blocks(list(a), list(b), list(c), d, e, least) for a, b, c, d, e in zip(lines, words, rare, mine, other)]
-        return pd.Series(found, dtype=object)
-
-    return covered
-
-
-def covered_lines(docs: DataFrame, doc_id: str, text: str, rare_share: float, least: int) -> DataFrame:
-    """`doc` (order number) and `gone` (numbers of its lines that go)."""
+def runs(text: str, least: int) -> list[tuple[int, int, int]]:
+    """`(key, at, n)`: the shortest runs of `n` lines with `least` words from and up to each line; `at` counts lines with
+    words, the key is a hash of the lines."""
+    hashes, ends = [], [0]
+    for line in text.encode().split(b"\n"):
+        held = len(line.split())  # bytes: only ASCII white space separates
+        if held:
+            hashes.append(xxhash.xxh64_intdigest(line.strip()))
+            ends.append(ends[-1] + held)
+    found = set()
+    for i in range(len(hashes)):
+        j = bisect_left(ends, ends[i] + least, i + 1)
+        if j < len(ends):
+            found.add((i, j))
+        j = bisect_left(ends, ends[i + 1] - least + 1, 0, i + 1) - 1
+        if j >= 0:
+            found.add((j, i + 1))
+    key = lambda i, j: xxhash.xxh64_intdigest(b"".join(h.to_bytes(8, "big") for h in hashes[i:j]))
+    return [(key(i, j) - (1 << 63), i, j - i) for i, j in sorted(found)]
+
+
+def common_blocks(keys: list[int], lengths: list[int], mine: list, other: list) -> list[int]:
+    """Lines of the later document that aligned runs cover; `mine` and `other` list the places of each key."""
+    length = dict(zip(keys, lengths))
+    own = sorted((int(p), length[x], x) for x, ps in zip(keys, mine) for p in ps)
+    first = sorted((int(p), length[x], x) for x, ps in zip(keys, other) for p in ps)
+    left = list(enumerate(x for _, _, x in own))
+    fixed = list(enumerate(x for _, _, x in first))
+    gone: set[int] = set()
+    while met := {i for i, _ in align(left, fixed)}:
+        for i in met:
+            gone.update(range(own[i][0], own[i][0] + own[i][1]))
+        left = [r for r in left if r[0] not in met]
+    return sorted(gone)
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _covered(keys: pd.Series, lengths: pd.Series, mine: pd.Series, other: pd.Series) -> pd.Series:
+    found = [common_blocks(list(a), list(b), c, d) for a, b, c, d in zip(keys, lengths, mine, other)]
+    return pd.Series(found, dtype=object)
+
+
+def _listed(least: int):
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in given:
+            for row, text in enumerate(batch.column("text")):
+                found = runs(text.as_py(), least)
+                if found:
+                    key, at, n = zip(*found)
+                    doc = batch.column("doc").take(pa.array([row] * len(found)))
+                    yield pa.RecordBatch.from_arrays(
+                        [doc, pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32())],
+                        names=["doc", "key", "at", "n"],
+                    )
+
+    return batches
+
+
+def covered_lines(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
+    """`doc` (order number) and `gone` (numbers of its lines that go, among those with words)."""
     doc = F.expr(_ORDER.format(id=f"`{doc_id}`", text=f"`{text}`"))
-    numbered = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("i")))
-    worded = F.filter(numbered, lambda x: x["line"].rlike(_WORD))
-    placed = docs.select(doc.alias("doc"), F.posexplode(worded).alias("at", "x")).select("doc", "at", "x.line", "x.i")
-    lines = placed.select(
-        "doc",
-        F.expr("shiftleft(cast(at as bigint), 32) | i").alias("at"),
-        F.xxhash64(F.regexp_replace("line", rf"^{SPACE}|{SPACE}$", "")).alias("line"),
-        F.size(F.array_remove(F.split("line", SPACE), "")).alias("words"),
-    )
-    lines = cut_lineage(lines)
-    firsts = lines.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
-    rare = F.col("n") <= rare_share * docs.count()
-    firsts = cut_lineage(firsts.where("first < last").select("line", "first", rare.alias("rare")))
-    held = cut_lineage(lines.join(firsts, "line"))
-    listed = held.groupBy("line", "doc", "first", "rare").agg(F.collect_set("at").alias("ats"), F.max("words").alias("words"))
-    listed = cut_lineage(listed)
-    first = listed.where("doc = first").select("line", F.col("ats").alias("first_ats"))
+    texts = docs.select(doc.alias("doc"), F.col(text).alias("text")).where("text is not null")
+    kind = texts.schema["doc"].dataType.simpleString()
+    lines = cut_lineage(texts.mapInArrow(_listed(least), f"doc {kind}, key bigint, at int, n int"))
+    firsts = lines.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    firsts = cut_lineage(firsts.where("first < last").select("key", "first"))
+    held = lines.join(firsts, "key")
+    listed = cut_lineage(held.groupBy("key", "doc", "first").agg(F.collect_set("at").alias("ats"), F.max("n").alias("n")))
+    first = listed.where("doc = first").select("key", F.col("ats").alias("first_ats"))
     pairs = (
         listed.where("doc > first")
-        .join(first, "line")
+        .join(first, "key")
         .groupBy("first", "doc")
-        .agg(F.collect_list(F.struct("line", "words", "rare", "ats", "first_ats")).alias("x"))
-        .where(F.exists("x", lambda x: x["rare"]))
+        .agg(F.collect_list(F.struct("key", "n", "ats", "first_ats")).alias("x"))
     )
-    gone = _aligner(least)(*[F.col("x")[c] for c in ("line", "words", "rare", "ats", "first_ats")])
+    gone = _covered(*[F.col("x")[c] for c in ("key", "n", "ats", "first_ats")])
     return pairs.select("doc", F.explode(gone).alias("at")).groupBy("doc").agg(F.collect_set("at").alias("gone"))
 
 
@@ -159,12 +192,11 @@ def dedup(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
-    rare_share: float = RARE_SHARE,
     least: int = BLOCK_WORDS,
 ) -> DataFrame:
     """`docs` with the text left, `n_lines` (lines with words) and `n_removed`."""
     base = docs.drop("n_lines", "n_removed")
-    gone = cut_lineage(covered_lines(base, doc_id, text, rare_share, least))
+    gone = cut_lineage(covered_lines(base, doc_id, text, least))
     whole = field(text)
     met = (
         packed(base)
@@ -172,8 +204,9 @@ def dedup(
         .join(gone, "doc", "left")
     )
     kept = F.expr(
-        f"""transform(array(split({whole}, '\n')), l ->
-          array_join(transform(array_except(sequence(0, size(l) - 1), gone), i -> l[i]), '\n'))[0]"""
+        f"""transform(array(split({whole}, '\n')), l -> transform(
+          array(filter(sequence(0, size(l) - 1), i -> l[i] rlike r'{_WORD}')), w ->
+          array_join(transform(array_except(sequence(0, size(l) - 1), transform(gone, g -> w[g])), i -> l[i]), '\n'))[0])[0]"""
     )
     worded = F.size(F.filter(F.split(whole, "\n"), lambda x: x.rlike(_WORD)))
     left = F.when(F.col("gone").isNull(), F.col(whole)).otherwise(kept)
