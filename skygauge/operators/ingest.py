@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skygauge import fixed
 from skygauge.functions.scalars import mask_secrets, mean_1dp, safe_float, scaled_units
-from skygauge.functions.text import listed, quote
+from skygauge.functions.text import listed, present, quote
 from skygauge.operators.ordered import contains_matches
 
 ITEM = "map<string,string>"
@@ -121,6 +121,59 @@ def forecast_value(item: str, missing_as_zero: bool = False) -> str:
     return f"coalesce({days}, array_min({_hours(item)}).value{', 0.0D' if missing_as_zero else ''})"
 
 
+def given_values(item: str, hourly: bool) -> str:
+    """SQL: MAP of the day entries of an item, or of its `hN` entries by rising hour, that are given at all.
+
+    An entry that cannot be read, as `-`, is in the map with null; an absent or empty one is not.
+    """
+    if hourly:
+        found = f"filter(map_entries({item}), e -> e.key rlike {quote(r'^h[0-9]+$')} and e.value <> '')"
+        numbered = f"transform({found}, e -> struct(cast(substring(e.key, 2) as double) as hour, e.key as key, {safe_float('e.value')} as value))"
+        return f"map_from_entries(transform(array_sort({numbered}), e -> struct(e.key as key, e.value as value)))"
+    days = present(
+        f"if({item}[{quote(d)}] <> '', struct({quote(d)} as key, {safe_float(f'{item}[{quote(d)}]')} as value), null)"
+        for d in fixed.DAY_KEYS
+    )
+    return f"map_from_entries({days})"
+
+
+def uv_feed(items: DataFrame, keys: Sequence[str], base: str, now: str) -> DataFrame:
+    """One row per item: the hourly value in force at `now`, else the first readable value, and the values given.
+
+    `items(keys, item, base, now)`: `base` is a `yyyyMMddHH` text, `now` a timestamp without zone. The hour is chosen
+    inside the row, without exploding it: the latest at or before `now`, else the earliest. A base time that cannot be
+    read chooses no hour. An item without a readable value is missing, not 0.
+    """
+    read = items.selectExpr(
+        *keys,
+        "item",
+        f"cast(try_to_timestamp(if({base} rlike '^[0-9]{{10}}$', {base}, null), 'yyyyMMddHH') as timestamp_ntz) as _base",
+        f"{now} as _now",
+        f"{_hours('item')} as _hours",
+    )
+    past = "array_max(filter(_hours, h -> try_add(_base, make_dt_interval(0, h.hour)) <= _now))"
+    chosen = read.withColumn("_at", F.expr(f"if(_base is null, null, coalesce({past}, array_min(_hours)))"))
+    return chosen.selectExpr(
+        *keys,
+        f"coalesce(_at.value, {forecast_value('item')}) as uv_index",
+        "concat('h', _at.hour) as uv_selected_hour",
+        "date_format(try_add(_base, make_dt_interval(0, _at.hour)), 'yyyyMMddHH') as uv_selected_time",
+        f"{given_values('item', False)} as uv_forecast",
+        f"{given_values('item', True)} as uv_hourly_forecast",
+    )
+
+
+def living_feed(items: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per item: the first readable value (`living_temp`), and the largest hourly one, else the first (`living_max`)."""
+    first = forecast_value("item")
+    return items.selectExpr(
+        *keys,
+        f"{first} as living_temp",
+        f"coalesce(array_max(transform({_hours('item')}, h -> h.value)), {first}) as living_max",
+        f"{given_values('item', True)} as living_hourly_forecast",
+    )
+
+
 def hourly_rows(items: DataFrame, keep: Sequence[str], base: str) -> DataFrame:
     """Expand `hN` entries to rows at base time + N hours; a bad base time gives no rows."""
     start = F.to_timestamp_ntz(F.when(F.col(base).rlike(r"^\d{10}$"), F.col(base)), F.lit("yyyyMMddHH"))

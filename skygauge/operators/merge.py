@@ -259,3 +259,14 @@ def publish_gate(messages: DataFrame, minimum: int = 1) -> tuple[DataFrame, Data
         .withColumn("schema_version", F.lit(fixed.SCHEMA_VERSION))
     )
     return stamped, checked.where("not publishable").select(*KEYS, "collected", "missing")
+
+
+def require_published(published: DataFrame) -> DataFrame:
+    """`published` as it is; when it is read and has no row, the query fails: a run that publishes nothing is no success.
+
+    The count is a one-row side of the same query, so an empty run is noticed where the rows are written.
+    """
+    none = published.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
+    raised = none.select(F.raise_error(F.lit("no message was published")).cast("boolean").alias("_raised"))
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in published.schema]
+    return published.unionAll(raised.where("_raised").select(*columns))

@@ -163,6 +163,62 @@ def forecast_first_value(spark, sf_dir):
     return e.select("event_id", item.alias("item")).selectExpr("event_id", f"{ingest.forecast_value('item')} as value")
 
 
+_INDEX_ITEM = {
+    "today": "case when k % 2 = 0 then '' else v end",
+    "tomorrow": "case when k % 3 = 0 then '-' else cast(k as string) end",
+    "h18": "case when k % 3 = 0 then '' else cast(k + 1 as string) end",
+    "h6": "v",
+    "h0": "case when k % 4 = 0 then '-' else cast(k as string) end",
+}
+#: What the same item says in SQL: its readable values, and the first of them.
+_INDEX_SQL = """ix AS (SELECT *, CAST(printf('%.2f', value) AS DOUBLE) AS v, CASE WHEN k % 4 <> 0 THEN k END AS h0,
+      CASE WHEN k % 3 <> 0 THEN k + 1 END AS h18 FROM ev),
+    i AS (SELECT *, CASE WHEN k % 2 <> 0 THEN v WHEN k % 3 <> 0 THEN k WHEN h0 IS NOT NULL THEN h0 ELSE v END AS first,
+      CASE WHEN k % 11 = 0 THEN NULL WHEN hour(ts) >= 18 AND h18 IS NOT NULL THEN 18 WHEN hour(ts) >= 6 OR h0 IS NULL THEN 6 ELSE 0 END AS h FROM ix)"""
+
+
+def _index_items(spark, sf_dir):
+    """One index reply item per event, issued at midnight; some base times cannot be read."""
+    e = views.events(spark, sf_dir).withColumn("v", F.format_string("%.2f", "value"))
+    item = F.create_map(*[c for name, text in _INDEX_ITEM.items() for c in (F.lit(name), F.expr(text))])
+    return e.select(
+        "event_id", "ts", item.alias("item"), F.expr("if(k % 11 = 0, 'soon', date_format(ts, 'yyyyMMdd00'))").alias("base")
+    )
+
+
+@query(
+    "uv_feed",
+    f"""WITH {sql.EV}, {_INDEX_SQL}
+    SELECT event_id, CAST(CASE h WHEN 18 THEN h18 WHEN 6 THEN v WHEN 0 THEN h0 ELSE first END AS DOUBLE) AS uv_index,
+      'h' || h AS uv_selected_hour, strftime(ts, '%Y%m%d') || lpad(CAST(h AS VARCHAR), 2, '0') AS uv_selected_time,
+      CASE WHEN k % 2 <> 0 THEN v END AS uv_today, CAST(CASE WHEN k % 3 <> 0 THEN k END AS DOUBLE) AS uv_tomorrow,
+      CASE WHEN k % 2 <> 0 THEN 'today,' ELSE '' END || 'tomorrow' AS uv_days,
+      'h0,h6' || CASE WHEN k % 3 <> 0 THEN ',h18' ELSE '' END AS uv_hours, CAST(h0 AS DOUBLE) AS uv_h0 FROM i""",
+)
+def uv_feed(spark, sf_dir):
+    return ingest.uv_feed(_index_items(spark, sf_dir), ["event_id"], "base", "ts").selectExpr(
+        "event_id",
+        "uv_index",
+        "uv_selected_hour",
+        "uv_selected_time",
+        "uv_forecast['today'] as uv_today",
+        "uv_forecast['tomorrow'] as uv_tomorrow",
+        "array_join(map_keys(uv_forecast), ',') as uv_days",
+        "array_join(map_keys(uv_hourly_forecast), ',') as uv_hours",
+        "uv_hourly_forecast['h0'] as uv_h0",
+    )
+
+
+@query(
+    "living_feed",
+    f"""WITH {sql.EV}, {_INDEX_SQL} SELECT event_id, CAST(first AS DOUBLE) AS living_temp,
+      CAST(greatest(v, h0, h18) AS DOUBLE) AS living_max, CAST(h18 AS DOUBLE) AS living_h18 FROM i""",
+)
+def living_feed(spark, sf_dir):
+    found = ingest.living_feed(_index_items(spark, sf_dir), ["event_id"])
+    return found.selectExpr("event_id", "living_temp", "living_max", "living_hourly_forecast['h18'] as living_h18")
+
+
 @query(
     "asof_backward",
     f"""WITH {sql.EV}, d AS (SELECT region, date_trunc('day', ts) AS day, k % 24 AS h, arg_max(value, event_id) AS v FROM ev GROUP BY 1, 2, 3)

@@ -279,3 +279,41 @@ def test_an_outage_is_not_none(spark):
     assert states(some, "20240115", failed) == {none}  # a later call brought items
     told = ingest.advisory_match(regions, nothing, "20240115", failed.where("message like 'http%'")).head()
     assert told.dust_message == "http 503 serviceKey=***"
+
+
+def index_items(spark, *items):
+    rows = [(i, item, base) for i, (base, item) in enumerate(items)]
+    df = spark.createDataFrame(rows, "id int, item map<string,string>, base string")
+    return df.withColumn("now", F.expr("timestamp_ntz'2031-02-15 09:30:00'"))
+
+
+def test_uv_feed_takes_the_hour_in_force(spark):
+    hours = {"h9": "7", "h0": "1", "h3": "4", "h12": "-", "h100000000": "9", "today": "-", "tomorrow": "8", "high": "2"}
+    given = [
+        ("2031021506", hours),  # 06 + 3 hours is the latest at or before half past nine
+        ("2031021520", hours),  # all ahead: the earliest
+        ("2031029906", hours),  # no such time
+        ("soon", {"h3": "4"}),
+        (None, {"today": "", "h3": "-"}),
+        ("2031021506", {}),
+    ]
+    rows = ingest.uv_feed(index_items(spark, *given), ["id"], "base", "now").orderBy("id").collect()
+    assert [r["uv_index"] for r in rows] == [4, 1, 8, 4, None, None]
+    assert [r["uv_selected_hour"] for r in rows] == ["h3", "h0", None, None, None, None]
+    assert [r["uv_selected_time"] for r in rows[:3]] == ["2031021509", "2031021520", None]
+    assert rows[0]["uv_forecast"] == {"today": None, "tomorrow": 8}
+    assert rows[0]["uv_hourly_forecast"] == {"h0": 1, "h3": 4, "h9": 7, "h12": None, "h100000000": 9}
+    assert rows[4]["uv_forecast"] == {} and rows[4]["uv_hourly_forecast"] == {"h3": None}
+
+
+def test_living_feed_gives_first_and_largest(spark):
+    given = [(None, {"h9": "7", "h3": "-4", "h1": "-"}), (None, {"today": "3"}), (None, {"today": "3", "h5": "2"}), (None, {})]
+    rows = ingest.living_feed(index_items(spark, *given), ["id"]).orderBy("id").collect()
+    assert [(r["living_temp"], r["living_max"]) for r in rows] == [(-4, 7), (3, 3), (3, 2), (None, None)]
+
+
+def test_a_run_that_publishes_nothing_fails(spark):
+    rows = spark.range(3).selectExpr("id", "cast(id as string) as name")
+    assert merge.require_published(rows).count() == 3
+    with pytest.raises(Exception, match="no message was published"):
+        merge.require_published(rows.where("id > 5")).collect()
