@@ -203,18 +203,18 @@ def _neighbours(filed: DataFrame) -> DataFrame:
     return near.join(low, ["list", "key", "near"]).where("a <> b").select("a", "b")
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, sets) -> DataFrame:
-    """Those of the distinct pairs `a, b` whose similarity is 0.8 or more."""
-    pairs = cut_lineage(pairs)
-    if pairs.isEmpty():
-        return pairs
-    side = lambda c: classes.selectExpr(f"node as {c}", f"n as n_{c}", f"bits as bits_{c}")
-    differ = " + ".join(f"bit_count(bits_a[{w}] ^ bits_b[{w}])" for w in range(BITMAP // 64))
-    close = side("a").join(pairs, "a").join(side("b"), "b").where(f"9 * ({differ}) <= n_a + n_b").select("a", "b")
+def _bits_close(a: str, b: str) -> str:
+    """SQL: no more bits of the bitmaps differ than shingles may at a similarity of 0.8; a sure filter."""
+    differ = " + ".join(f"bit_count(bits_{a}[{w}] ^ bits_{b}[{w}])" for w in range(BITMAP // 64))
+    return f"9 * ({differ}) <= n_{a} + n_{b}"
+
+
+def _alike(close: DataFrame, sets) -> DataFrame:
+    """Those of the distinct pairs `a, b` whose similarity is 0.8 or more, computed from the sets."""
     close = cut_lineage(close)
     if close.isEmpty():
         return close
-    held = sets(cut_lineage(close.selectExpr("explode(array(a, b)) as node").distinct()))
+    held = sets(close.selectExpr("explode(array(a, b)) as node").distinct())
     met = held.selectExpr("node as a", "set as x").join(close, "a").join(held.selectExpr("node as b", "set as y"), "b")
     return cut_lineage(met.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b"))
 
@@ -235,7 +235,10 @@ def near_links(classes: DataFrame, sets) -> DataFrame:
         long = posts.where(f"held > {HUB_LIST}").select("key", "node")
         hubs = long.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
         star = long.join(hubs, "key").selectExpr("node", "explode(array(low, high)) as hub").where("node <> hub")
-        star = _alike(star.selectExpr("least(node, hub) as a", "greatest(node, hub) as b").distinct(), classes, sets)
+        star = star.selectExpr("least(node, hub) as a", "greatest(node, hub) as b").distinct()
+        side = lambda c: classes.selectExpr(f"node as {c}", f"n as n_{c}", f"bits as bits_{c}")
+        star = side("a").join(star, "a").join(side("b"), "b").where(_bits_close("a", "b")).select("a", "b")
+        star = _alike(star, sets)
         links = star if links is None else links.unionAll(star)
         # smallest nodes passed on along the links: classes of one label are connected
         both = cut_lineage(links.selectExpr("a as node", "b as other").unionAll(links.selectExpr("b", "a")))
@@ -250,11 +253,14 @@ def near_links(classes: DataFrame, sets) -> DataFrame:
         parts = cut_lineage(parts.where("held > top").selectExpr("key", "main", "held - top as minor"))
         left = cut_lineage(left.join(parts, "key"))
         now = left if level == DEPTH else left.where(f"minor <= {NEAR_LIST}")
-        other = now.selectExpr("key", "node as b", "n as n_b", "pos as pos_b", "early as early_b", "root as root_b")
-        meet = f"root <> root_b and (early or early_b) and 9 * ({level - 1} + least(n - pos, n_b - pos_b)) >= 4 * (n + n_b)"
-        pairs = now.where("root <> main").join(other.withColumnRenamed("key", "key_b"), F.expr(f"key = key_b and {meet}"))
-        pairs = pairs.selectExpr("least(node, b) as a", "greatest(node, b) as b").distinct()
-        links = links.unionAll(_alike(pairs, classes, sets))
+        # the bitmaps go into the join, so that only pairs which may be similar come out of it
+        now = now.join(classes.select("node", "bits"), "node")
+        one = now.where("root <> main").selectExpr("key", *[f"{c} as {c}_a" for c in ("node", "n", "pos", "early", "root", "bits")])
+        two = now.selectExpr("key as key_b", *[f"{c} as {c}_b" for c in ("node", "n", "pos", "early", "root", "bits")])
+        places = f"9 * ({level - 1} + least(n_a - pos_a, n_b - pos_b)) >= 4 * (n_a + n_b)"
+        meet = f"key = key_b and root_a <> root_b and (early_a or early_b) and {places} and {_bits_close('a', 'b')}"
+        pairs = one.join(two, F.expr(meet)).selectExpr("least(node_a, node_b) as a", "greatest(node_a, node_b) as b")
+        links = links.unionAll(_alike(pairs.distinct(), sets))
         long = left.where(f"minor > {NEAR_LIST}").select("key", "node", "n", "pos")
         if level == DEPTH or long.isEmpty():
             break
