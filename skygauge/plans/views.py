@@ -320,6 +320,101 @@ def feed_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("region", "slot", "feed", "concat(feed, ' 503 serviceKey=secret', k) as message")
 
 
+def _json_reply(items: str) -> str:
+    """SQL: a successful JSON reply around the text of its `items`."""
+    return f"""concat('{{"response":{{"header":{{"resultCode":"00"}},"body":{{"items":', {items}, '}}}}}}')"""
+
+
+def _json_item(**fields: str) -> str:
+    """SQL: an item whose values are SQL expressions."""
+    return "concat('{', " + ", ',', ".join(f"""'"{n}":"', {v}, '"'""" for n, v in fields.items()) + ", '}')"
+
+
+def _json_list(*items: str) -> str:
+    return f"concat('[', concat_ws(',', {', '.join(items)}), ']')"
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of all sources for one region per event, at the slot of the event."""
+    item, day = _json_item, "date_format(slot, 'yyyyMMdd')"
+    # the second station reports no pm25, some replies are XML
+    stations = _json_list(item(pm10Value="k", pm25Value="'-'"), item(pm10Value="k + 1", pm25Value="k"))
+    air_xml = (
+        "concat('<response><header><resultCode>00</resultCode></header><body><items><item><pm10Value>', k,"
+        " '</pm10Value><pm25Value>-</pm25Value></item><item><pm10Value>', k + 1, '</pm10Value><pm25Value>', k,"
+        " '</pm25Value></item></items></body></response>')"
+    )
+    area, when = "concat('zone ', region, ' east')", f"concat(if(k % 2 = 0, {day}, '20000101'), '09')"
+    named = f"if(k % 4 = 0, {item(tmArea=chr(39) * 2, issueArea=area, dataTime=when)}, {item(tmArea=area, dataTime=when)})"
+    dust = _json_list(item(tmArea="'elsewhere'", dataTime=f"concat({day}, '09')"), f"if(k % 3 <> 0, {named}, null)")
+
+    def one(text: str) -> str:
+        return f"""concat('{{"item":', {text}, '}}')"""
+
+    def forecast(category: str, value: str, time: str = "0600") -> str:
+        return item(category=f"'{category}'", fcstDate=day, fcstTime=f"'{time}'", fcstValue=value)
+
+    village = _json_list(
+        forecast("POP", "k % 100", "0000"),
+        forecast("POP", "k % 50", "1200"),
+        forecast("TMP", "k", "0300"),
+        forecast("TMP", "k + 10", "1500"),
+        forecast("WSD", "k % 12"),
+        forecast("PTY", "k % 2"),
+    )
+    observed = _json_list(item(category="'REH'", obsrValue="'7'"), item(category="'T1H'", obsrValue="k"))
+    short = _json_list(
+        forecast("LGT", "greatest(k % 10 - 8, 0)"),
+        forecast("WSD", "k % 15"),
+        forecast("WSD", "'99'"),
+        forecast("PTY", "k % 3"),
+        f"if(k % 4 <> 0, {forecast('T1H', 'k + 0.5')}, null)",
+    )
+    none = """'""'"""
+    good = {
+        "air": f"if(k % 7 = 3, {air_xml}, {_json_reply(stations)})",
+        "dust": _json_reply(dust),
+        "oak_pollen": _json_reply(one(item(today="if(k % 2 = 0, '', cast(k % 5 as string))", tomorrow="'4'"))),
+        "pine_pollen": _json_reply(item(h3="'-'", h6="k % 4")),
+        "living": _json_reply(one(item(h1="k", h2="k + 3"))),
+        "uv": _json_reply(_json_list(item(date=f"concat({day}, '00')", h0="k % 3", h6="k % 7 + 1", h18="k % 11 + 2"))),
+        "village": _json_reply(one(village)),
+        "observed": _json_reply(f"if(k % 3 <> 0, {observed}, {none})"),
+        "short": _json_reply(f"if(k % 13 <> 0, {one(short)}, {none})"),
+    }
+    failed = {
+        "air": ("k % 10 = 0", 503, "busy"),
+        "dust": ("k % 5 = 0", 403, "denied serviceKey=abc"),
+        "living": ("k % 6 = 0", 500, "oops"),
+        "uv": ("k % 8 = 1", 200, '{"response":{"header":{"resultCode":"03"}}}'),
+        "village": ("k % 9 = 2", 200, "garbage"),
+    }
+    absent = {"pine_pollen": "k % 4 = 3", "uv": "k % 8 = 2"}
+
+    def told(source: str) -> str:
+        cond, status, body = failed.get(source, ("false", 200, ""))
+        return (
+            f"if({absent.get(source, 'false')}, null, named_struct('source', '{source}', 'status_code', if({cond}, {status}, 200),"
+            f" 'payload', if({cond}, '{body}', {good[source]})))"
+        )
+
+    calls = events(spark, sf_dir).selectExpr("concat('E', event_id) as region", "slot", "k")
+    rows = calls.selectExpr("region", "slot", f"explode(array({', '.join(map(told, good))})) as r").where("r is not null")
+    return rows.selectExpr("r.source as source", "region", "slot", "r.status_code as status_code", "r.payload as payload")
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grid cell and coordinates of two thirds of the regions of `replies`."""
+    return table(spark, sf_dir, "events").where("event_id % 3 <> 0").selectExpr(
+        "concat('E', event_id) as region",
+        "concat('A', event_id) as area_no",
+        "user_id % 149 as nx",
+        "user_id % 253 as ny",
+        "33.0D + user_id % 6 as latitude",
+        "124.0D + user_id % 8 as longitude",
+    )
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log text with one call line per event and some other lines."""
     return events(spark, sf_dir).select(
