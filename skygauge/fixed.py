@@ -226,6 +226,6 @@ ALARM_TITLES = {
     "a": ("신규 이력 없음 (", "시간)"),
     "b": ("전달 실패 ", "건"),
     "c": ("결측 발생 ", "건"),
-    "d": ("컨슈머 랙 ", " (> 4)"),
+    "d": ("컨슈머 랙 ", f" (> {ALARM_LAG})"),
     "g": ("OpenSearch 클러스터 ", ""),
 }

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from skygauge import fixed
 from skygauge.functions.grading import label_of
-from skygauge.functions.scalars import display_value
+from skygauge.functions.scalars import display_value, float_text
 from skygauge.functions.text import listed, present, quote
 
 _NOTICE = "other_special_notice"
@@ -117,7 +117,7 @@ def webhook_fields() -> str:
     """Fields of the indices that have a value."""
     return present(
         f"if({i} is not null, named_struct('title', {quote(name)}, 'value',"
-        f" concat(cast({i} as string), ' (', {i}_label, ')'), 'short', true), null)"
+        f" concat({i if i == _NOTICE else float_text(i)}, ' (', {i}_label, ')'), 'short', true), null)"
         for i, name in fixed.WEBHOOK_FIELDS
     )
 

@@ -64,6 +64,25 @@ def scaled_units(value: str, scale: int) -> str:
     return f"try_cast(round(({value}) * {number(scale)}, 0) as decimal(20,0))"
 
 
+def float_text(value: str) -> str:
+    """SQL: a double in the notation of message texts: no exponent from 0.0001 up to 10^16, at least one decimal.
+
+    The digits are those of Spark's cast, which writes an exponent from 10^7 on already.
+    """
+    text = f"cast({value} as string)"
+    decimal = f"cast(try_cast({text} as decimal(38,21)) as string)"
+    plain = f"regexp_replace(regexp_replace({decimal}, '0+$', ''), '[.]$', '.0')"
+    power = f"cast(substring_index({text}, 'E', -1) as int)"
+    mantissa = f"regexp_replace(substring_index({text}, 'E', 1), '[.]0$', '')"
+    return (
+        f"case when {value} is null then null when isnan({value}) then 'nan'"
+        f" when abs({value}) = double('inf') then if({value} < 0, '-inf', 'inf')"
+        f" when {text} not like '%E%' then {text}"
+        f" when abs({value}) >= 1e-4D and abs({value}) < 1e16D then {plain}"
+        f" else concat({mantissa}, 'e', if({power} < 0, '-', '+'), format_string('%02d', abs({power}))) end"
+    )
+
+
 def display_value(value: str, unit: str = "", is_text: bool = False) -> str:
     """SQL: value for people: unknown when absent, at most one decimal, unit appended."""
     if is_text:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skygauge import fixed
-from skygauge.functions.scalars import lookback_days, lookback_interval, round_1dp, zoned_instant
+from skygauge.functions.scalars import float_text, lookback_days, lookback_interval, round_1dp, zoned_instant
 from skygauge.operators.gate import send_gate
 from skygauge.operators.ordered import exact_quantiles, interpolated, rank_pair
 
@@ -83,7 +83,7 @@ def perf_compare(previous: DataFrame, current: DataFrame) -> DataFrame:
         p, c = F.col(f"p_{short}_p95"), F.col(f"c_{short}_p95")
         pct = (c - p) / p * 100
         text = F.concat(
-            F.lit(f"⚠️ {name} p95 "), p.cast("string"), F.lit(" → "), c.cast("string"),
+            F.lit(f"⚠️ {name} p95 "), F.expr(float_text(f"p_{short}_p95")), F.lit(" → "), F.expr(float_text(f"c_{short}_p95")),
             F.lit(" (+"), F.bround(pct, 0).cast("bigint").cast("string"), F.lit("%)"),
         )
         return F.when((p > 0) & (c != 0) & (pct >= fixed.REGRESS_P95_PCT), text)
@@ -92,7 +92,7 @@ def perf_compare(previous: DataFrame, current: DataFrame) -> DataFrame:
     found = F.array_compact(
         F.array(
             *[grew(short, m) for m, short in _MEASURES.items()],
-            F.when(rate < fixed.MIN_INDEX_RATE, F.concat(F.lit("⚠️ 색인 성공률 "), rate.cast("string"), F.lit(f" < {fixed.MIN_INDEX_RATE}"))),
+            F.when(rate < fixed.MIN_INDEX_RATE, F.concat(F.lit("⚠️ 색인 성공률 "), F.expr(float_text("c_index_success_rate")), F.lit(f" < {fixed.MIN_INDEX_RATE}"))),
             F.when(lag > fixed.MAX_REPORT_LAG, F.concat(F.lit("⚠️ Kafka max lag "), lag.cast("string"), F.lit(f" > {fixed.MAX_REPORT_LAG}"))),
         )
     )

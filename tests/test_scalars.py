@@ -147,3 +147,16 @@ def test_now_of_retention(spark):
     )
     got = {r.month: r.keep for r in retention(df, F.lit(now).cast("timestamp")).collect()}
     assert got == {"a": True, "b": False}
+
+
+def test_float_text_is_the_notation_of_messages(spark):
+    from skygauge.functions.scalars import float_text
+
+    draw = random.Random(4)
+    values = [0.0, -0.0, 82.0, 12345678.0, 1e7, 1e15, 1e16, 1.5e16, -2.5e17, 1e-4, 0.00012345, 9.9e-5, -1e-5, 1e100, 3e-200, 1234567.25]
+    values += [float("inf"), -float("inf")] + [draw.uniform(-1, 1) * 10.0 ** draw.randrange(-8, 20) for _ in range(300)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").selectExpr("v", f"{float_text('v')} as t").collect()
+    assert [(r["v"], r["t"]) for r in rows if float(r["t"]) != r["v"] or len(r["t"]) == len(repr(r["v"])) and r["t"] != repr(r["v"])] == []
+    assert [r["t"] for r in rows[:16]] == [repr(v) for v in values[:16]]
+    odd = spark.range(1).selectExpr(f"{float_text('double(null)')} as a", f"{float_text('double(chr(78) || chr(97) || chr(78))')} as b")
+    assert tuple(odd.head()) == (None, "nan")
