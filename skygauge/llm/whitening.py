@@ -39,6 +39,8 @@ OFFSET = 1_000_000
 COMPONENTS = 16
 #: Rows of a block of the fit list.
 BLOCK = 4_096
+#: Cells of the fit list in one task of a pass, about.
+TASK_CELLS = 1 << 20
 FULL_STEPS = 512
 #: Relative size below which a singular value is rounding.
 RANK_TOLERANCE = 1e-11
@@ -73,6 +75,13 @@ def blocked(rows: DataFrame, d: int) -> DataFrame:
     return rows.select("x").mapInArrow(pack, "kind string, cells binary")
 
 
+def _dealt(blocks: DataFrame, d: int) -> DataFrame:
+    """The blocks in as many partitions as their size asks for: every pass starts a task for each, however small it is."""
+    each = "octet_length(cells) div case kind when 'int16' then 2 when 'int32' then 4 else 8 end"
+    cells = blocks.agg(F.expr(f"sum({each})")).first()[0] or 0
+    return cut_lineage(blocks.coalesce(max(1, -(-cells // TASK_CELLS))))
+
+
 def _unpacked(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[np.ndarray]:
     for batch in batches:
         for kind, cells in zip(batch.column("kind").to_pylist(), batch.column("cells")):
@@ -214,7 +223,7 @@ def whiten(
     rows = quantised(embeddings, vec_id, vector)
     some = rows.select(F.size("x").alias("d")).first()
     d = some.d if some else 0
-    blocks = cut_lineage(blocked(rows.select("x").distinct(), d)) if d else None
+    blocks = _dealt(cut_lineage(blocked(rows.select("x").distinct(), d)), d) if d else None
     fit = Fit(blocks, d) if d else None
     if not fit or fit.n < 2:
         return embeddings.sparkSession.createDataFrame([], schema)

@@ -88,3 +88,26 @@ def test_large_entries(spark):
     rows = [(k, [1e12 * k, float(k * k), -3.0 * k], 0) for k in range(6)]
     got = whitening.whiten(frame(spark, rows)).collect()
     assert len(got) and all(r["deviation"] is None or r["deviation"] >= 0 for r in got)
+
+
+def test_a_small_fit_list_is_one_task_however_many_partitions_it_comes_from(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, list(map(float, x)), 0) for k, x in enumerate(rng.normal(size=(200, 4)))]
+    seen = []
+    fit = whitening.Fit.__init__
+
+    def kept(self, blocks, d):
+        seen.append(blocks)
+        fit(self, blocks, d)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(whitening.Fit, "__init__", kept)
+        before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+        spark.conf.set("spark.sql.shuffle.partitions", "61")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            compare(whitening.whiten(frame(spark, rows)).collect(), [r[:2] for r in rows])
+        finally:
+            for key, value in before.items():
+                spark.conf.set(key, value) if value else spark.conf.unset(key)
+    assert seen[0].rdd.getNumPartitions() == 1
