@@ -7,7 +7,9 @@ to the count so far (none or less than none where a merge swallows earlier token
 number of tokens. States and transitions are compiled when a text first needs them and shared by all texts of a
 worker, as are the sums of whole words.
 
-Two neighbouring tokens may follow each other exactly if the merges, run on their two texts alone, give these two.
+Two neighbouring tokens may follow each other exactly if the merges, run on their two texts alone, give these two. The
+merges inside a token are run once a token, and what they leave at its edges is kept with the rank that ends it; two
+tokens are then compared along their seam, edge by edge. These edges are bounded by the vocabulary.
 
 A text is cut into chunks of `CHUNK` characters, each mapped on its own: words between its first and last white space
 are counted, the open pieces at both ends are kept. Ordered by position these maps compose: an open end and the next
@@ -38,6 +40,7 @@ from skygauge.llm.common import n_bytes
 CHUNK = 1 << 16
 LIMIT = 2048
 END = "</w>"
+NEVER = 1 << 60
 #: Most words whose sums a worker keeps, and most states of its transducer; beyond them it starts anew.
 MEMO_WORDS = 400_000
 MOST_STATES = 50_000
@@ -55,9 +58,15 @@ def load(path: str) -> dict:
     pieces = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
     if (model["type"], model["end_of_word_suffix"], steps, pieces) != ("BPE", END, ["NFC", "Replace", "Lowercase"], PIECES):
         raise ValueError("this tokenizer file needs other normalisation or merges than are compiled here")
+    ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+    built: dict[str, int] = {}
+    for (a, b), rank in ranks.items():
+        built[a + b] = rank  # the last merge that builds it
+    if any(max(built.get(a, -1), built.get(b, -1)) >= rank for (a, b), rank in ranks.items()):
+        raise ValueError("a token is merged before the merges that build it")
     return {
         "vocab": dict.fromkeys(model["vocab"]),
-        "ranks": {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])},
+        "ranks": ranks,
         "special": [t["content"] for t in spec["added_tokens"]],
     }
 
@@ -75,7 +84,7 @@ class Transducer:
     def __init__(self, vocab: dict, ranks: dict):
         self.vocab, self.ranks = vocab, ranks
         self.starts = {t[:i] for t in (v.removesuffix(END) for v in vocab) for i in range(1, len(t))}
-        self.fits: dict = {}
+        self.edges: dict = {}
         self.number: dict = {}
         self.states: list = []
         self.steps: list[dict] = []
@@ -93,28 +102,49 @@ class Transducer:
     def _begin_anew(self, state: int) -> int:
         """Forget all compiled states but the first one and `state`; its new number."""
         first, key = self.states[0], self.states[state]
-        for table in (self.fits, self.number, self.states, self.steps, self.ends):
+        for table in (self.number, self.states, self.steps, self.ends):
             table.clear()  # in place: callers hold them
         self._state(first)
         return self._state(key)
 
-    def _merged(self, symbols: list[str]) -> list[str]:
-        """The merges by rank, leftmost first; only ever run on two tokens."""
-        while len(symbols) > 1:
-            rank, at = min((self.ranks.get(pair, 1 << 60), i) for i, pair in enumerate(zip(symbols, symbols[1:])))
-            if rank == 1 << 60:
-                break
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        return symbols
+    def _edges(self, token: str) -> tuple[list, list] | None:
+        """What stands at the left and the right edge of a token while the merges build it, each with the rank of the
+        merge that ends it; None if they build something else. By rank, leftmost first; run once a token."""
+        if token not in self.edges:
+            body = token.removesuffix(END)
+            symbols = list(body)
+            symbols[-1] += token[len(body) :]
+            left, right = [], []
+            while len(symbols) > 1:
+                rank, at = min((self.ranks.get(pair, NEVER), i) for i, pair in enumerate(zip(symbols, symbols[1:])))
+                if rank == NEVER:
+                    break
+                if at == 0:
+                    left.append((symbols[0], rank))
+                if at == len(symbols) - 2:
+                    right.append((symbols[-1], rank))
+                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            whole = [(token, NEVER)]
+            self.edges[token] = (left + whole, right + whole) if symbols == [token] else None
+        return self.edges[token]
 
     def _may_follow(self, left: str | None, right: str) -> bool:
-        key = (left, right)
-        if key not in self.fits:
-            body = right.removesuffix(END)
-            symbols = list((left or "") + body)
-            symbols[-1] += right[len(body) :]
-            self.fits[key] = self._merged(symbols) == ([right] if left is None else [left, right])
-        return self.fits[key]
+        """No merge over the seam comes before those inside the two tokens (see `load`: ranks grow with the tokens)."""
+        after = self._edges(right)
+        if left is None or after is None:
+            return after is not None
+        x, y = iter(self._edges(left)[1]), iter(after[0])
+        (a, end_a), (b, end_b) = next(x), next(y)
+        while True:
+            rank = self.ranks.get((a, b), NEVER)
+            if rank < end_a and rank <= end_b:  # of equal merges the left one comes first
+                return False
+            if end_a == end_b == NEVER:
+                return True
+            if end_a <= end_b:
+                a, end_a = next(x)
+            else:
+                b, end_b = next(y)
 
     def _last_token(self, state: int, symbol: str, end: str) -> tuple[str, int]:
         """The token that ends after `symbol`, and the tokens it adds."""

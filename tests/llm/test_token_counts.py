@@ -65,3 +65,34 @@ def test_states_are_bounded(monkeypatch):
     counter = tc.Counter(tables)
     assert counter.count(text) == want and len(counter.transducer.states) <= 501
     assert counter.count("plain words " * 50) == tc.Counter(tables).count("plain words " * 50)
+
+
+def merged(ranks, symbols):
+    while len(symbols) > 1:
+        rank, at = min((ranks.get(pair, 1 << 60), i) for i, pair in enumerate(zip(symbols, symbols[1:])))
+        if rank == 1 << 60:
+            break
+        symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+    return symbols
+
+
+def test_the_seam_decides_like_the_merges_and_is_kept_when_states_start_anew(monkeypatch):
+    tables = tc.load(PATH)
+    transducer = tc.Transducer(tables["vocab"], tables["ranks"])
+    draw = random.Random(3)
+    inner = sorted(t for t in tables["vocab"] if not t.endswith(tc.END) and transducer._may_follow(None, t))
+    few = [t for t in inner if set(t) <= set("aeo")]  # merges of equal rank meet at these seams
+    after = sorted(t for t in tables["vocab"] if t not in tables["special"])
+    pairs = [(draw.choice(inner), draw.choice(after)) for _ in range(6_000)] + [(a, b) for a in few for b in few]
+    for left, right in pairs:
+        body = right.removesuffix(tc.END)
+        symbols = list(left + body)
+        symbols[-1] += right[len(body) :]
+        assert transducer._may_follow(left, right) == (merged(tables["ranks"], symbols) == [left, right]), (left, right)
+    monkeypatch.setattr(tc, "MOST_STATES", 200)
+    counter = tc.Counter(tables)
+    text = "".join(draw.choices("abcdefghij", k=5_000))
+    counter.count(text)
+    edges = dict(counter.transducer.edges)
+    counter.count(text)
+    assert edges and all(counter.transducer.edges[t] is e for t, e in edges.items())
