@@ -1,9 +1,9 @@
-"""The collect chain: portal replies to feeds, to one message per region and slot.
+"""The collect chain: portal replies to one message per region and slot.
 
 `replies(source, region, slot, status_code, payload)` holds at most one reply per source, region and slot. The sources
-are those of `SOURCES`. Everything up to the merge is narrow except the three aggregates over the items of a reply,
-whose keys are those of the merge. A filter on `source` stands in front of every parser and reaches the scan, so a reply
-is parsed only for the feeds that want it; with a table partitioned by source each feed reads its own part.
+are those of `SOURCES`. The replies are read once and each is parsed once: what it says is found inside its row and kept
+in a few narrow columns (`readings`), and one aggregate on (region, slot) puts these side by side (`stack_readings`).
+Replies that are already partitioned by region, or by region and slot, meet without a shuffle.
 
 Outcomes: a reply that cannot be used is a failure of its feed, with its text (status, start of the body) masked. The
 advisory source is the exception of the contract: its failure is the state "unavailable". A reply that is absent is
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from skygauge import fixed
 from skygauge.functions.scalars import mask_secrets, safe_float
-from skygauge.functions.text import quote
+from skygauge.functions.text import listed, quote
 from skygauge.operators import ingest, merge
 
 KEYS = merge.KEYS
@@ -33,132 +33,171 @@ BODY_CHARS = 120
 PLACE_COLUMNS = ("area_no", "nx", "ny", "latitude", "longitude")
 
 
-def _read(replies: DataFrame, *sources: str) -> DataFrame:
-    return ingest.parse_payloads(replies.where(F.col("source").isin(*sources)))
+#: Sources whose reply describes one area in its first item.
+_INDEX_SOURCES = ("oak_pollen", "pine_pollen", "living", "uv")
 
 
-def _failure_text() -> str:
-    return f"concat_ws(' ', error, substring(payload, 1, {BODY_CHARS}))"
+def _by_source(**cases: str) -> str:
+    return "case source " + " ".join(f"when {quote(s)} then {text}" for s, text in cases.items()) + " end"
 
 
-def _first_items(replies: DataFrame, source: str) -> DataFrame:
-    """The first item of each reply that has one: an index reply describes one area."""
-    return _read(replies, source).where("size(items) > 0").select(*KEYS, F.col("items")[0].alias("item"))
+def _category(items: str, name: str) -> str:
+    return f"filter({items}, i -> i['category'] = {quote(name)})"
 
 
-def _forecast_rows(replies: DataFrame, *sources: str) -> DataFrame:
-    """One row per forecast or observation item; a reply without items has one row with null category."""
-    exploded = _read(replies, *sources).select("source", *KEYS, F.posexplode_outer("items").alias("ord", "item"))
-    return exploded.selectExpr(
-        "source",
-        *KEYS,
-        "ord",
-        "item['category'] as category",
-        "item['fcstDate'] as fcst_date",
-        "concat(coalesce(item['fcstDate'], ''), coalesce(item['fcstTime'], '')) as fcst_key",
-        "item['fcstValue'] as fcst_value",
-        "item['obsrValue'] as obsr_value",
-        "date_format(slot, 'yyyyMMddHHmm') as now_key",
-    )
+def _first(items: str, field: str) -> str:
+    return f"get({items}, 0)[{quote(field)}]"
+
+
+def _values(name: str) -> str:
+    """Readable values of a category among the items of the day."""
+    return f"transform({_category('_today', name)}, i -> {safe_float("i['fcstValue']")})"
 
 
-def air_feed(replies: DataFrame) -> DataFrame:
-    stations = ingest.explode_items(_read(replies, "air"), KEYS)
-    readings = stations.selectExpr(*KEYS, *[f"item['{p}Value'] as {p}" for p in ("pm10", "pm25")])
-    return ingest.station_mean(readings, KEYS, ("pm10", "pm25"))
+def readings(replies: DataFrame) -> DataFrame:
+    """`source, region, slot` and what the reply says. Narrow; every reply is parsed once.
 
+    | source | `v1` .. `v4` | `found` | `found2` | `notice` |
+    | --- | --- | --- | --- | --- |
+    | air | pm10, pm25 | any station | | |
+    | dust | 500 or 0, null when unavailable | always | | |
+    | oak_pollen, pine_pollen, uv | value | any item | | |
+    | living | first value, largest hour | any item | | |
+    | village | rain ahead; the day's largest rain, least and largest temperature | any rain | that day | of the day |
+    | observed | first temperature | | any temperature | |
+    | short | first temperature | always | any temperature | now |
 
-def dust_feed(replies: DataFrame) -> DataFrame:
-    """Advisory state: the first item whose area contains the region decides, inside the reply, without a join."""
+    `failure` is the masked text of a reply that cannot be used, for the sources whose failures are told.
+    """
+    told = F.col("error").isNotNull() & F.col("source").isin("dust", *FAILURE_OF)
+    text = F.expr(f"concat_ws(' ', error, substring(payload, 1, {BODY_CHARS}))")
     area = "coalesce(nullif(i['tmArea'], ''), i['issueArea'], '')"
-    told = _read(replies, "dust").withColumns(
-        {
-            "_time": F.expr(f"get(filter(items, i -> contains({area}, region)), 0)['dataTime']"),
-            "_text": F.when(F.col("error").isNotNull(), mask_secrets(F.expr(_failure_text()))),
-        }
+    parsed = (
+        ingest.parse_payloads(replies)
+        .withColumn("failure", F.when(told, mask_secrets(text)))
+        .selectExpr(
+            "source",
+            *KEYS,
+            "error",
+            "failure",
+            "items",
+            "date_format(slot, 'yyyyMMdd') as _day",
+            "date_format(slot, 'yyyyMMddHHmm') as _now",
+            f"if(source in ({listed(map(quote, _INDEX_SOURCES))}), get(items, 0), null) as _item",
+        )
     )
-    issued = "coalesce(substring(_time, 1, 8) = date_format(slot, 'yyyyMMdd'), false)"
-
-    def state(of_today: str, otherwise: str) -> str:
-        return f"if(error is not null, null, if({issued}, {of_today}, {otherwise}))"
-
-    return told.selectExpr(
-        *KEYS,
-        f"{state(f'{fixed.ADVISORY_DUST}D', f'{fixed.ADVISORY_CLEAR}D')} as yellow_dust",
-        f"{state(quote(fixed.ADVISORY_ISSUED), quote(fixed.ADVISORY_NONE))} as yellow_dust_advisory",
-        "if(error is null, 'ylwsnd_advisory', 'ylwsnd_advisory_unavailable') as yellow_dust_source",
-        "if(error is null, null, 'unavailable') as dust_status",
-        "_text as dust_message",
+    picked = parsed.selectExpr(
+        *("source", *KEYS, "error", "failure", "items", "_day", "_now", "_item"),
+        f"if(source = 'village', {_category('items', 'POP')}, null) as _pops",
+        "if(source = 'village', filter(items, i -> i['fcstDate'] = _day), null) as _today",
+        f"if(source in ('observed', 'short'), {_category('items', 'T1H')}, null) as _temps",
+        f"if(source = 'dust', get(filter(items, i -> contains({area}, region)), 0)['dataTime'], null) as _issued",
+        f"if(source = 'uv', {ingest.base_time("_item['date']")}, null) as _base",
+        f"if(source in ('living', 'uv'), {ingest.hours('_item')}, null) as _hours",
     )
-
-
-def health_feed(replies: DataFrame) -> DataFrame:
-    """Both kinds of pollen as they come; the merge puts them side by side."""
-    value = ingest.forecast_value("item")
-    oak, pine = (_first_items(replies, kind).selectExpr(*KEYS, f"{value} as {kind}") for kind in ("oak_pollen", "pine_pollen"))
-    return oak.unionByName(pine, allowMissingColumns=True)
-
-
-def uv_feed(replies: DataFrame) -> DataFrame:
-    items = _first_items(replies, "uv").selectExpr(*KEYS, "item", "item['date'] as base", "cast(slot as timestamp_ntz) as now")
-    return ingest.uv_feed(items, KEYS, "base", "now")
-
-
-def pop_feed(replies: DataFrame) -> DataFrame:
-    rows = _forecast_rows(replies, "village").where("category = 'POP'")
-    rows = rows.withColumn("precipitation_probability", F.expr(safe_float("fcst_value")))
-    return ingest.asof_forward(rows, KEYS, "fcst_key", "precipitation_probability", "ord", F.col("now_key"))
-
-
-def temp_feed(replies: DataFrame) -> DataFrame:
-    """A row only where an observation or a forecast of the temperature exists at all."""
-    rows = _forecast_rows(replies, "observed", "short").where("category = 'T1H'")
-    rows = rows.withColumn("kind", F.expr("if(source = 'observed', 'observed', 'forecast')"))
-    found = ingest.observed_else_forecast(rows, KEYS, "ord")
-    return found.withColumn("temperature_source", F.lit("T1H"))
-
-
-def notice_feed(replies: DataFrame) -> DataFrame:
-    found = ingest.notice_signals(_forecast_rows(replies, "short"), KEYS, "ord")
-    return found.selectExpr(
-        *KEYS, "notice as other_special_notice", "'ultra_short_forecast' as other_special_notice_source"
+    ahead = "filter(_pops, i -> concat(coalesce(i['fcstDate'], ''), coalesce(i['fcstTime'], '')) >= _now)"
+    value = ingest.forecast_value("_item")
+    dust = f"if(coalesce(substring(_issued, 1, 8) = _day, false), {fixed.ADVISORY_DUST}D, {fixed.ADVISORY_CLEAR}D)"
+    temperature = safe_float("get(transform(_temps, i -> coalesce(i['obsrValue'], i['fcstValue'])), 0)")
+    raining = "not in ('0', '', 'None')"
+    named = picked.selectExpr(
+        *("source", *KEYS, "failure", "items"),
+        _by_source(
+            air=ingest.mean_of_items("items", "pm10Value"),
+            dust=f"if(error is null, {dust}, null)",
+            oak_pollen=value,
+            pine_pollen=value,
+            living=value,
+            uv=f"coalesce({ingest.hour_in_force('_hours', '_base', 'cast(slot as timestamp_ntz)')}.value, {value})",
+            village=safe_float(f"coalesce(get({ahead}, 0), get(_pops, 0))['fcstValue']"),
+            observed=temperature,
+            short=temperature,
+        )
+        + " as v1",
+        _by_source(
+            air=ingest.mean_of_items("items", "pm25Value"),
+            living=f"coalesce(array_max(transform(_hours, h -> h.value)), {value})",
+            village=f"array_max({_values('POP')})",
+        )
+        + " as v2",
+        f"if(source = 'village', {_values('TMP')}, null) as _tmp",
+        "coalesce(" + _by_source(dust="true", short="true", village="size(_pops) > 0") + ", size(items) > 0) as found",
+        "coalesce(size(_today) > 0, size(_temps) > 0, false) as found2",
+        _by_source(village=f"array_max({_values('LGT')})", short=safe_float(_first(_category("items", "LGT"), "fcstValue"))) + " as _lgt",
+        _by_source(village=f"array_max({_values('WSD')})", short=safe_float(_first(_category("items", "WSD"), "fcstValue"))) + " as _wsd",
+        _by_source(
+            village=f"exists({_category('_today', 'PTY')}, i -> coalesce(i['fcstValue'], 'None') {raining})",
+            short=f"coalesce({_first(_category('items', 'PTY'), 'fcstValue')}, '0') {raining}",
+        )
+        + " as _rain",
     )
-
-
-def today_feed(replies: DataFrame, include_elapsed: bool = True) -> DataFrame:
-    """Summary of the day of the slot; a reply without items of that day brings nothing."""
-    found = ingest.daily_summary(_forecast_rows(replies, "village"), KEYS, "now_key", include_elapsed)
-    return found.selectExpr(
-        *KEYS,
-        "pop_max as today_pop",
-        "tmp_min as today_min",
-        "tmp_max as today_max",
-        "notice as today_notice",
-        "'today_vilage_forecast' as today_source",
-        "period as today_period",
-        "date_format(slot, 'yyyyMMdd') as today_date",
+    signals = ("coalesce(_lgt, 0.0D)", "coalesce(_wsd, 0.0D)", "_rain")
+    now = f"if(exists(items, i -> i['category'] is not null), {ingest.signal_text(*signals)}, {quote(fixed.NOTICE_UNKNOWN)})"
+    return named.selectExpr(
+        *("source", *KEYS, "v1", "v2", "found", "found2", "failure"),
+        "array_min(_tmp) as v3",
+        "array_max(_tmp) as v4",
+        _by_source(village=f"if(found2, {ingest.signal_text(*signals, fixed.TODAY_PREFIX)}, null)", short=now) + " as notice",
     )
 
 
-def feeds(replies: DataFrame) -> dict[str, DataFrame]:
-    return {
-        "air": air_feed(replies),
-        "dust": dust_feed(replies),
-        "health": health_feed(replies),
-        "living": ingest.living_feed(_first_items(replies, "living"), KEYS),
-        "uv": uv_feed(replies),
-        "pop": pop_feed(replies),
-        "temp": temp_feed(replies),
-        "notice": notice_feed(replies),
-        "today": today_feed(replies),
+def stack_readings(found: DataFrame) -> DataFrame:
+    """The table `merge.stack_feeds` makes, from `readings`: one row per key, its values, `has_<feed>` and `error_<feed>`."""
+
+    def of(source: str, column: str) -> str:
+        return f"max(if(source = {quote(source)}, {column}, null))"
+
+    def has(column: str, *sources: str) -> str:
+        return f"coalesce(max(source in ({listed(map(quote, sources))}) and {column}), false)"
+
+    sums = {
+        "has_air": has("found", "air"),
+        "has_dust": has("found", "dust"),
+        "has_health": has("found", "oak_pollen", "pine_pollen"),
+        "has_living": has("found", "living"),
+        "has_uv": has("found", "uv"),
+        "has_pop": has("found", "village"),
+        "has_temp": has("found2", "observed", "short"),
+        "has_notice": has("found", "short"),
+        "has_today": has("found2", "village"),
+        **{f"error_{feed}": of(source, "failure") for source, feed in FAILURE_OF.items()},
+        "pm10": of("air", "v1"),
+        "pm25": of("air", "v2"),
+        "yellow_dust": of("dust", "v1"),
+        "dust_message": of("dust", "failure"),
+        "oak_pollen": of("oak_pollen", "v1"),
+        "pine_pollen": of("pine_pollen", "v1"),
+        "living_temp": of("living", "v1"),
+        "living_max": of("living", "v2"),
+        "uv_index": of("uv", "v1"),
+        "precipitation_probability": of("village", "v1"),
+        "_observed": has("found2", "observed"),
+        "_observed_value": of("observed", "v1"),
+        "_short_value": of("short", "v1"),
+        "other_special_notice": of("short", "notice"),
+        "today_pop": of("village", "v2"),
+        "today_min": of("village", "v3"),
+        "today_max": of("village", "v4"),
+        "today_notice": of("village", "notice"),
     }
-
-
-def failures(replies: DataFrame) -> DataFrame:
-    """`region, slot, feed, message` of the replies that cannot be used."""
-    named = F.create_map(*[F.lit(x) for pair in FAILURE_OF.items() for x in pair])
-    failed = _read(replies, *FAILURE_OF).where("error is not null")
-    return failed.select(*KEYS, named[F.col("source")].alias("feed"), F.expr(_failure_text()).alias("message"))
+    # the texts that follow from these are not carried through the aggregate
+    issued, none = quote(fixed.ADVISORY_ISSUED), quote(fixed.ADVISORY_NONE)
+    unavailable = "dust_message is not null"
+    told = {
+        "error_dust": "cast(null as string)",
+        "yellow_dust_advisory": f"case yellow_dust when {fixed.ADVISORY_DUST}D then {issued} when {fixed.ADVISORY_CLEAR}D then {none} end",
+        "yellow_dust_source": f"if(has_dust, if({unavailable}, 'ylwsnd_advisory_unavailable', 'ylwsnd_advisory'), null)",
+        "dust_status": f"if({unavailable}, 'unavailable', null)",
+        "current_temperature": "if(_observed, _observed_value, _short_value)",
+        "temperature_source": "if(has_temp, 'T1H', null)",
+        "other_special_notice_source": "if(has_notice, 'ultra_short_forecast', null)",
+        "today_source": "if(has_today, 'today_vilage_forecast', null)",
+        "today_period": "if(has_today, 'today_full', null)",
+        "today_date": "if(has_today, date_format(slot, 'yyyyMMdd'), null)",
+    }
+    merged = found.groupBy(*KEYS).agg(*[F.expr(f"{text} as {name}") for name, text in sums.items()])
+    kept = [*KEYS, *(n for n in sums if not n.startswith("_"))]
+    return merged.selectExpr(*kept, *[f"{text} as {name}" for name, text in told.items()])
 
 
 def collect(replies: DataFrame, places: DataFrame | None = None) -> DataFrame:
@@ -166,8 +205,7 @@ def collect(replies: DataFrame, places: DataFrame | None = None) -> DataFrame:
 
     `places(region, area_no, nx, ny, latitude, longitude)` has one row per region; a region without one has null fields.
     """
-    stacked = merge.stack_feeds(replies.select(*KEYS), feeds(replies), failures(replies))
-    messages = merge.slot_dispatch(stacked).withColumns(
+    messages = merge.slot_dispatch(stack_readings(readings(replies))).withColumns(
         {
             "timestamp": F.expr("concat(date_format(slot, \"yyyy-MM-dd'T'HH:mm:ss\"), '+09:00')"),
             "data_type": F.lit("current_weather"),

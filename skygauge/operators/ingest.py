@@ -23,7 +23,8 @@ ITEM = "map<string,string>"
 
 
 def parsed(payload: Column) -> Column:
-    return F.try_parse_json(payload)
+    """Text that cannot begin a JSON value is not handed to the parser: each failure there costs an exception."""
+    return F.when(payload.rlike(r'^[ \t\n\r\uFEFF]*[\[{"0-9tfn-]'), F.try_parse_json(payload))
 
 
 def _text(doc: Column, path: str) -> Column:
@@ -41,17 +42,12 @@ def json_items(doc: Column) -> Column:
     """ARRAY<MAP> of items for a bare list, `items.item` list, `items.item` object or single object."""
     inner, outer = "$.response.body.items.item", "$.response.body.items"
 
-    def one(path: str) -> Column:
-        single = F.try_variant_get(doc, path, ITEM)
-        # an object whose `item` is empty text or null is the portals' empty reply, not an item itself
-        return F.when(single.isNotNull() & ~F.map_contains_key(single, "item"), F.array(single))
-
+    single = F.array(F.try_variant_get(doc, inner, ITEM), F.try_variant_get(doc, outer, ITEM))
     return F.coalesce(
         F.try_variant_get(doc, outer, f"array<{ITEM}>"),
         F.try_variant_get(doc, inner, f"array<{ITEM}>"),
-        one(inner),
-        one(outer),
-        F.lit(None).cast(f"array<{ITEM}>"),
+        # an object whose `item` is empty text or null is the portals' empty reply, not an item itself
+        F.slice(F.filter(single, lambda m: m.isNotNull() & ~F.map_contains_key(m, "item")), 1, 1),
         F.array().cast(f"array<{ITEM}>"),
     )
 
@@ -102,7 +98,7 @@ def explode_items(parsed_payloads: DataFrame, keep: Sequence[str]) -> DataFrame:
 # -- forecast items -------------------------------------------------------------------------------
 
 
-def _hours(item: str) -> str:
+def hours(item: str) -> str:
     """SQL: ARRAY<STRUCT<hour, value>> of the readable `hN` entries."""
     hour_key = quote(r"^h\d+$")
     return (
@@ -118,7 +114,18 @@ def forecast_value(item: str, missing_as_zero: bool = False) -> str:
     An item with no readable value is missing; `missing_as_zero` gives 0 instead.
     """
     days = listed(safe_float(f"{item}[{quote(k)}]") for k in fixed.DAY_KEYS)
-    return f"coalesce({days}, array_min({_hours(item)}).value{', 0.0D' if missing_as_zero else ''})"
+    return f"coalesce({days}, array_min({hours(item)}).value{', 0.0D' if missing_as_zero else ''})"
+
+
+def base_time(text: str) -> str:
+    """SQL: time of a `yyyyMMddHH` text; null if it cannot be read."""
+    return f"cast(try_to_timestamp(if({text} rlike '^[0-9]{{10}}$', {text}, null), 'yyyyMMddHH') as timestamp_ntz)"
+
+
+def hour_in_force(hours: str, base: str, now: str) -> str:
+    """SQL: the entry of `hours` that is the latest at or before `now`, else the earliest; none without a base time."""
+    past = f"array_max(filter({hours}, h -> try_add({base}, make_dt_interval(0, h.hour)) <= {now}))"
+    return f"if({base} is null, null, coalesce({past}, array_min({hours})))"
 
 
 def given_values(item: str, hourly: bool) -> str:
@@ -147,12 +154,11 @@ def uv_feed(items: DataFrame, keys: Sequence[str], base: str, now: str) -> DataF
     read = items.selectExpr(
         *keys,
         "item",
-        f"cast(try_to_timestamp(if({base} rlike '^[0-9]{{10}}$', {base}, null), 'yyyyMMddHH') as timestamp_ntz) as _base",
+        f"{base_time(base)} as _base",
         f"{now} as _now",
-        f"{_hours('item')} as _hours",
+        f"{hours('item')} as _hours",
     )
-    past = "array_max(filter(_hours, h -> try_add(_base, make_dt_interval(0, h.hour)) <= _now))"
-    chosen = read.withColumn("_at", F.expr(f"if(_base is null, null, coalesce({past}, array_min(_hours)))"))
+    chosen = read.withColumn("_at", F.expr(hour_in_force("_hours", "_base", "_now")))
     return chosen.selectExpr(
         *keys,
         f"coalesce(_at.value, {forecast_value('item')}) as uv_index",
@@ -169,7 +175,7 @@ def living_feed(items: DataFrame, keys: Sequence[str]) -> DataFrame:
     return items.selectExpr(
         *keys,
         f"{first} as living_temp",
-        f"coalesce(array_max(transform({_hours('item')}, h -> h.value)), {first}) as living_max",
+        f"coalesce(array_max(transform({hours('item')}, h -> h.value)), {first}) as living_max",
         f"{given_values('item', True)} as living_hourly_forecast",
     )
 
@@ -180,7 +186,7 @@ def hourly_rows(items: DataFrame, keep: Sequence[str], base: str) -> DataFrame:
     return (
         items.withColumn("_base", start)
         .where("_base is not null")
-        .select(*keep, "_base", F.expr(f"inline({_hours('item')})"))
+        .select(*keep, "_base", F.expr(f"inline({hours('item')})"))
         .withColumn("at", F.col("_base") + F.make_dt_interval(hours=F.col("hour")))
         .drop("_base")
     )
@@ -227,7 +233,7 @@ def observed_else_forecast(rows: DataFrame, keys: Sequence[str], order: str) ->
     )
 
 
-def _signal_text(lightning: str, wind: str, rain: str, prefix: str = "") -> str:
+def signal_text(lightning: str, wind: str, rain: str, prefix: str = "") -> str:
     found = listed(
         f"if({cond}, {quote(prefix + text)}, null)"
         for cond, text in (
@@ -249,7 +255,7 @@ def notice_signals(rows: DataFrame, keys: Sequence[str], order: str) -> DataFram
         F.expr(f"min_by(struct(fcst_value), {order}) filter (where category = '{c}').fcst_value as {c.lower()}")
         for c in ("LGT", "WSD", "PTY", "SKY")
     ]
-    text = _signal_text("lgt", "wsd", "pty not in ('0', '', 'None')")
+    text = signal_text("lgt", "wsd", "pty not in ('0', '', 'None')")
     return (
         rows.groupBy(*keys)
         .agg(*first, F.count("category").alias("_n"))
@@ -307,7 +313,7 @@ def daily_summary(rows: DataFrame, keys: Sequence[str], now_key: str, include_el
     rainy = "exists(pty, v -> v not in ('0', '', 'None'))"
     return filled.selectExpr(
         "*",
-        f"{_signal_text('lgt_max', 'wsd_max', rainy, fixed.TODAY_PREFIX)} as notice",
+        f"{signal_text('lgt_max', 'wsd_max', rainy, fixed.TODAY_PREFIX)} as notice",
         f"'{'today_full' if include_elapsed else 'today_remaining'}' as period",
     )
 
@@ -342,6 +348,15 @@ def station_mean(rows: DataFrame, keys: Sequence[str], pollutants: Sequence[str]
     )
 
 
+def mean_of_items(items: str, field: str, scale: int = 1_000_000) -> str:
+    """SQL: what `station_mean` gives for one field, over the items of one reply."""
+    units = scaled_units(safe_float(f"i[{quote(field)}]"), scale)
+    start = "named_struct('s', cast(0 as decimal(30,0)), 'n', 0L)"
+    added = "named_struct('s', cast(a.s + u as decimal(30,0)), 'n', a.n + 1)"
+    read = f"filter(transform({items}, i -> {units}), u -> u is not null)"
+    return f"aggregate({read}, {start}, (a, u) -> {added}, a -> {mean_1dp('a.s', scale, 'a.n')})"
+
+
 def advisory_match(regions: DataFrame, advisories: DataFrame, today: str, failures: DataFrame | None = None) -> DataFrame:
     """Yellow-dust state per region from advisory rows whose area contains the region name.
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from skygauge import fixed
 from skygauge.functions.scalars import event_id
 from skygauge.operators import collect, merge
-from skygauge.operators.ordered import cut_lineage
 from skygauge.plans import sql, views
 from skygauge.plans.registry import query
 
@@ -75,8 +74,7 @@ _SQL = f"""WITH {sql.EV}, x AS (SELECT 'E' || event_id AS region, event_id, user
 @query("collect_chain", _SQL)
 def collect_chain(spark, sf_dir):
     """Every event is a region with its own replies of all sources, in every layout and with every kind of failure."""
-    replies = cut_lineage(views.replies(spark, sf_dir))  # stands for a written table; else each feed plans the view again
-    messages = collect.collect(replies, views.places(spark, sf_dir))
+    messages = collect.collect(views.replies(spark, sf_dir), views.places(spark, sf_dir))
     checked = merge.completeness(messages, minimum=6)
     both = checked.withColumn("event_id", F.when(F.col("publishable"), event_id(F.col("region"), F.col("slot"))))
     entries = F.transform(F.map_entries("data_warnings"), lambda e: F.concat_ws("=", e["key"], e["value"]))

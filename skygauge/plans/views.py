@@ -19,6 +19,7 @@ from skygauge.plans.registry import table
 K = "cast(get_json_object(props, '$.k') as bigint)"
 REGION = "concat('R', lpad(cast(user_id % 17 as string), 2, '0'))"
 SLOT_TEXT = "yyyy-MM-dd HH:mm:ss"
+TASK_ROWS = 100_000
 
 
 def text_time(column: str | Column) -> Column:
@@ -35,6 +36,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """The narrow rows dealt to tasks of `TASK_ROWS` or less, by `keys` if given, before they are widened or parsed.
+
+    A scan gives as many tasks as the file has splits, however much is made of each row.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(parts, -(-rows.count() // TASK_ROWS)), *keys)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One wide message per region and slot."""
     grouped = events(spark, sf_dir).groupBy("region", "slot").agg(
@@ -335,10 +345,11 @@ def _json_list(*items: str) -> str:
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies of all sources for one region per event, at the slot of the event."""
-    item, day = _json_item, "date_format(slot, 'yyyyMMdd')"
+    """Replies of all sources for one region per event, at the slot of the event; those of a region lie together."""
+    item, day = _json_item, "day"
     # the second station reports no pm25, some replies are XML
-    stations = _json_list(item(pm10Value="k", pm25Value="'-'"), item(pm10Value="k + 1", pm25Value="k"))
+    pairs = "array(named_struct('a', string(k), 'b', '-'), named_struct('a', string(k + 1), 'b', string(k)))"
+    stations = f"concat('[', array_join(transform({pairs}, s -> {item(pm10Value='s.a', pm25Value='s.b')}), ','), ']')"
     air_xml = (
         "concat('<response><header><resultCode>00</resultCode></header><body><items><item><pm10Value>', k,"
         " '</pm10Value><pm25Value>-</pm25Value></item><item><pm10Value>', k + 1, '</pm10Value><pm25Value>', k,"
@@ -399,7 +410,12 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     calls = events(spark, sf_dir).selectExpr("concat('E', event_id) as region", "slot", "k")
-    rows = calls.selectExpr("region", "slot", f"explode(array({', '.join(map(told, good))})) as r").where("r is not null")
+    calls = spread(calls, "region").selectExpr("*", "date_format(slot, 'yyyyMMdd') as day")
+    # The texts are made in a projection of their own. As it holds a lambda (`stations`), its code is generated in small
+    # methods; inside a whole stage it is one method of more than 8,000 bytes, which the JVM never compiles. The outer form
+    # of explode keeps Catalyst from copying the texts into a filter on their number.
+    sent = calls.selectExpr("region", "slot", f"array({', '.join(map(told, good))}) as rs")
+    rows = sent.selectExpr("region", "slot", "explode_outer(rs) as r").where("r is not null")
     return rows.selectExpr("r.source as source", "region", "slot", "r.status_code as status_code", "r.payload as payload")
 
 
