@@ -55,7 +55,9 @@ def send_gate(
     )
     if state is not None:
         live = live.unionByName(_seed_rows(state, live), allowMissingColumns=True)
-    classified = cut_lineage(_classify(with_chunk(live, "offset", chunk_rows), silence))
+    # Rows and chunk summaries are two readings of the input; without the cut each would parse and grade it anew.
+    chunked = cut_lineage(with_chunk(live, "offset", chunk_rows))
+    classified = cut_lineage(_classify(chunked, silence))
     if not silence:
         return _finish(classified.withColumn("_beat", F.lit(False)), extra)
     heartbeats = _heartbeats(classified.where("_open"), silence, chunk_rows, fold_rows)

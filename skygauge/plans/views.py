@@ -143,7 +143,7 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         'precipitation_probability', if(event_type = 'purchase', value, null),
         'uv_index', k % 13, 'oak_pollen', k % 5, 'pine_pollen', cast(k % 4 as string),
         'other_special_notice', case when k % 7 = 0 then '강풍 가능' when k % 7 < 4 then '없음' else '정보없음' end))"""
-    return events(spark, sf_dir).selectExpr(
+    return spread(events(spark, sf_dir), "event_id").selectExpr(
         "'observations' as topic",
         "cast(user_id % 17 % 4 as int) as partition",
         "event_id as offset",
